@@ -46,13 +46,11 @@ def _templates(templates: dict[str, list[str]]) -> list[tuple[str, frozenset]]:
     return [(name, bigrams(t)) for name in sorted(templates) for t in templates[name]]
 
 
-def _match(text: str, known: list[tuple[str, frozenset]], least: float, longest: int) -> dict:
+def _match(text: str, known: list[tuple[str, frozenset]], least: float) -> dict:
     matches = []
     lines = text.split("\n")
     segments = [(-1, text), *enumerate(lines)] if len(lines) > 1 else [(-1, text)]
     for at, line in segments:
-        if len(line) > longest and line.count(" ") > longest:
-            continue  # a segment of too many words for any template, told without splitting it
         own = bigrams(line) if len(line) > 2 else frozenset()
         if not own:
             continue
@@ -74,8 +72,6 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     @F.arrow_udf("license string, dice double, matches array<struct<license:string,line:long,dice:double>>")
     def scanned(text: pa.Array) -> pa.Array:
         known = _templates(chosen)
-        most = max(len(t) for _, t in known)
-        # Repeated bigrams count once, so only a text that is long even for repeats may be skipped unread: none is, by words alone.
-        return pa.array([_match(t.as_py(), known, least, 1 << 62) if most else None for t in text], _kind)
+        return pa.array([_match(t.as_py(), known, least) for t in text], _kind)
 
     return append_struct(docs, scanned.asNondeterministic()(text_or_empty()), RESULTS)

@@ -1,6 +1,6 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
-Features of a text (presence, scaled so that the vector has length 1): lower-case words; shapes of words, where
+Features of a text (presence, scaled so that every vector has one length): lower-case words; shapes of words, where
 runs of letters of one case, of digits and of one mark are one sign; pairs of neighbouring
 shapes; pairs of neighbouring words, where a word that repeats the one before is the feature "again" of its shape; and
 in ten steps the shares of repeated words. Each is hashed to one of 2^bits weights.
@@ -24,6 +24,8 @@ from roadloom.llm.common import append_struct, chunks, text_or_empty
 from roadloom.llm.words import LOWER, NOT_SPACE, hashes, mix, spans
 
 RESULTS = ["score"]
+#: Length of a feature vector.
+LENGTH = 8.0
 _U = np.uint64
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = ord("a")
@@ -68,16 +70,16 @@ def _features(buf: np.ndarray, offs: np.ndarray, bits: int):
 class Ftrl:
     """Per-coordinate FTRL-proximal logistic regression."""
 
-    def __init__(self, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.02):
         self.z, self.n, self.w = (np.zeros(size) for _ in range(3))
         self.bias = self.bias_n = 0.0
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
-    def learn(self, at: np.ndarray, label: int, weight: float) -> None:
-        x = 1 / np.sqrt(len(at)) if len(at) else 0.0
+    def learn(self, at: np.ndarray, label: int) -> None:
+        x = LENGTH / np.sqrt(len(at)) if len(at) else 0.0
         w = self.w[at]
         p = 1 / (1 + np.exp(-np.clip(self.bias + w.sum() * x, -30, 30)))
-        g = (p - label) * weight
+        g = p - label
         self.bias_n += g * g
         self.bias -= 0.1 * g / (1 + np.sqrt(self.bias_n))
         g *= x
@@ -89,7 +91,7 @@ class Ftrl:
         self.w[at] = np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000, epochs: int = 3) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000, epochs: int = 5) -> tuple[np.ndarray, float]:
     """(weights, bias) from docs (doc_id, text) and labels (doc_id, quality). At most max_rows labels reach the fit."""
     chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("q"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "q").limit(max_rows)
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000
     examples = [(np.frombuffer(x, dtype=np.int32), int(q)) for q, x in zip(rows["q"], rows["x"], strict=True)]
     for _ in range(epochs):
         for at, q in examples:
-            model.learn(at, q, 1.0)
+            model.learn(at, q)
     return model.w.astype(np.float32), model.bias
 
 
@@ -123,7 +125,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         w, out = held.value, []
         for _, _, buf, offs in chunks(text):
             for _, at in _features(buf, offs, bits):
-                v = bias + (float(w[at].sum()) / np.sqrt(len(at)) if len(at) else 0.0)
+                v = bias + (LENGTH * float(w[at].sum()) / np.sqrt(len(at)) if len(at) else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(v, -30, 30)))))
         return pa.StructArray.from_arrays([pa.array(out, pa.float64())], RESULTS)
 

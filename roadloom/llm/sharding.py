@@ -65,7 +65,6 @@ def assign(loads: DataFrame, shards: int, slots: int, previous: DataFrame | None
         F.array_repeat(F.lit(0).cast("long"), shards).alias("load"),
         F.expr("cast(array() as array<struct<virtual_slot:int,shard:int,bytes:bigint>>)").alias("out"),
     )
-    # Moves come last in a rebalancing, so that slots that can stay are settled first; a new map is one pass.
     return listed.select(F.explode(F.aggregate("s", start, step)["out"]).alias("m")).select(F.lit(version).alias("version"), "m.virtual_slot", "m.shard", "m.bytes")
 
 
