@@ -12,8 +12,9 @@ the short lists). Documents with the same set are one node. Steps:
    near copies share long paths. A probe walks the tree once, sharing the overlap counted so far, and leaves subtrees
    whose lengths cannot reach the needed overlap. Nodes found linked are joined, and a node already
    joined with the block's main class is not probed again: it has no cross-class link that another's probe misses.
-3. Rest: where a token's nodes are still of several classes, the nodes outside its largest class probe the trees of the
-   token's other blocks. With steps 2 and 3 each pair that shares a prefix token is either in one class or has been compared.
+3. Rest: where a token's nodes are still of several classes, they form a block of that token (of tokens with the same nodes only one);
+   of a block in several parts, the nodes outside its largest class also probe the trees of the other parts.
+   With steps 2 and 3 each pair that shares a leading token is either in one class or has been compared.
 4. Links are joined to components with large-star and small-star rounds.
 
 No pairs are emitted within a group, nothing is capped, and links and components stay distributed.
@@ -27,6 +28,7 @@ several texts: all get the least id that any of them reaches. Extra columns are
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,11 +174,13 @@ class PrefixTree:
         return found
 
 
-def _block_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int):
-    """Links that span a block's classes. The first nodes are its centres."""
-    if len(nodes) < 2:
-        return
-    parent = list(range(len(nodes)))
+def _block_links(tree: PrefixTree, sets: list[np.ndarray], num: int, den: int):
+    """Links that join classes of a block. Of the largest class only the first set probes: a
+    link of any other set is found by the set outside, and sets that have come into that class need no probe."""
+    comps = tree.comp
+    place = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    names = list(place)
+    parent = list(range(len(names)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -184,17 +188,20 @@ def _block_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int):
             i = parent[i]
         return i
 
-    tree = PrefixTree(sets, list(range(len(nodes))))
-    for i in range(len(nodes)):
-        if i and root(i) == root(0):
+    sizes = Counter(comps)
+    main = place[max(names, key=lambda c: (sizes[c], -place[c]))]
+    first = comps.index(names[main])
+    for i in [first, *range(len(comps))]:
+        own = place[comps[i]]
+        if i != first and root(own) == root(main) or len(names) == 1:
             continue
-        for j in tree.probe(sets[i], num, den):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    for i in range(len(nodes)):
+        for j in tree.probe(sets[i], num, den, comps[i]):
+            x, y = root(own), root(place[comps[j]])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    for i in range(len(names)):
         if root(i) != i:
-            yield nodes[root(i)], nodes[i]
+            yield names[root(i)], names[i]
 
 
 def _stream(batches, levels_of, k: int, flush):
@@ -250,24 +257,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared(batches):
-    """Of rows sorted by (token, node): those whose token has two nodes or more, each once."""
-    carry, flag = None, False
+    """Of rows sorted by (token, leading first, node): those whose token has two nodes or more, a leading one among them, each once."""
+    names, carry, flag, leads = ["token", "node", "n"], None, False, False
     for b in batches:
-        t, v, n = (b.column(i).to_numpy() for i in range(3))
+        t, v, n, lead = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if carry is not None:
-            t, v, n = (np.concatenate(([c], x)) for c, x in zip(carry, (t, v, n), strict=True))
+            t, v, n, lead = (np.concatenate(([c], x)) for c, x in zip(carry, (t, v, n, lead), strict=True))
         if not len(t):
             continue
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-        t, v, n = t[new], v[new], n[new]
+        t, v, n, lead = t[new], v[new], n[new], lead[new]
         same = t[1:] == t[:-1]
+        begins = np.concatenate(([True], ~same))
+        led = lead[begins].astype(bool)
+        led[0] = leads if carry is not None else led[0]
+        led = led[np.cumsum(begins) - 1]
         keep = np.concatenate(([flag], same)) | np.concatenate((same, [False]))
-        flag, carry = bool(keep[-1]), (t[-1], v[-1], n[-1])
-        out = keep[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out], pa.int64()) for x in (t, v, n)], ["token", "node", "n"])
-    if flag:
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry], ["token", "node", "n"])
+        flag, leads, carry = bool(keep[-1]), bool(led[-1]), (t[-1], v[-1], n[-1], lead[-1])
+        out = (keep & led)[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out], pa.int64()) for x in (t, v, n)], names)
+    if flag and leads:
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry[:3]], names)
 
 
 def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -295,8 +306,12 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
 
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "jaccard-rows")
 
-    tokens = rows.select(F.explode("prefix").alias("token"), "node", "n")
-    shared = stored(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n long"), "jaccard-shared")
+    # If this is the first token that a linked pair has in common, the rest of either set must reach the overlap that
+    # both lengths need; for the shorter set that leaves only a leading part of its prefix.
+    tokens = rows.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
+    tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
+    tokens = tokens.repartition("token").sortWithinPartitions("token", F.desc("leading"), "node")
+    shared = stored(tokens.mapInArrow(_shared, "token long, node long, n long"), "jaccard-shared")
 
     # Home blocks, and the centres that the parts of a split block have in common.
     home = shared.groupBy("node").agg(F.min("token").alias("key"), F.max("n").alias("n"))
@@ -315,40 +330,34 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     blocks = placed.select("node", "key", "part", F.lit(1).alias("role")).union(centres.select("node", "key", "part", F.lit(0).alias("role")))
     grouped = blocks.join(texts, "node").select("key", "part", "role", "node", F.col("node").alias("comp"), "text")
 
-    def within(batches):
-        def flush(_, block, probe):
-            return list(_block_links(block[0], block[2], num, den))
+    def compare(batches):
+        def flush(state, block, probe):
+            links = []
+            if "tree" not in state and len(block[0]) > (probe is None):
+                state["tree"] = PrefixTree(block[2], block[1])
+                links += _block_links(state["tree"], block[2], num, den)
+            if probe is not None and "tree" in state:
+                links += [(probe[0], c) for c in sorted({block[1][i] for i in state["tree"].probe(probe[1], num, den, probe[0])}) if c != probe[0]]
+            return links
 
         yield from _stream(batches, lambda: held.value, k, flush)
 
     order = ["key", "part", "role", "node"]
-    first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(within, "a long, b long"), "jaccard-links")
+    first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "jaccard-links")
     classes = components(first_links)
 
-    # Pairs of a token that are of several classes and blocks.
-    info = stored(placed.join(classes, placed["node"] == classes["id"], "left").select("node", "key", "part", F.coalesce("root", "node").alias("comp")), "jaccard-classes")
-    seen = stored(shared.join(info, "node").select("token", "node", "n", "key", "part", "comp"), "jaccard-seen")
-    many = seen.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    outside = seen.join(many, "token").where("comp <> main").select("token", "node", "n", "comp", F.col("key").alias("own_key"), F.col("part").alias("own_part"))
-    places = seen.join(many.select("token"), "token", "left_semi").groupBy("token", "key", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c_low"), F.max("comp").alias("c_high"))
-    probes = outside.join(places, "token").where(f"not (key = own_key and part = own_part) and n * {den} >= low * {num} and high * {den} >= n * {num} and not (c_low = comp and c_high = comp)")
-    probes = stored(probes.select("node", "comp", "key", "part").distinct(), "jaccard-probes")
-    members = info.join(probes.select("key", "part").distinct(), ["key", "part"], "left_semi").select("key", "part", F.lit(0).alias("role"), "node", "comp")
-    rest = members.union(probes.select("key", "part", F.lit(2).alias("role"), "node", "comp")).join(texts, "node").select("key", "part", "role", "node", "comp", "text")
-
-    def across(batches):
-        def flush(state, block, probe):
-            if probe is None or not block[0]:
-                return []
-            if "tree" not in state:
-                state["tree"] = PrefixTree(block[2], block[1])
-            comp, x = probe
-            linked = {block[1][i] for i in state["tree"].probe(x, num, den, comp)}
-            return [(comp, c) for c in sorted(linked) if c != comp]
-
-        yield from _stream(batches, lambda: held.value, k, flush)
-
-    more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(across, "a long, b long"))
+    # Tokens whose nodes are still of several classes, one of those that have the same nodes.
+    info = stored(placed.join(classes, placed["node"] == classes["id"], "left").select("node", F.coalesce("root", "node").alias("comp")), "jaccard-classes")
+    seen = stored(shared.join(info, "node").select("token", "node", "n", "comp"), "jaccard-seen")
+    by_class = seen.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    many = by_class.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+    parts = F.greatest(F.ceil(F.col("c") / float(BLOCK_NODES)), F.ceil(F.col("n") / float(BLOCK_SHINGLES))).cast("int")
+    groups = stored(many.where("comps > 1").groupBy("x0", "x1", "c").agg(F.min_by(F.struct("token", "main", parts.alias("parts")), "token").alias("g")).select("g.*"), "jaccard-groups")
+    members = seen.join(groups, "token").select(F.col("token").alias("key"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "comp", "main", "parts")
+    probes = members.where("parts > 1 and comp <> main").select("key", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))).alias("part"), F.lit(2).alias("role"), "node", "comp")
+    rest = members.select("key", "part", F.lit(1).alias("role"), "node", "comp").union(probes).join(texts, "node").select("key", "part", "role", "node", "comp", "text")
+
+    more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"))
 
     # From nodes to documents; rows that repeat an id tie their nodes.
     final = info.join(more, info["comp"] == more["id"], "left").select("node", F.coalesce("root", "comp").alias("comp"))
