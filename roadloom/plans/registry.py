@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from roadloom.plans import evaluation, fixes, network
+
+FLAGSHIP = "j1_j2_candidates"
+PLANS = [*fixes.PLANS, *network.PLANS, *evaluation.PLANS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {p.name: p.run for p in PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {p.name: p.sql for p in PLANS if p.sql}
