@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import clip, d
+from roadloom.sources.shared import stored
 
 _POINTS = "array<struct<x:double,y:double>>"
 #: Edge columns of a candidate's identity.
 EDGE = ("u", "v", "k")
-#: An edge side of at most this many bytes may be broadcast; beyond it the join shuffles by cell.
-BROADCAST_BYTES = 64 << 20
 
 
 def parse_wkt(wkt: Column) -> Column:
@@ -59,10 +58,6 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / d(size)), F.floor(high / d(size)))
 
 
-def _sized(df: DataFrame, rows: int, width: int = 120) -> DataFrame:
-    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
-
-
 def range_join(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, x: str = "obs_x", y: str = "obs_y", key: str = "event_id") -> DataFrame:
     """Fixes with each edge within `radius`, its closest point, arc length and distance.
 
@@ -79,26 +74,25 @@ def range_join(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, x: str
     return near.withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*kept, *EDGE, "px", "py", "arc", "dist")
 
 
-def nearest_join(fixes: DataFrame, pieces: DataFrame, k: int = 10, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", cell: float = 120.0, rounds: int = 24) -> DataFrame:
-    """The k nearest edges of each fix, exactly, in the order of distance and edge.
+def nearest_join(fixes: DataFrame, pieces: DataFrame, k: int = 10, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", radius: float = 120.0, farthest: float = 61_440.0) -> DataFrame:
+    """The k nearest edges of each fix, exactly, ranked by distance and edge.
 
-    Search rings double until every fix has k edges within the ring searched: a ring of radius r proves all edges nearer than r. Edges are broadcast
-    only when their checked size allows.
+    A ring of radius r proves all edges nearer than r, so a fix is settled once its ring holds k edges; for the others the
+    ring grows fourfold, to `farthest` at most. A fix with fewer than k edges within that has those, or none.
     """
-    n_edges = pieces.select(*EDGE).distinct().count()
-    want, done, radius, left = min(k, n_edges), None, cell, fixes.where(f"{x} is not null and {y} is not null")
-    for r in range(rounds):
+    done, left = None, fixes.where(f"{x} is not null and {y} is not null")
+    while True:
         found = range_join(left, pieces, radius, x, y, key)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist", *EDGE)))
-        ranked = ranked.where(F.col("rank") <= k)
-        full = ranked.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= want).select(key)
-        last = ranked.join(full, key, "left_semi")
-        done = last if done is None else done.unionByName(last)
-        left = left.join(full, key, "left_anti")
-        if not left.take(1):
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist", *EDGE))).where(F.col("rank") <= k)
+        ranked = stored(ranked, "nearest")
+        if radius < farthest:
+            full = ranked.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(key)
+            left = stored(left.join(full, key, "left_anti"), "nearest-left")
+            ranked = ranked.join(full, key, "left_semi")
+        done = ranked if done is None else done.unionByName(ranked)
+        if radius >= farthest or not left.take(1):
             return done
-        radius *= 2
-    raise ValueError("edges lie too far from the fixes for the rounds allowed")
+        radius = min(4 * radius, farthest)
 
 
 def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallback_k: int = 10, top: int | None = None, **names) -> DataFrame:
@@ -106,7 +100,7 @@ def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallba
     key = names.get("key", "event_id")
     near = range_join(fixes, pieces, radius, **names)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist", *EDGE))).withColumn("fallback", F.lit(False))
-    missed = fixes.join(near.select(key).distinct(), key, "left_anti")
+    missed = stored(fixes.join(near.select(key).distinct(), key, "left_anti"), "missed")
     both = near.unionByName(nearest_join(missed, pieces, fallback_k, **names).withColumn("fallback", F.lit(True)))
     return both.where(F.col("rank") <= top) if top else both
 

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder, so that a lost executor costs one round at most."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/roadloom-shared"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from roadloom.sources.shared import stored
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -28,12 +19,12 @@ def routes(edges: DataFrame, bound: float, sources: DataFrame | None = None) ->
     """
     nodes = edges.select(F.col("u").alias("src")).union(edges.select("v")).distinct()
     itself = nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"))
-    best = _stored(itself.union(links(edges).where(F.col("length") <= bound)).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
+    best = stored(itself.union(links(edges).where(F.col("length") <= bound)).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
     before = best.agg(F.count("*"), F.sum("dist")).first()
     while True:
         on = best.select(F.col("src").alias("dst"), F.col("dst").alias("__to"), F.col("dist").alias("__d"))
         longer = best.join(on, "dst").select("src", F.col("__to").alias("dst"), (F.col("dist") + F.col("__d")).alias("dist")).where(F.col("dist") <= bound)
-        best = _stored(longer.groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
+        best = stored(longer.groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
         after = best.agg(F.count("*"), F.sum("dist")).first()
         if after == before:
             return best if sources is None else best.join(sources.select("src"), "src", "left_semi")
@@ -43,13 +34,13 @@ def routes(edges: DataFrame, bound: float, sources: DataFrame | None = None) ->
 def components(edges: DataFrame) -> DataFrame:
     """node_id, component: weakly connected components by least node, with pointer jumping."""
     pair = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    both = _stored(pair.union(pair.select("b", "a")).distinct(), "wcc-links")
-    label = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node_id"), F.col("c").alias("component")), "wcc")
+    both = stored(pair.union(pair.select("b", "a")).distinct(), "wcc-links")
+    label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node_id"), F.col("c").alias("component")), "wcc")
     while True:
         near = both.join(label.withColumnsRenamed({"node_id": "b", "component": "__c"}), "b").groupBy("a").agg(F.min("__c").alias("__c"))
         nxt = label.join(near.withColumnRenamed("a", "node_id"), "node_id").select("node_id", F.least("component", "__c").alias("component"), F.col("component").alias("__before"))
         up = nxt.select(F.col("node_id").alias("component"), F.col("component").alias("__up"))
-        nxt = _stored(nxt.join(up, "component", "left").select("node_id", F.coalesce("__up", "component").alias("component"), "__before"), "wcc")
+        nxt = stored(nxt.join(up, "component", "left").select("node_id", F.coalesce("__up", "component").alias("component"), "__before"), "wcc")
         moved = nxt.where("component <> __before").take(1)
         label = nxt.select("node_id", "component")
         if not moved:
@@ -92,16 +83,16 @@ def one_sided(edges: DataFrame) -> DataFrame:
 
 def first_exit(edges: DataFrame, inside: Column, most: int = 20) -> DataFrame:
     """u, v, k of each edge inside (a tunnel, say), with the fewest further edges until one outside, `most` at most; null beyond."""
-    held = _stored(edges.select("u", "v", "k", F.coalesce(inside, F.lit(False)).alias("inside")), "exit-edges")
+    held = stored(edges.select("u", "v", "k", F.coalesce(inside, F.lit(False)).alias("inside")), "exit-edges")
     reach = held.where("not inside").select(F.col("u").alias("node")).distinct().withColumn("steps", F.lit(1))
     found, front = reach, reach
     links_in = held.where("inside").select("u", "v").distinct()
     for s in range(2, most + 1):
         front = links_in.join(front.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node")).distinct().withColumn("steps", F.lit(s))
-        front = _stored(front.join(found.select("node"), "node", "left_anti"), "exit-front")
+        front = stored(front.join(found.select("node"), "node", "left_anti"), "exit-front")
         if not front.take(1):
             break
-        found = _stored(found.union(front), "exit-found")
+        found = stored(found.union(front), "exit-found")
     return held.where("inside").join(found.withColumnRenamed("node", "v"), "v", "left").select("u", "v", "k", "steps")
 
 

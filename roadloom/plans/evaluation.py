@@ -71,7 +71,7 @@ def x2_holm(spark, sf):
 X2 = tables.with_views(
     """+ t AS (SELECT case_name, run_index, round(treatment_rmse, 6) AS p FROM runs),
 s AS (SELECT *, (count(*) OVER (PARTITION BY case_name) - row_number() OVER (PARTITION BY case_name ORDER BY p, run_index) + 1) * p AS st FROM t)
-SELECT case_name, run_index, p, round(least(1, max(st) OVER (PARTITION BY case_name ORDER BY p, run_index ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s""",
+SELECT case_name, CAST(run_index AS INT) AS run_index, p, round(least(1, max(st) OVER (PARTITION BY case_name ORDER BY p, run_index ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s""",
     "runs",
 )
 
