@@ -32,7 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import chunks, stored, text_or_empty
@@ -204,6 +204,22 @@ def _block_links(tree: PrefixTree, sets: list[np.ndarray], num: int, den: int):
             yield names[root(i)], names[i]
 
 
+def _packed(batches):
+    """Texts of nodes, compressed: they are shuffled by block."""
+    for b in batches:
+        packed = [zlib.compress(t.as_py().encode("utf-8"), 6) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "text"])
+
+
+def _unpacked(packed: pa.Array, k: int, levels: np.ndarray, rows: int = 256):
+    """(row, tokens) of compressed texts."""
+    for a in range(0, len(packed), rows):
+        texts = pa.array([zlib.decompress(t.as_py()) for t in packed[a : a + rows]], pa.large_binary()).cast(pa.large_string())
+        for i, _, buf, offs in chunks(texts):
+            for r, tokens in _sets(buf, offs, k, levels):
+                yield a + i + r, tokens
+
+
 def _stream(batches, levels_of, k: int, flush):
     """Groups of rows (key, part, role, node, comp, text), sorted so that a group's rows follow each other; flush(role, nodes, comps, sets) yields links.
 
@@ -213,20 +229,18 @@ def _stream(batches, levels_of, k: int, flush):
     state: dict = {}
     for b in batches:
         key, part, role, node, comp = (b.column(i).to_pylist() for i in range(5))
-        for i, j, buf, offs in chunks(b.column(5)):
-            for r, tokens in _sets(buf, offs, k, levels_of()):
-                at = i + r
-                if (key[at], part[at]) != now:
-                    out += flush(state, held, None)
-                    held, seen, now, state = ([], [], []), set(), (key[at], part[at]), {}
-                if (role[at] == 2, node[at]) in seen or _node(tokens) != node[at]:
-                    continue  # a repeated row, or another text of the same id
-                seen.add((role[at] == 2, node[at]))
-                if role[at] < 2:
-                    for x, v in zip(held, (node[at], comp[at], tokens), strict=True):
-                        x.append(v)
-                else:
-                    out += flush(state, held, (comp[at], tokens))
+        for at, tokens in _unpacked(b.column(5), k, levels_of()):
+            if (key[at], part[at]) != now:
+                out += flush(state, held, None)
+                held, seen, now, state = ([], [], []), set(), (key[at], part[at]), {}
+            if (role[at] == 2, node[at]) in seen or _node(tokens) != node[at]:
+                continue  # a repeated row, or another text of the same id
+            seen.add((role[at] == 2, node[at]))
+            if role[at] < 2:
+                for x, v in zip(held, (node[at], comp[at], tokens), strict=True):
+                    x.append(v)
+            else:
+                out += flush(state, held, (comp[at], tokens))
         if len(out) > 5000:
             yield _links(out)
             out = []
@@ -258,7 +272,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _shared(batches):
     """Of rows sorted by (token, leading first, node): those whose token has two nodes or more, a leading one among them, each once."""
-    names, carry, flag, leads = ["token", "node", "n"], None, False, False
+    names, carry, flag, leads = ["token", "node", "n", "leading"], None, False, False
     for b in batches:
         t, v, n, lead = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if carry is not None:
@@ -276,9 +290,9 @@ def _shared(batches):
         keep = np.concatenate(([flag], same)) | np.concatenate((same, [False]))
         flag, leads, carry = bool(keep[-1]), bool(led[-1]), (t[-1], v[-1], n[-1], lead[-1])
         out = (keep & led)[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out], pa.int64()) for x in (t, v, n)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out].astype(kind)) for x, kind in zip((t, v, n, lead), (*["int64"] * 3, bool), strict=True)], names)
     if flag and leads:
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry[:3]], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in carry[:3]), pa.array([bool(carry[3])])], names)
 
 
 def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -311,7 +325,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     tokens = rows.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", F.desc("leading"), "node")
-    shared = stored(tokens.mapInArrow(_shared, "token long, node long, n long"), "jaccard-shared")
+    shared = stored(tokens.mapInArrow(_shared, "token long, node long, n long, leading boolean"), "jaccard-shared")
 
     # Home blocks, and the centres that the parts of a split block have in common.
     home = shared.groupBy("node").agg(F.min("token").alias("key"), F.max("n").alias("n"))
@@ -325,7 +339,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # One text for each node that shares a token.
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = placed.select("node").join(named, "node")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text"), "jaccard-texts")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text").mapInArrow(_packed, "node long, text binary"), "jaccard-texts")
 
     blocks = placed.select("node", "key", "part", F.lit(1).alias("role")).union(centres.select("node", "key", "part", F.lit(0).alias("role")))
     grouped = blocks.join(texts, "node").select("key", "part", "role", "node", F.col("node").alias("comp"), "text")
@@ -346,9 +360,16 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "jaccard-links")
     classes = components(first_links)
 
-    # Tokens whose nodes are still of several classes, one of those that have the same nodes.
+    # Tokens whose nodes are still of several classes, one of those that have the same nodes. In the order of lengths, a node
+    # stays if a shorter leading one or, being leading, the next longer one is near enough in length to link.
     info = stored(placed.join(classes, placed["node"] == classes["id"], "left").select("node", F.coalesce("root", "node").alias("comp")), "jaccard-classes")
-    seen = stored(shared.join(info, "node").select("token", "node", "n", "comp"), "jaccard-seen")
+    seen = shared.join(info, "node").select("token", "node", "n", "leading", "comp")
+    mixed = shared.join(info, "node").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    by_length = Window.partitionBy("token").orderBy("n", F.desc("leading"), "node")
+    shorter = F.max(F.when(F.col("leading"), F.col("n"))).over(by_length.rowsBetween(Window.unboundedPreceding, -1))
+    longer = F.when(F.col("leading"), F.lead("n").over(by_length))
+    seen = seen.join(mixed, "token", "left_semi").withColumns({"shorter": shorter, "longer": longer})
+    seen = stored(seen.where(f"shorter * {den} >= n * {num} or n * {den} >= longer * {num}").select("token", "node", "n", "comp"), "jaccard-seen")
     by_class = seen.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)])
     many = by_class.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
     parts = F.greatest(F.ceil(F.col("c") / float(BLOCK_NODES)), F.ceil(F.col("n") / float(BLOCK_SHINGLES))).cast("int")
