@@ -5,7 +5,7 @@ over all documents (any order gives right results; this one keeps common passage
 the short lists). Documents with the same set are one node. Steps:
 
 1. Prefix lists: two sets of Jaccard t or more share one of their first n - ceil(t n) + 1 tokens.
-   Tokens are sorted across the cluster and only those of two nodes or more stay.
+   Tokens are sorted across the cluster; of a token only nodes that another is near enough in length to link with stay.
 2. Home blocks: a node lives in the block of its least shared token. Blocks of too many nodes are split
    by hash; a few nodes of such a block are in each of its parts and tie these together.
    A block's sets form a prefix tree, read from the frequent end so that
@@ -32,7 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import chunks, stored, text_or_empty
@@ -270,9 +270,10 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _shared(batches):
-    """Of rows sorted by (token, leading first, node): those whose token has two nodes or more, a leading one among them, each once."""
-    names, carry, flag, leads = ["token", "node", "n", "leading"], None, False, False
+def _shared(batches, num: int, den: int):
+    """Of rows sorted by (token, n, leading first, node), each once: those that could link by their token. In the order of
+    lengths, a node stays if a shorter leading one or, being leading, the next longer one is near enough in length."""
+    names, carry, before = ["token", "node", "n"], None, 0
     for b in batches:
         t, v, n, lead = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if carry is not None:
@@ -281,18 +282,17 @@ def _shared(batches):
             continue
         new = np.ones(len(t), dtype=bool)
         new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-        t, v, n, lead = t[new], v[new], n[new], lead[new]
-        same = t[1:] == t[:-1]
-        begins = np.concatenate(([True], ~same))
-        led = lead[begins].astype(bool)
-        led[0] = leads if carry is not None else led[0]
-        led = led[np.cumsum(begins) - 1]
-        keep = np.concatenate(([flag], same)) | np.concatenate((same, [False]))
-        flag, leads, carry = bool(keep[-1]), bool(led[-1]), (t[-1], v[-1], n[-1], lead[-1])
-        out = (keep & led)[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out].astype(kind)) for x, kind in zip((t, v, n, lead), (*["int64"] * 3, bool), strict=True)], names)
-    if flag and leads:
-        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in carry[:3]), pa.array([bool(carry[3])])], names)
+        t, v, n, lead = t[new], v[new], n[new], lead[new].astype(bool)
+        at, same = np.arange(len(t)), t[1:] == t[:-1]
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), at, 0))
+        leader = np.concatenate(([-1], np.maximum.accumulate(np.where(lead, at, -1))[:-1]))
+        shorter = np.where(leader >= begin, n[leader], np.where(begin == 0, before, 0))
+        keep = (shorter > 0) & (shorter * den >= n * num)
+        keep[:-1] |= same & lead[:-1] & (n[:-1] * den >= n[1:] * num)
+        carry, before = (t[-1], v[-1], n[-1], lead[-1]), int(shorter[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]].astype("int64")) for x in (t, v, n)], names)
+    if carry is not None and before and before * den >= carry[2] * num:
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry[:3]], names)
 
 
 def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -324,8 +324,8 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # both lengths need; for the shorter set that leaves only a leading part of its prefix.
     tokens = rows.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
-    tokens = tokens.repartition("token").sortWithinPartitions("token", F.desc("leading"), "node")
-    shared = stored(tokens.mapInArrow(_shared, "token long, node long, n long, leading boolean"), "jaccard-shared")
+    tokens = tokens.repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
+    shared = stored(tokens.mapInArrow(lambda batches: _shared(batches, num, den), "token long, node long, n long"), "jaccard-shared")
 
     # Home blocks, and the centres that the parts of a split block have in common.
     home = shared.groupBy("node").agg(F.min("token").alias("key"), F.max("n").alias("n"))
@@ -360,16 +360,11 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "jaccard-links")
     classes = components(first_links)
 
-    # Tokens whose nodes are still of several classes, one of those that have the same nodes. In the order of lengths, a node
-    # stays if a shorter leading one or, being leading, the next longer one is near enough in length to link.
+    # Tokens whose nodes are still of several classes, one of those that have the same nodes.
     info = stored(placed.join(classes, placed["node"] == classes["id"], "left").select("node", F.coalesce("root", "node").alias("comp")), "jaccard-classes")
-    seen = shared.join(info, "node").select("token", "node", "n", "leading", "comp")
-    mixed = shared.join(info, "node").groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    by_length = Window.partitionBy("token").orderBy("n", F.desc("leading"), "node")
-    shorter = F.max(F.when(F.col("leading"), F.col("n"))).over(by_length.rowsBetween(Window.unboundedPreceding, -1))
-    longer = F.when(F.col("leading"), F.lead("n").over(by_length))
-    seen = seen.join(mixed, "token", "left_semi").withColumns({"shorter": shorter, "longer": longer})
-    seen = stored(seen.where(f"shorter * {den} >= n * {num} or n * {den} >= longer * {num}").select("token", "node", "n", "comp"), "jaccard-seen")
+    seen = shared.join(info, "node").select("token", "node", "n", "comp")
+    mixed = seen.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    seen = stored(seen.join(mixed, "token", "left_semi"), "jaccard-seen")
     by_class = seen.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)])
     many = by_class.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
     parts = F.greatest(F.ceil(F.col("c") / float(BLOCK_NODES)), F.ceil(F.col("n") / float(BLOCK_SHINGLES))).cast("int")
