@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import append, append_struct, chunks, text_or_empty
+from roadloom.llm.common import append, append_struct, chunks, text_or_empty, trim
 from roadloom.llm.words import ALNUM, LOWER, hashes, spans
 
 RESULTS = ["n_words", "n_hit", "items", "longest", "contaminated"]
@@ -178,7 +178,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
     def searcher(held):
         @F.arrow_udf(_FOUND)
         def found(text: pa.Array) -> pa.Array:
-            return pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(_match(text, held.value), kind, strict=True)], [f.name for f in kind])
+            parts = [pa.array(v, f.type) for v, f in zip(_match(text, held.value), kind, strict=True)]
+            trim()
+            return pa.StructArray.from_arrays(parts, [f.name for f in kind])
 
         return found.asNondeterministic()
 

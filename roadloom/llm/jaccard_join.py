@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import chunks, stored, text_or_empty
+from roadloom.llm.common import chunks, stored, text_or_empty, trimmed
 from roadloom.llm.words import LOWER, NOT_SPACE, hashes, mix, ngrams, spans, whole
 
 RANK_BITS = 20
@@ -87,7 +87,7 @@ def levels(docs: DataFrame, k: int) -> np.ndarray:
                 sums[s] = sums[s] + n if s in sums else n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["slice", "n"])
 
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "slice long, n binary").repartition(_SLICES, "slice").mapInArrow(add, "slice long, n binary")
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(trimmed(count), "slice long, n binary").repartition(_SLICES, "slice").mapInArrow(trimmed(add), "slice long, n binary")
     total = np.zeros(1 << RANK_BITS, dtype=np.int64)
     for r in parts.collect():  # the fixed number of counters
         total[r["slice"] * size : (r["slice"] + 1) * size] += np.frombuffer(zlib.decompress(bytes(r["n"])), dtype=np.int64)
@@ -318,14 +318,14 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(size, pa.int64()), pa.array(node, pa.int64()), flat], ["doc_id", "n", "node", "prefix"])
 
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "jaccard-rows")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(prefixes), "doc_id long, n long, node long, prefix array<long>"), "jaccard-rows")
 
     # If this is the first token that a linked pair has in common, the rest of either set must reach the overlap that
     # both lengths need; for the shorter set that leaves only a leading part of its prefix.
     tokens = rows.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
-    shared = stored(tokens.mapInArrow(lambda batches: _shared(batches, num, den), "token long, node long, n long"), "jaccard-shared")
+    shared = stored(tokens.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long"), "jaccard-shared")
 
     # Home blocks, and the centres that the parts of a split block have in common.
     home = shared.groupBy("node").agg(F.min("token").alias("key"), F.max("n").alias("n"))
@@ -339,7 +339,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # One text for each node that shares a token.
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = placed.select("node").join(named, "node")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text").mapInArrow(_packed, "node long, text binary"), "jaccard-texts")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text").mapInArrow(trimmed(_packed), "node long, text binary"), "jaccard-texts")
 
     blocks = placed.select("node", "key", "part", F.lit(1).alias("role")).union(centres.select("node", "key", "part", F.lit(0).alias("role")))
     grouped = blocks.join(texts, "node").select("key", "part", "role", "node", F.col("node").alias("comp"), "text")
@@ -357,7 +357,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
         yield from _stream(batches, lambda: held.value, k, flush)
 
     order = ["key", "part", "role", "node"]
-    first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "jaccard-links")
+    first_links = stored(grouped.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(trimmed(compare), "a long, b long"), "jaccard-links")
     classes = components(first_links)
 
     # Tokens whose nodes are still of several classes, one of those that have the same nodes.
@@ -373,7 +373,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     probes = members.where("parts > 1 and comp <> main").select("key", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))).alias("part"), F.lit(2).alias("role"), "node", "comp")
     rest = members.select("key", "part", F.lit(1).alias("role"), "node", "comp").union(probes).join(texts, "node").select("key", "part", "role", "node", "comp", "text")
 
-    more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"))
+    more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(trimmed(compare), "a long, b long"))
 
     # From nodes to documents; rows that repeat an id tie their nodes.
     final = info.join(more, info["comp"] == more["id"], "left").select("node", F.coalesce("root", "comp").alias("comp"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import append_struct, chunks, text_or_empty
+from roadloom.llm.common import append_struct, chunks, text_or_empty, trim
 
 RESULTS = ["lang_pred", "score", "rejected"]
 _SPACED = np.full(256, 32, dtype=np.uint8)
@@ -147,6 +147,7 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
                 lang.append(m.langs[m.of[best[r]]] if known else "und")
                 score.append(float(top[r]) if known else 0.0)
                 out.append(not known or bool(top[r] < m.limits[best[r]]))
+        trim()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], RESULTS)
 
     text = text_or_empty()
