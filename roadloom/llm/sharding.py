@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import append, shared_dir, text_or_empty
+from roadloom.llm.common import append, shared_dir, stored, text_or_empty
 
 RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot"]
 #: Each slot's positions are dealt in so many parts, so that no window holds a whole slot.
@@ -35,9 +35,17 @@ def _hashed(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
 
 
-def slot_bytes(docs: DataFrame, slots: int) -> DataFrame:
-    """virtual_slot, bytes: what each slot holds."""
-    return docs.select(F.pmod(_hashed(docs), F.lit(slots)).cast("int").alias("virtual_slot"), record_size(F.col("text")).alias("b")).groupBy("virtual_slot").agg(F.sum("b").alias("bytes"))
+def _cell(docs: DataFrame, slots: int) -> tuple[Column, Column]:
+    """Virtual slot of a record, and its part of the slot."""
+    hashed = _hashed(docs)
+    return F.pmod(hashed, F.lit(slots)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(PARTS)).cast("int")
+
+
+def cell_loads(docs: DataFrame, slots: int) -> DataFrame:
+    """virtual_slot, part, n, bytes: what each part of each slot holds."""
+    vslot, part = _cell(docs, slots)
+    each = docs.select(vslot.alias("virtual_slot"), part.alias("part"), record_size(F.col("text")).alias("b"))
+    return each.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
 
 
 def assign(loads: DataFrame, shards: int, slots: int, previous: DataFrame | None = None, version: int = 1) -> DataFrame:
@@ -82,11 +90,12 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, folder: str | None = None, previous: DataFrame | None = None, version: int = 1) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot, grown_shard and virtual_slot."""
     folder = folder or shared_dir(docs.sparkSession, "slot-map")
-    slot_map = store_map(assign(slot_bytes(docs, slots), shards, slots, previous, version), folder, version)
+    # One pass over the texts tells both the slots' bytes and the positions' starts.
+    cells = stored(cell_loads(docs, slots), "slot-cells")
+    loads = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"))
+    slot_map = store_map(assign(loads, shards, slots, previous, version), folder, version)
 
-    hashed = _hashed(docs)
-    vslot, part = F.pmod(hashed, F.lit(slots)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(PARTS)).cast("int")
-    cells = docs.select(vslot.alias("virtual_slot"), part.alias("part")).groupBy("virtual_slot", "part").agg(F.count("*").alias("n"))
+    vslot, part = _cell(docs, slots)
     in_shard = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     # slots * PARTS rows at most, so it is small at any size of the corpus.
     starts = cells.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").select(F.col("virtual_slot").alias("__vs"), F.col("part").alias("__pt"), F.col("shard").alias("__shard"), F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("__start"))
