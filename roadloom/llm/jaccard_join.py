@@ -208,7 +208,7 @@ def _packed(batches):
     """Texts of nodes, compressed: they are shuffled by block."""
     for b in batches:
         packed = [zlib.compress(t.as_py().encode("utf-8"), 6) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *b.columns[2:]], b.schema.names)
 
 
 def _unpacked(packed: pa.Array, k: int, levels: np.ndarray, rows: int = 256):
@@ -333,16 +333,21 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
         F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK_NODES))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("parts"),
         *[F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"c{s}") for s in range(4)],
     )
-    placed = stored(home.join(by_key.select("key", "parts"), "key").select("node", "key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")), "jaccard-homes")
-    centres = by_key.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.explode(F.array("c0", "c1", "c2", "c3")).alias("node")).distinct()
+    centre = (F.col("parts") > 1) & F.col("node").isin(*[F.col(f"c{s}") for s in range(4)])
+    placed = stored(home.join(by_key, "key").select("node", "key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.when(centre, F.col("parts")).alias("ties")), "jaccard-homes")
 
-    # One text for each node that shares a token.
+    # One text for each node that shares a token; it brings its places along, so that it moves to its block at once.
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = placed.select("node").join(named, "node")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text").mapInArrow(trimmed(_packed), "node long, text binary"), "jaccard-texts")
+    wanted = placed.join(named, "node")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text", "key", "part", "ties")
+    texts = stored(packed.mapInArrow(trimmed(_packed), "node long, text binary, key long, part int, ties int"), "jaccard-texts")
 
-    blocks = placed.select("node", "key", "part", F.lit(1).alias("role")).union(centres.select("node", "key", "part", F.lit(0).alias("role")))
-    grouped = blocks.join(texts, "node").select("key", "part", "role", "node", F.col("node").alias("comp"), "text")
+    def place(part, role):
+        return F.struct(part.alias("part"), F.lit(role).alias("role"))
+
+    ties = F.when(F.col("ties").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("ties") - 1), lambda p: place(p, 0)))
+    places = F.concat(F.array(place(F.col("part"), 1)), F.coalesce(ties, F.expr("cast(array() as array<struct<part:int,role:int>>)")))
+    grouped = texts.select("key", F.explode(places).alias("p"), "node", "text").select("key", "p.part", "p.role", "node", F.col("node").alias("comp"), "text")
 
     def compare(batches):
         def flush(state, block, probe):
@@ -371,7 +376,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     groups = stored(many.where("comps > 1").groupBy("x0", "x1", "c").agg(F.min_by(F.struct("token", "main", parts.alias("parts")), "token").alias("g")).select("g.*"), "jaccard-groups")
     members = seen.join(groups, "token").select(F.col("token").alias("key"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "comp", "main", "parts")
     probes = members.where("parts > 1 and comp <> main").select("key", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))).alias("part"), F.lit(2).alias("role"), "node", "comp")
-    rest = members.select("key", "part", F.lit(1).alias("role"), "node", "comp").union(probes).join(texts, "node").select("key", "part", "role", "node", "comp", "text")
+    rest = members.select("key", "part", F.lit(1).alias("role"), "node", "comp").union(probes).join(texts.select("node", "text"), "node").select("key", "part", "role", "node", "comp", "text")
 
     more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(trimmed(compare), "a long, b long"))
 
