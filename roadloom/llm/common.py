@@ -26,11 +26,20 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there and survives lost executors."""
-    path = shared_dir(df.sparkSession, label)
+    return stored_at(df, shared_dir(df.sparkSession, label))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def trim() -> None:
     """Hands what this Python worker has freed back to the system: an idle worker keeps none of its last task's memory."""
     pa.default_memory_pool().release_unused()

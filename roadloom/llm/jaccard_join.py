@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import chunks, stored, text_or_empty, trimmed
+from roadloom.llm.common import chunks, discard, shared_dir, stored, stored_at, text_or_empty, trimmed
 from roadloom.llm.words import LOWER, NOT_SPACE, hashes, mix, ngrams, spans, whole
 
 RANK_BITS = 20
@@ -318,7 +318,8 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(size, pa.int64()), pa.array(node, pa.int64()), flat], ["doc_id", "n", "node", "prefix"])
 
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(prefixes), "doc_id long, n long, node long, prefix array<long>"), "jaccard-rows")
+    full = shared_dir(spark, "jaccard-prefixes")
+    rows = stored_at(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(prefixes), "doc_id long, n long, node long, prefix array<long>"), full)
 
     # If this is the first token that a linked pair has in common, the rest of either set must reach the overlap that
     # both lengths need; for the shorter set that leaves only a leading part of its prefix.
@@ -326,6 +327,9 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
     shared = stored(tokens.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long"), "jaccard-shared")
+    # The prefixes, most of what is stored, have served: only the rows' other columns stay.
+    rows = stored(rows.drop("prefix"), "jaccard-rows")
+    discard(spark, full)
 
     # Home blocks, and the centres that the parts of a split block have in common.
     home = shared.groupBy("node").agg(F.min("token").alias("key"), F.max("n").alias("n"))
