@@ -100,6 +100,39 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role AS r, coalesce(text, '') AS text, text AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', 'user', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', 'assistant', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok'),
+e AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text_out,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS role_out FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role_out || chr(10) || text_out || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+# Documents with one and the same set of shingles are compared once; words hold no space, so joined words stay apart.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(ws[p : p + 3], ' ') FOR p IN range(1, len(ws) - 2)])) END AS g FROM w),
+d AS (SELECT doc_id, g, len(g) AS n, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY g) ELSE doc_id END AS node FROM s),
+u AS (SELECT node, n, unnest(g) AS x FROM d WHERE node = doc_id),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.x = b.x AND a.node < b.node
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS node, a AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+least_of AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, d.node) AS component_id FROM d LEFT JOIN least_of ON d.node = least_of.node"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}

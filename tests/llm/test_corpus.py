@@ -323,3 +323,18 @@ def test_results_on_the_small_tables(spark):
     assert told.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
     marked = queries.op7_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     assert marked.select(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.75
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op5_decontaminate", "op6_chat_format", "op9_jaccard_join"])
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    import duckdb
+
+    from roadloom.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = queries.queries()[name](spark, sf)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want)
