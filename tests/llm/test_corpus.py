@@ -260,6 +260,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in nothing.values()} == {"und"}
 
 
+def test_language_id_keeps_labelled_texts_and_rejects_foreign_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "Это другой язык и его слова", None), (-2, "漢字かな交じり文のとても長い文章です", None), (-3, None, None)], docs.schema)
+    got = language_id.identify(docs.union(odd), language_id.fit(docs)).where("rejected").collect()
+    assert sorted(r.doc_id for r in got) == [-3, -2, -1]
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows = [(i, text(40) if i % 4 else " ".join([w := rng.choice(WORDS)] * 40) + w, None, None, None) for i in range(240)]
