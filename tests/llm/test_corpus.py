@@ -288,6 +288,35 @@ def test_license_scan(spark):
         assert math.isclose(2 * len(a & b) / (len(a) + len(b)), {6: 6 / 9, 1: 1.0}[i])
 
 
+def _wrapped(t, width):
+    w = t.split()
+    return "\n".join(" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def test_licenses_in_bodies_headers_wrapped_and_inside_paragraphs(spark):
+    t, around = licenses.TEMPLATES, " ".join(f"wort{i}" for i in range(60))
+    bodies = {n: x[-1] for n, x in t.items() if len(x[-1]) > 600}
+    assert {"MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= bodies.keys()
+    cases = [(n, f"{around}\n\nCopyright (c) 2020 Someone. All rights reserved.\n\n{_wrapped(x, 9)}\n{around}") for n, x in bodies.items()]
+    cases += [(n, f"{around}. {t[n][2]} {around}") for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")]
+    cases += [(n, f"{around}\n{_wrapped(t[n][0], 5)}\n{around}") for n in ("MPL-2.0", "GPL-2.0", "GPL-3.0", "CC-BY-SA-4.0")]
+    cases += [(n, f"{around} {t[n][0]} {around}") for n in sorted(t)]
+    cases += [(None, f"{around} and/or modify it under the terms of the agreement {around}"), (None, around)]
+    got = by_id(licenses.scan(table(spark, "Dice", [(i, x, None, None, None) for i, (_, x) in enumerate(cases)])))
+    assert [got[i].license for i in range(len(cases))] == [n for n, _ in cases]
+
+
+def test_license_windows_are_the_best_of_all():
+    rng = random.Random(8)
+    for _ in range(60):
+        template, doc = " ".join(rng.choices("abcde", k=rng.randint(4, 9))), rng.choices("abcdefg", k=60)
+        n, own = len(template.split()) - 1, licenses.bigrams(template)
+        spans = [licenses.bigrams(" ".join(doc[i : j + 1])) for i in range(60 - n) for j in range(i + n, min(i + int(n * 1.5), 59) + 1)]
+        best = max(2 * len(own & s) / (len(own) + len(s)) for s in spans)
+        got = licenses._match(" ".join(doc), licenses._Known({"L": [template]}), 0.8)["dice"]
+        assert math.isclose(got, best if best >= 0.8 else 0.0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
