@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,43 @@ def routes(edges: DataFrame, bound: float, sources: DataFrame | None = None) ->
         before = after
 
 
+def shortest(out: dict[int, list[tuple[int, float]]], src: int, wanted: Iterable[int]) -> dict[int, float]:
+    """Distances from src to those of the wanted nodes that it reaches, without a bound."""
+    left, heap, done, found = set(wanted), [(0.0, src)], set(), {}
+    while heap and left:
+        dist, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done.add(node)
+        if node in left:
+            left.discard(node)
+            found[node] = dist
+        for to, length in out.get(node, ()):
+            if to not in done:
+                heapq.heappush(heap, (dist + length, to))
+    return found
+
+
+def routes_between(edges: DataFrame, pairs: DataFrame, most_links: int = 500_000) -> DataFrame:
+    """src, dst, dist of the reachable ones of the wanted pairs (src, dst), whatever their distance; one search for each src.
+
+    The road network of a case is broadcast; its size is checked.
+    """
+    net = links(edges)
+    if net.count() > most_links:
+        raise ValueError("too many edges for one case: split the network by region")
+    out: dict[int, list[tuple[int, float]]] = {}
+    for r in net.collect():
+        out.setdefault(r["src"], []).append((r["dst"], r["length"]))
+    held = edges.sparkSession.sparkContext.broadcast(out)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        src = pdf["src"].iloc[0]
+        return pd.DataFrame([(src, dst, dist) for dst, dist in shortest(held.value, int(src), pdf["dst"].tolist()).items()], columns=["src", "dst", "dist"])
+
+    return pairs.select("src", "dst").distinct().groupBy("src").applyInPandas(search, "src long, dst long, dist double")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node_id, component: weakly connected components by least node, with pointer jumping."""
     pair = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))

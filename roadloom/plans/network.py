@@ -278,7 +278,7 @@ def _steps(spark, sf):
     either = F.col("imputed") | F.coalesce(F.lag("imputed").over(sequence.track()), F.lit(False))
     p = p.withColumns({"reliability": X.direction_reliability(F.col("hdop"), F.col("sat_count"), F.col("moved"), either), "step": F.row_number().over(sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER))})
     e = geo.with_points(tables.edges(spark, sf), tables.nodes(spark, sf))
-    c = geo.candidates(stored(p, "effective"), geo.segments(e), top=8, x="eff_x", y="eff_y")
+    c = geo.candidates(stored(p, "effective"), geo.segments(e), x="eff_x", y="eff_y")
     line = F.hypot(F.col("b")["x"] - F.col("a")["x"], F.col("b")["y"] - F.col("a")["y"])
     lines = e.select("u", "v", "k", F.get("points", F.lit(0)).alias("a"), F.get("points", F.lit(1)).alias("b")).select("u", "v", "k", line.alias("line_length"), ((F.col("b")["x"] - F.col("a")["x"]) / line).alias("tx"), ((F.col("b")["y"] - F.col("a")["y"]) / line).alias("ty"))
     c = c.join(lines, ["u", "v", "k"])
@@ -290,8 +290,8 @@ def _steps(spark, sf):
 
 def q3_viterbi(spark, sf):
     c = stored(_steps(spark, sf), "steps")
-    pairs = decode.pair_potentials(c, graph.routes(tables.edges(spark, sf), 600.0))
-    return rounded(decode.viterbi(c, pairs), 4)
+    pairs = decode.pair_potentials(c, stored(graph.routes_between(tables.edges(spark, sf), decode.node_pairs(c)), "hops"))
+    return rounded(decode.viterbi(c, pairs, beam=None), 4)
 
 
 def q2_level_filter(spark, sf):
