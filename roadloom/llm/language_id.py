@@ -143,11 +143,13 @@ def fit(labelled: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lan
     """Learns from columns text and lang.
 
     Document frequencies cover every labelled row. The centroids are fitted on a sample of about
-    `sample_per_lang` texts of each language (chosen by a hash of the text), so what reaches the
-    driver is sample_per_lang * languages vectors of `dims` floats, and short ones of their pieces, whatever the size of the corpus.
+    `sample_per_lang` different texts of each language (chosen by a hash of the text; all where there are no more), each once however often
+    it is repeated, so what reaches the driver is about sample_per_lang * languages vectors of `dims` floats, and short ones of their pieces, whatever the size of the corpus.
     """
     rows = labelled.select(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counted = rows.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()
+    per_lang = {r["lang"]: r["n"] for r in counted}
     if not per_lang:
         return CentroidModel([], np.zeros(0, np.int64), np.zeros((dims, 0), np.float32), np.zeros((0, dims.bit_length())), np.zeros((0, dims), bool), np.ones(dims))
 
@@ -164,23 +166,27 @@ def fit(labelled: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lan
         df[r["d"]] = r["n"]
     idf = np.log((1 + sum(per_lang.values())) / (1 + df)) + 0.05
 
-    share = F.create_map(*[x for k, n in sorted(per_lang.items()) for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / n)))])
-    sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")])
+    share = F.create_map(*[x for k, n in sorted((r["lang"], r["texts"]) for r in counted) for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / n)))])
+    sample = rows.where((F.pmod("h", F.lit(1 << 40)) / (1 << 40)) < share[F.col("lang")])
 
     def vectors(batches):
+        met = set()  # copies in one partition
         for b in batches:
-            langs, texts = b.column(1).to_pylist(), b.column(0).cast(pa.binary()).to_pylist()
-            for lang, text in zip(langs, texts, strict=True):
+            langs, texts, hashes = b.column(1).to_pylist(), b.column(0).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()
+            for lang, text, h in zip(langs, texts, hashes, strict=True):
+                if (lang, h) in met:
+                    continue
+                met.add((lang, h))
                 _, _, buf, offs = next(chunks(pa.array([p.decode() for p in _pieces(text)]), limit=1 << 62))
                 v = _vectors(buf, offs, idf)
                 at = [np.flatnonzero(r) for r in v]
                 sizes = np.array([len(i) for i in at], np.uint32)
                 values = np.concatenate([r[i] for r, i in zip(v, at, strict=True)])
                 row = [lang, sizes.tobytes(), np.concatenate(at).astype(np.uint32).tobytes(), values.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *[pa.array([c], pa.binary()) for c in row[1:]]], ["lang", "sizes", "places", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([h]), *[pa.array([c], pa.binary()) for c in row[1:]]], ["lang", "h", "sizes", "places", "v"])
 
     by_lang: dict[str, list[tuple[bytes, bytes, bytes]]] = {}
-    for r in sample.mapInArrow(vectors, "lang string, sizes binary, places binary, v binary").toLocalIterator():
+    for r in sample.mapInArrow(vectors, "lang string, h long, sizes binary, places binary, v binary").dropDuplicates(["lang", "h"]).toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((bytes(r["v"]), bytes(r["places"]), bytes(r["sizes"])))
 
     def dense(v: bytes, places: bytes, sizes: bytes) -> np.ndarray:

@@ -267,6 +267,15 @@ def test_language_id_keeps_labelled_texts_and_rejects_foreign_ones(spark):
     assert sorted(r.doc_id for r in got) == [-3, -2, -1]
 
 
+def test_language_id_learns_from_repeated_texts(spark):
+    few = ["kilo lima kilolima", "mike nova mikenova", "oska papa oskapapa"]
+    rows = [(i, few[i % 3], "aa", None, None) for i in range(3000)] + [(5000 + i, "éüöß üöéß ßéüö", "bb", None, None) for i in range(2000)]
+    model = language_id.fit(table(spark, "x", rows), dims=1024)
+    assert model.langs == ["aa", "bb"]
+    got = by_id(language_id.identify(table(spark, "x", rows), model))
+    assert all(got[i].lang_pred == lang and not got[i].rejected for i, _, lang, *_ in rows)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows = [(i, text(40) if i % 4 else " ".join([w := rng.choice(WORDS)] * 40) + w, None, None, None) for i in range(240)]
