@@ -78,7 +78,7 @@ SELECT case_name, CAST(run_index AS INT) AS run_index, p, round(least(1, max(st)
 
 def x1_wilcoxon(spark, sf):
     g = _gains(spark, sf)
-    low = stats.bootstrap_interval(g, "gain", "case_name", draws=500)
+    low = stats.bootstrap_interval(g, "gain", "case_name")
     return rounded(stats.wilcoxon(g, "gain", "case_name").join(low, "case_name"))
 
 

@@ -25,3 +25,13 @@ def test_viterbi_goes_on_over_long_routes_and_keeps_every_candidate(spark):
     edges = spark.createDataFrame([(0, 1, 0, 50.0), (1, 2, 0, 700.0), (2, 3, 0, 50.0)], "u long, v long, k long, length double")
     got = decode.pair_potentials(cands, graph.routes_between(edges, decode.node_pairs(cands))).first()
     assert got.route == 700.0 and math.isclose(got.potential, math.exp(-1))
+
+
+def test_wilcoxon_takes_the_reference_number_of_draws(spark, monkeypatch):
+    from roadloom.operators import stats
+    from roadloom.plans import evaluation
+
+    taken, kept = [], stats.bootstrap_interval
+    monkeypatch.setattr(stats, "bootstrap_interval", lambda *a, draws=2000, **k: taken.append(draws) or kept(*a, draws=5, **k))
+    evaluation.x1_wilcoxon(spark, "/root/testdata/sf0.001")
+    assert taken == [2000]
