@@ -105,8 +105,34 @@ def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallba
     return both.where(F.col("rank") <= top) if top else both
 
 
+def _piece_length(p: Column, q: Column) -> Column:
+    return F.hypot(q["x"] - p["x"], q["y"] - p["y"])
+
+
+def line_length(points: Column) -> Column:
+    """Length of a polyline; 0 for a single point."""
+    return F.aggregate(F.slice(points, 2, F.size(points)), F.struct(F.get(points, F.lit(0)).alias("p"), d(0).alias("n")), lambda s, q: F.struct(q.alias("p"), (s["n"] + _piece_length(s["p"], q)).alias("n")), lambda s: s["n"])
+
+
+def point_at(points: Column, arc: Column) -> Column:
+    """The point of a polyline at an arc length from its start; its ends beyond."""
+
+    def step(s: Column, q: Column) -> Column:
+        n = _piece_length(s["p"], q)
+        t = F.coalesce(clip(s["left"] / F.nullif(n, d(0)), 0, 1), d(0))
+        at = F.struct((s["p"]["x"] + t * (q["x"] - s["p"]["x"])).alias("x"), (s["p"]["y"] + t * (q["y"] - s["p"]["y"])).alias("y"))
+        return F.struct(q.alias("p"), F.when(s["left"] > 0, at).otherwise(s["at"]).alias("at"), (s["left"] - n).alias("left"))
+
+    first = F.get(points, F.lit(0))
+    start = F.struct(first.alias("p"), first.alias("at"), arc.cast("double").alias("left"))
+    return F.aggregate(F.slice(points, 2, F.size(points)), start, step, lambda s: s["at"])
+
+
 def tangent(points: Column, arc: Column, length: Column) -> Column:
-    """Unit tangent around a position: 2 % of the length to each side, 0.5 to 5 m, whole line where that is nothing. For lines of two points."""
-    p, q = F.get(points, F.lit(0)), F.get(points, F.size(points) - 1)
-    norm = F.nullif(F.hypot(q["x"] - p["x"], q["y"] - p["y"]), d(0))
+    """Unit tangent of a polyline around a position: 2 % of the length to each side, 0.5 to 5 m, whole line where that is nothing."""
+    side = clip(length * d(0.02), 0.5, 5)
+    low, high = F.greatest(arc - side, d(0)), F.least(arc + side, length)
+    nothing = high - low <= d(1e-9)
+    p, q = point_at(points, F.when(nothing, d(0)).otherwise(low)), point_at(points, F.when(nothing, length).otherwise(high))
+    norm = F.nullif(_piece_length(p, q), d(0))
     return F.struct(((q["x"] - p["x"]) / norm).alias("tx"), ((q["y"] - p["y"]) / norm).alias("ty"))

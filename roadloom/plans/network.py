@@ -279,9 +279,9 @@ def _steps(spark, sf):
     p = p.withColumns({"reliability": X.direction_reliability(F.col("hdop"), F.col("sat_count"), F.col("moved"), either), "step": F.row_number().over(sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER))})
     e = geo.with_points(tables.edges(spark, sf), tables.nodes(spark, sf))
     c = geo.candidates(stored(p, "effective"), geo.segments(e), x="eff_x", y="eff_y")
-    line = F.hypot(F.col("b")["x"] - F.col("a")["x"], F.col("b")["y"] - F.col("a")["y"])
-    lines = e.select("u", "v", "k", F.get("points", F.lit(0)).alias("a"), F.get("points", F.lit(1)).alias("b")).select("u", "v", "k", line.alias("line_length"), ((F.col("b")["x"] - F.col("a")["x"]) / line).alias("tx"), ((F.col("b")["y"] - F.col("a")["y"]) / line).alias("ty"))
-    c = c.join(lines, ["u", "v", "k"])
+    lines = e.select("u", "v", "k", "points", geo.line_length(F.col("points")).alias("line_length"))
+    c = c.join(lines, ["u", "v", "k"]).withColumn("__t", geo.tangent(F.col("points"), F.col("arc"), F.col("line_length")))
+    c = c.withColumns({"tx": F.col("__t")["tx"], "ty": F.col("__t")["ty"]}).drop("points", "__t")
     emit = X.spatial_log_prob(F.col("dist"), X.quality_scale(F.col("hdop"), F.col("sat_count"), F.col("imputed")))
     edge = (F.col("u") * 1_000_000_000 + F.col("v") * 10 + F.col("k")).cast("long")
     return c.withColumns({"emit": emit, "edge": edge, "ox": F.col("eff_x"), "oy": F.col("eff_y")})

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from roadloom.operators import decode, graph
+from roadloom.operators import decode, geo, graph
 from roadloom.plans import network
 from roadloom.sources.shared import stored
 
@@ -35,3 +35,14 @@ def test_wilcoxon_takes_the_reference_number_of_draws(spark, monkeypatch):
     monkeypatch.setattr(stats, "bootstrap_interval", lambda *a, draws=2000, **k: taken.append(draws) or kept(*a, draws=5, **k))
     evaluation.x1_wilcoxon(spark, "/root/testdata/sf0.001")
     assert taken == [2000]
+
+
+def test_tangent_and_length_follow_a_polyline(spark):
+    line = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 100d, 'y', 0d), named_struct('x', 100d, 'y', 0d), named_struct('x', 100d, 'y', 50d))"
+    rows = spark.sql(f"select {line} points, explode(array(0d, 50d, 100d, 120d, 150d)) arc").withColumn("n", geo.line_length(F.col("points")))
+    got = rows.withColumn("t", geo.tangent(F.col("points"), F.col("arc"), F.col("n"))).orderBy("arc").collect()
+    half = math.sqrt(0.5)
+    assert [r.n for r in got] == [150.0] * 5
+    assert all(math.isclose(r.t.tx, x, abs_tol=1e-12) and math.isclose(r.t.ty, y, abs_tol=1e-12) for r, (x, y) in zip(got, [(1, 0), (1, 0), (half, half), (0, 1), (0, 1)], strict=True))
+    dot = spark.sql("select array(named_struct('x', 1d, 'y', 1d)) points").select(geo.line_length(F.col("points")).alias("n"), geo.tangent(F.col("points"), F.lit(0.0), F.lit(0.0)).alias("t")).first()
+    assert dot.n == 0 and dot.t.tx is None
