@@ -4,7 +4,7 @@ The index has one entry a row (hash, id, digest, length; no text), written to th
 directory of 2^depth slots addresses it by the top bits of the hash; while the fullest slot holds
 more entries than a bucket may, the directory doubles, so a bucket is split along its next bit. Entries with one and
 the same hash cannot be split: they form a chain, which is counted once when measuring a bucket.
-Owner tasks take key ranges of the directory. A hash with one entry is settled by the index alone. For the
+The directory's depth is computed, but no bucket is written or owned by a task: a hash aggregate by (slot, hash) replaces that. A hash with one entry is settled by the index alone. For the
 others the texts come back, and are compared byte for byte: grouping by (hash, text) lets
 equal texts of a task meet before the shuffle, so a huge group of copies costs one row a task. Texts that
 differ under one hash stay links of one chain, told apart by their bytes.
