@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,16 +14,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest run of text bytes that one vectorised step handles; temporaries take about 30 bytes a byte.
-CHUNK_BYTES = 1 << 20
+#: Largest run of text bytes, and of rows, that one vectorised step handles; temporaries take about 30 bytes a byte.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1024
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the one that the cluster shares (spark.checkpoint.dir)."""
+    """A fresh folder under the one that the cluster shares (spark.checkpoint.dir); gone when the application ends.
+
+    Where the setting is missing, a single-machine session uses its temporary folder and any other raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/roadloom-shared"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = f"file://{tempfile.gettempdir()}/roadloom-shared"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -82,8 +92,8 @@ def append_struct(docs: DataFrame, struct: Column, names: list[str]) -> DataFram
     return held.select(*keep, *(held["__result"][n].alias(n) for n in names))
 
 
-def chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them) for runs of whole rows of about `limit` bytes; null reads as empty."""
+def chunks(text: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows in them) for runs of whole rows of about `limit` bytes and `rows` rows at most; null reads as empty."""
     arr = pc.fill_null(text.cast(pa.large_string()), "")
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
@@ -96,6 +106,6 @@ def chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
     i = 0
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + rows)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
