@@ -1,25 +1,27 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Each shard of the corpus (the rows of an Arrow batch) gets a sorted suffix array of its word sequences.
-Every suffix of every benchmark item is binary-searched in it: the neighbours of its place give the longest
-verbatim match, and the range that starts with the suffix's first `window` words gives all places
-where that window occurs. A shard keeps only suffixes that a window could start at: those followed, within their
+Each shard of the corpus (a run of rows) is one array of word ids, and its suffix array is a sorted array of offsets into it.
+Every window of every benchmark item is binary-searched in it, comparing ids in place; the range of suffixes that start with the window gives all places
+where it occurs. Of an item found in a document, the longest verbatim match and its places follow from
+the ids of both by doubling. No suffix is ever copied out: a shard's arrays take about 60 bytes a word whatever the length of texts and items.
+A shard keeps only suffixes that a window could start at: those followed, within their
 document, by enough words that the benchmark has at all. No match can start anywhere else.
 
 Words are equal when their bytes are: words are found by 64-bit hash and then compared with
-the benchmark's own bytes.
+the benchmark's own bytes; benchmark words of one hash are told apart by them too.
 
-Benchmark items are read to the driver and broadcast in blocks of at most `block_bytes` of text; with more
+Benchmark items are read to the driver and broadcast in blocks of at most `block_bytes` of text (an item is never split); with more
 than one block the corpus passes each in turn, carrying its hits along, so memory is bounded for any benchmark.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; a null or wordless item
 has no window; a null item_id counts as empty text in the list of items; items that repeat an item_id
-are listed once. An item of fewer than `window` words is one window. Columns named like a result are replaced.
+are listed once. An item of fewer than `window` words is one window. Of longest matches that are equally long the first in the item, then in
+the document, is given. Columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,144 +37,262 @@ _FOUND = "n_words long, hits array<struct<start:long,length:long>>, items array<
 
 
 @dataclass(frozen=True)
-class Suffixes:
-    """A block of benchmark items, ready to be searched for."""
-
-    vocabulary: np.ndarray  # sorted hashes; a word's id is its place plus 1
-    words: list[bytes]  # by id - 1
-    suffixes: list[tuple[str, int, int, bytes]]  # item, word in it, words of its window, ids as 4 bytes each
-    least: int  # words of the shortest window
-    most: int  # words of the longest suffix
-
-
-def _ids(block: list[tuple[str, str]], window: int) -> Suffixes:
-    seqs, by_hash = [], {}
-    for item, text in block:
+class Items:
+    """A block of benchmark items as one array of word ids, ready to be searched for."""
+
+    vocabulary: np.ndarray  # sorted hashes
+    word: np.ndarray  # the id of each
+    alike: dict[int, list[int]]  # ids by id, of further words with the same hash
+    letters: np.ndarray  # bytes of the words, by id
+    at: np.ndarray  # and where each begins
+    ids: np.ndarray  # of all items
+    names: list[str]
+    first: np.ndarray  # where each item begins in ids
+    starts: np.ndarray  # of windows, in ids
+    widths: np.ndarray
+    item: np.ndarray  # of each window
+
+    @property
+    def least(self) -> int:
+        return int(self.widths.min()) if len(self.widths) else 0
+
+
+def items_of(block: list[tuple[str, str]], window: int) -> Items:
+    by_word: dict[bytes, int] = {}
+    by_hash: dict[int, list[int]] = {}
+    ids, names, first = [], [], [0]
+    for name, text in block:
         buf = LOWER[np.frombuffer(text.encode("utf-8"), dtype=np.uint8)]
         starts, ends, _ = spans(buf, np.array([0, len(buf)]), ALNUM)
-        h = hashes(buf, starts, ends)
-        raw = buf.tobytes()
-        for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
-            if by_hash.setdefault(int(h[k]), raw[a:b]) != raw[a:b]:
-                raise ValueError("two benchmark words share a 64-bit hash")
-        seqs.append((item, h))
+        raw, own = buf.tobytes(), np.empty(len(starts), np.int32)
+        for k, (a, b, h) in enumerate(zip(starts.tolist(), ends.tolist(), hashes(buf, starts, ends).tolist(), strict=True)):
+            found = by_word.get(raw[a:b])
+            if found is None:
+                found = by_word[raw[a:b]] = len(by_word) + 1
+                by_hash.setdefault(h, []).append(found)
+            own[k] = found
+        ids.append(own)
+        names.append(name)
+        first.append(first[-1] + len(own))
     vocabulary = np.array(sorted(by_hash), dtype=np.uint64)
-    suffixes, least, most = [], window, 1
-    for item, h in seqs:
-        ids = (np.searchsorted(vocabulary, h) + 1).astype(">u4").tobytes()
-        n = len(h)
-        for p in range(max(n - window, 0) + 1 if n else 0):
-            w = min(window, n)
-            suffixes.append((item, p, w, ids[4 * p :]))
-            least, most = min(least, w), max(most, n - p)
-    return Suffixes(vocabulary, [by_hash[int(v)] for v in vocabulary], suffixes, least, most)
-
-
-def _common(a: bytes, b: bytes) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n : n + 4] == b[n : n + 4]:
-        n += 4
-    return n // 4
-
-
-class _Shard:
-    """Suffix array of a run of rows."""
-
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, s: Suffixes):
+    first = np.array(first)
+    n = np.diff(first)
+    windows = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+    item = np.repeat(np.arange(len(n)), windows)
+    begins = np.concatenate(([0], np.cumsum(windows)))[:-1] if len(n) else windows
+    return Items(
+        vocabulary,
+        np.array([by_hash[h][0] for h in vocabulary.tolist()], dtype=np.int32),
+        {v[0]: v[1:] for v in by_hash.values() if len(v) > 1},
+        np.frombuffer(b"".join(by_word), dtype=np.uint8),
+        np.concatenate(([0, 0], np.cumsum([len(w) for w in by_word]))).astype(np.int64),  # id 0 is no word
+        np.concatenate(ids) if ids else np.zeros(0, np.int32),
+        names,
+        first,
+        first[item] + np.arange(len(item)) - begins[item],
+        np.minimum(window, n)[item],
+        item,
+    )
+
+
+def _spelled(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, s: Items) -> np.ndarray:
+    """Whether the words of buf have the bytes of the words `ids`."""
+    good = sizes == s.at[ids + 1] - s.at[ids]
+    left, k = np.flatnonzero(good), 0
+    while len(left):
+        same = buf[starts[left] + k] == s.letters[s.at[ids[left]] + k]
+        good[left[~same]] = False
+        k += 1
+        left = left[same]
+        left = left[sizes[left] > k]
+    return good
+
+
+def _pairs(names: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
+    """Names of blocks twice as long: ranks of (name, name `size` further on; 0 where the run ends before). left: how many words follow in the run."""
+    further = np.zeros(len(names), np.int64)
+    reach = np.flatnonzero(left > size)
+    further[reach] = names[reach + size]
+    return np.unique(names * (int(further.max(initial=0)) + 1) + further, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
+
+
+class Shard:
+    """Word ids of a run of rows, and the suffix array of those suffixes that a window could start at."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, s: Items):
         low = LOWER[buf]
-        starts, ends, first = spans(low, offs, ALNUM)
-        self.n_words = np.diff(first)
-        self.first = first
-        self.keys: list[bytes] = []
-        self.at = np.zeros(0, np.int64)
+        starts, ends, self.first = spans(low, offs, ALNUM)
+        self.ids = np.zeros(len(starts), np.int32)
+        self.at = self.run = np.zeros(0, np.int64)
         if not len(starts) or not len(s.vocabulary):
             return
         h = hashes(low, starts, ends)
-        place = np.searchsorted(s.vocabulary, h)
-        known = s.vocabulary[np.minimum(place, len(s.vocabulary) - 1)] == h
-        ids = np.where(known, place + 1, 0)
-        # Words with an id that follow without a gap, in the same row.
-        stop = np.flatnonzero(~known)
-        row_end = np.repeat(first[1:], self.n_words)
-        nearest = np.searchsorted(stop, np.arange(len(ids)))
-        gap = np.append(stop, len(ids))[nearest]
-        run = np.minimum(gap, row_end) - np.arange(len(ids))
-        live = np.flatnonzero(run >= s.least)
-        if not len(live):
+        place = np.minimum(np.searchsorted(s.vocabulary, h), len(s.vocabulary) - 1)
+        self.ids = np.where(s.vocabulary[place] == h, s.word[place], 0)
+        self.run = self._runs()
+        covered = self._covered(s.least)
+        if not len(covered):
             return
-        raw = low.tobytes()
-        reach = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(reach, live, 1)
-        np.add.at(reach, np.minimum(live + np.minimum(run[live], s.most), len(ids)), -1)
-        for w in np.flatnonzero(np.cumsum(reach[:-1]) > 0):
-            if raw[starts[w] : ends[w]] != s.words[ids[w] - 1]:
-                ids[w] = 0  # a foreign word of the same hash
-        packed = ids.astype(">u4").tobytes()
-        keys = [packed[4 * p : 4 * (p + min(int(run[p]), s.most))] for p in live]
-        order = sorted(range(len(keys)), key=lambda i: (keys[i], i))
-        self.keys, self.at = [keys[i] for i in order], live[order]
-
-    def search(self, s: Suffixes):
-        """(item, first words of hits, length) for every window that occurs, and the longest match of each suffix."""
-        if not self.keys:
+        sizes, own = ends - starts, self.ids[covered]
+        wrong = covered[~_spelled(low, starts[covered], sizes[covered], own, s)]
+        for w in wrong.tolist():  # other words of the same hash
+            more = np.array([x for x in s.alike.get(int(self.ids[w]), []) if _spelled(low, starts[[w]], sizes[[w]], np.array([x]), s)[0]], np.int32)
+            self.ids[w] = more[0] if len(more) else 0
+        if len(wrong):
+            self.run = self._runs()
+            covered = self._covered(s.least)
+        # Suffixes sorted by doubling, as far as windows reach.
+        names, left, size = self.ids[covered].astype(np.int64), self.run[covered], 1
+        while size < int(s.widths.max()):
+            names, size = _pairs(names, left, size), 2 * size
+        live = np.flatnonzero(left >= s.least)
+        self.at = covered[live[np.argsort(names[live], kind="stable")]]
+
+    def _runs(self) -> np.ndarray:
+        """For each word, how many words with an id follow without a gap in its row, itself included."""
+        stop = np.flatnonzero(self.ids == 0)
+        here = np.arange(len(self.ids))
+        gap = np.append(stop, len(self.ids))[np.searchsorted(stop, here)]
+        return np.minimum(gap, np.repeat(self.first[1:], np.diff(self.first))) - here
+
+    def _covered(self, least: int) -> np.ndarray:
+        """Words of the runs that are long enough for a window."""
+        begins = np.flatnonzero((self.run > 0) & (np.concatenate(([0], self.run[:-1])) <= 1))
+        long = begins[self.run[begins] >= least]
+        mark = np.zeros(len(self.ids) + 1, np.int64)
+        mark[long] += 1
+        np.add.at(mark, long + self.run[long], -1)
+        return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+
+    def _bound(self, s: Items, starts: np.ndarray, widths: np.ndarray, after: bool) -> np.ndarray:
+        """Where each window would go in the suffix array: before the suffixes that begin with it, or after them."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.at))
+        todo = np.arange(len(starts)) if len(self.at) else np.zeros(0, np.int64)
+        while len(todo):
+            middle = (low[todo] + high[todo]) >> 1
+            place = self.at[middle]
+            up = np.full(len(todo), after)  # where all words are equal
+            open_, k = np.arange(len(todo)), 0
+            while len(open_):
+                want, p = s.ids[starts[todo[open_]] + k], place[open_]
+                inside = self.run[p] > k
+                have = np.where(inside, self.ids[np.where(inside, p + k, 0)], 0)
+                up[open_[have < want]] = True
+                up[open_[have > want]] = False
+                k += 1
+                open_ = open_[have == want]
+                open_ = open_[widths[todo[open_]] > k]
+            low[todo[up]] = middle[up] + 1
+            high[todo[~up]] = middle[~up]
+            todo = todo[low[todo] < high[todo]]
+        return low
+
+    def search(self, s: Items) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, words of its windows, sorted first words of all their occurrences) of each item that occurs."""
+        if not len(self.at):
             return
-        for item, p, w, key in s.suffixes:
-            lo = bisect_left(self.keys, key[: 4 * w])
-            hi = bisect_left(self.keys, key[: 4 * w] + b"\xff\xff\xff\xff", lo=lo)
-            if lo == hi:
-                continue
-            whole = bisect_left(self.keys, key, lo=lo)
-            best = max(((_common(key, self.keys[i]), -i) for i in (whole - 1, whole) if lo <= i < hi), default=(w, -lo))
-            yield item, p, w, self.at[lo:hi], best[0], int(self.at[-best[1]])
-
-
-def _match(batch: pa.RecordBatch | pa.Array, s: Suffixes):
+        present = np.zeros(len(s.at), bool)
+        present[self.ids] = True
+        there = np.concatenate(([0], np.cumsum(present[s.ids])))
+        some = np.flatnonzero(there[s.starts + s.widths] - there[s.starts] == s.widths)
+        low = self._bound(s, s.starts[some], s.widths[some], False)
+        high = self._bound(s, s.starts[some], s.widths[some], True)
+        found = np.flatnonzero(low < high)
+        # Equal windows of an item have one range; the ranges of others are disjoint.
+        _, once = np.unique(np.stack((s.item[some[found]], low[found])), axis=1, return_index=True)
+        found = found[once]
+        owner = s.item[some[found]]
+        for i in np.unique(owner).tolist():
+            of = found[owner == i]
+            yield i, int(s.widths[some[of[0]]]), np.sort(np.concatenate([self.at[a:b] for a, b in zip(low[of], high[of], strict=True)]))
+
+
+def longest_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(length, first place in y, first place in x) of the longest block of words that both have; ids above 0, other words of x 0."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    z = np.concatenate((np.where(x > 0, x, -1 - np.arange(len(x))), y))
+    _, z = np.unique(z, return_inverse=True)
+    names, n = z.reshape(-1).astype(np.int64) + 1, len(x)
+    left = np.concatenate((np.arange(n, 0, -1), np.arange(len(y), 0, -1)))
+
+    def common(names: np.ndarray, size: int) -> np.ndarray:
+        whole = left >= size
+        return np.intersect1d(names[:n][whole[:n]], names[n:][whole[n:]])
+
+    if not len(common(names, 1)):
+        return 0, 0, 0
+    size = 1
+    while len(common(double := _pairs(names, left, size), 2 * size)):
+        names, size = double, 2 * size
+
+    def blocks(length: int) -> np.ndarray:
+        """Names of blocks of size..2 * size words: of the two that overlap in them."""
+        return _pairs(names, np.where(left >= length, left, 0), length - size) if length > size else names
+
+    low, high = size, 2 * size
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if len(common(blocks(middle), middle)) else (low, middle)
+    names = blocks(low)
+    both = common(names, low)
+    whole = left >= low
+    in_y = int(np.flatnonzero(np.isin(names[n:], both) & whole[n:])[0])
+    return low, in_y, int(np.flatnonzero((names[:n] == names[n + in_y]) & whole[:n])[0])
+
+
+def _match(batch: pa.Array, s: Items):
     out_n, out_hits, out_items, out_long = [], [], [], []
     for i, j, buf, offs in chunks(batch):
-        shard = _Shard(buf, offs, s)
-        hits: list[list] = [[] for _ in range(j - i)]
+        shard = Shard(buf, offs, s)
+        first = shard.first
         items: list[set] = [set() for _ in range(j - i)]
         longest: list[list] = [[] for _ in range(j - i)]
-        for item, p, w, at, length, place in shard.search(s):
-            rows = np.searchsorted(shard.first, at, "right") - 1
-            for r, a in zip(rows.tolist(), at.tolist(), strict=True):
-                hits[r].append((a - int(shard.first[r]), w))
-                items[r].add(item)
-            r = int(np.searchsorted(shard.first, place, "right")) - 1
-            longest[r].append({"item": item, "item_word": p, "word": place - int(shard.first[r]), "length": length})
-        out_n += shard.n_words.tolist()
-        out_hits += [_joined(h) for h in hits]
+        edge = np.zeros(len(shard.ids) + 1, np.int64)
+        for item, width, at in shard.search(s):
+            edge[at] += 1
+            np.add.at(edge, at + width, -1)
+            words = s.ids[s.first[item] : s.first[item + 1]]
+            row = np.searchsorted(first, at, "right") - 1
+            for r, a in zip(*np.unique(row, return_index=True), strict=True):
+                items[r].add(s.names[item])
+                mine = at[row == r] if len(row) < 64 else at[a : np.searchsorted(row, r, "right")]
+                begin = int(mine[0])
+                length, p, q = (width, 0, 0) if len(words) == width else longest_common(shard.ids[begin : int(mine[-1]) + width], words)
+                longest[r].append({"item": s.names[item], "item_word": p, "word": begin + q - int(first[r]), "length": length})
+        inside = np.cumsum(edge[:-1]) > 0
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        begins[first[:-1][first[:-1] < len(inside)]] |= inside[first[:-1][first[:-1] < len(inside)]]
+        last = first[1:][first[1:] > 0] - 1
+        ends[last] |= inside[last]
+        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        hits: list[list] = [[] for _ in range(j - i)]
+        for r, a, b in zip((np.searchsorted(first, begins, "right") - 1).tolist(), begins.tolist(), ends.tolist(), strict=True):
+            hits[r].append({"start": a - int(first[r]), "length": b - a})
+        out_n += np.diff(first).tolist()
+        out_hits += hits
         out_items += [sorted(x) for x in items]
         out_long += longest
     return out_n, out_hits, out_items, out_long
 
 
-def _joined(hits: list) -> list[dict]:
-    """Overlapping or touching runs of words made one."""
-    out: list[list[int]] = []
-    for a, w in sorted(hits):
-        if out and a <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], a + w - out[-1][0])
-        else:
-            out.append([a, w])
-    return [{"start": a, "length": n} for a, n in out]
-
-
 def _blocks(benchmark: DataFrame, block_bytes: int):
     """Items in blocks of bounded bytes; only one block is on the driver at a time."""
     block, size = [], 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), text_or_empty().alias("t")).distinct().orderBy("i", "t").toLocalIterator():
-        if block and size + len(r["t"]) > block_bytes:
+        n = len(r["t"].encode("utf-8"))
+        if block and size + n > block_bytes:
             yield block
             block, size = [], 0
         block.append((r["i"], r["t"]))
-        size += len(r["t"])
+        size += n
     yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with n_words, n_hit (words inside a window's occurrence), items (ids found, sorted), longest (the longest
-    verbatim match of each searched suffix and where it is) and contaminated (5 % of the words or more are hit)."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+    """docs with n_words, n_hit (words inside a window's occurrence), items (ids found, sorted), longest (of each item found the
+    longest verbatim match and where it is) and contaminated (5 % of the words or more are hit)."""
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())])))])
 
     def searcher(held):
@@ -187,7 +307,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
     names = ["n_words", "hits", "items", "longest"]
     out = None
     for block in _blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(_ids(block, window))
+        held = docs.sparkSession.sparkContext.broadcast(items_of(block, window))
         own = [f"__{n}" for n in names]
         if out is None:
             out = append_struct(docs.withColumn("__text", text_or_empty()), searcher(held)(F.col("__text")), names)

@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lan
                 if (lang, h) in met:
                     continue
                 met.add((lang, h))
-                _, _, buf, offs = next(chunks(pa.array([p.decode() for p in _pieces(text)]), limit=1 << 62))
+                _, _, buf, offs = next(chunks(pa.array([p.decode() for p in _pieces(text)]), limit=1 << 62))  # 25 pieces at most
                 v = _vectors(buf, offs, idf)
                 at = [np.flatnonzero(r) for r in v]
                 sizes = np.array([len(i) for i in at], np.uint32)

@@ -39,7 +39,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.concat_ws(",", "items"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+    longest = F.coalesce(F.array_max(F.transform("longest", lambda m: m["length"])), F.lit(0).cast("long"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated", longest.alias("longest_match"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,15 +91,22 @@ b AS (
 win AS (
   SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[p : p + least(13, len(ws)) - 1], ' ') AS s
   FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS p FROM b WHERE len(ws) > 0)),
+itempos AS (
+  SELECT item, q, least(13, len(ws)) AS k, array_to_string(ws[q : q + least(13, len(ws)) - 1], ' ') AS s
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS q FROM (SELECT row_number() OVER () AS item, ws FROM b WHERE len(ws) > 0))),
 pos AS (
   SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS s
   FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w CROSS JOIN (SELECT DISTINCT k FROM win) ks WHERE len(ws) >= k)),
 hit AS (SELECT pos.doc_id, pos.p, pos.k, win.item_id FROM pos JOIN win ON pos.k = win.k AND pos.s = win.s),
+-- Windows that follow one another in item and document at once are one match.
+step AS (SELECT pos.doc_id, i.item, i.k, i.q, pos.p, row_number() OVER (PARTITION BY pos.doc_id, i.item, pos.p - i.q ORDER BY pos.p) AS r FROM pos JOIN itempos i ON pos.k = i.k AND pos.s = i.s),
+longest AS (SELECT doc_id, max(n) AS longest_match FROM (SELECT doc_id, max(k) - 1 + count(*) AS n FROM step GROUP BY doc_id, item, p - q, p - r) GROUP BY doc_id),
 n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+  CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 OP6_SQL = r"""
 WITH t AS (

@@ -47,8 +47,11 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def test_exact_dedup(spark):
-    got = by_id(exact_dedup.deduplicate(table(spark, "Kept"), bucket_entries=4))
+@pytest.mark.parametrize(("marks", "large"), [(2_000_000, 1024), (0, 1024), (2_000_000, 1), (0, 10)])
+def test_exact_dedup(spark, monkeypatch, marks, large):
+    monkeypatch.setattr(exact_dedup, "MARKS", marks)
+    monkeypatch.setattr(exact_dedup, "LARGE", large)
+    got = by_id(exact_dedup.deduplicate(table(spark, "Kept"), bucket_entries=4, owners=3))
     groups = defaultdict(list)
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t, *_ in ROWS}
     for i, n in norm.items():
@@ -65,6 +68,30 @@ def test_exact_dedup_null_ids_and_empty(spark):
     assert exact_dedup.deduplicate(table(spark, "x", [])).count() == 0
 
 
+def test_only_the_overfull_bucket_splits(spark):
+    low, high = [i << 50 for i in range(40)], [-1 - (i << 58) for i in range(3)]  # top bit 0 and 1
+    chains = spark.createDataFrame([(h,) for h in low + high], "h long")
+    found = {(r.depth, r.prefix): r.n for r in exact_dedup.buckets(chains, 10).collect()}
+    assert found.pop((1, 1)) == 3  # the sibling stays whole at depth 1
+    assert sum(found.values()) == 40 and max(found.values()) <= 10 and min(d for d, _ in found) > 1
+    slots, depth = exact_dedup.directory(chains, 10, owners=4)
+    rows = slots.collect()
+    assert depth == max(d for d, _ in found) and len({r.slot for r in rows}) == len(rows)
+    assert sum(r.bucket == 1 << (depth - 1) for r in rows) == 1 << (depth - 1)  # half of the directory names one bucket
+    by_bucket = sorted({(r.bucket, r.owner) for r in rows})
+    assert [o for _, o in by_bucket] == sorted(o for _, o in by_bucket) and len(by_bucket) == len(found) + 1  # owners have ranges of keys
+    links = chains.selectExpr("h", "unhex(hex(h)) sha", "h keep", "1L n")
+    kept = exact_dedup.index(links, slots, depth, 4)
+    assert kept.count() == 43 and kept.agg(F.sum("chain")).first()[0] == 43
+    spread = [r.files for r in kept.select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").agg(F.count("*").alias("files")).collect()]
+    assert spread == [1] * (len(found) + 1)  # a bucket lies in one file
+
+
+def test_a_bucket_of_one_hash_stays_one_bucket(spark):
+    chains = spark.createDataFrame([(i,) for i in range(30)], "h long")  # all 44 leading bits equal
+    assert [tuple(r) for r in exact_dedup.buckets(chains, 10).collect()] == [(exact_dedup.MOST_DEPTH, 0, 30)]
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path(VOCABULARY)
     got = by_id(token_count.count_tokens(table(spark, "n_tokens"), path))
@@ -113,18 +140,26 @@ ITEMS = [(1, " ".join(WORDS[:30])), (2, "Only four words here"), (3, None), (4,
 DIRTY = [(100, text(50) + " " + " ".join(WORDS[5:25]) + "! " + text(10)), (101, "only FOUR words, here"), (102, " ".join(WORDS[:12])), (103, text(600) + " " + " ".join(WORDS[:13])), (104, "x y"), (105, " ".join(WORDS[25:45]) + " " + " ".join(WORDS[20:40]))]
 
 
+def bench_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
 def expected_hits(items, t, window):
-    words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
-    w, hit, found = words(t), set(), set()
+    w, hit, found, longest = bench_words(t), set(), set(), {}
     for item, s in items:
-        b = words(s)
+        b = bench_words(s)
         k = min(window, len(b))
+        at = defaultdict(list)
+        for q in range(len(w) - k + 1):
+            at[tuple(w[q : q + k])].append(q)
+        name = "" if item is None else str(item)
         for p in range(len(b) - k + 1 if b else 0):
-            for q in range(len(w) - k + 1):
-                if w[q : q + k] == b[p : p + k]:
-                    hit |= set(range(q, q + k))
-                    found.add("" if item is None else str(item))
-    return len(w), len(hit), sorted(found)
+            for q in at.get(tuple(b[p : p + k]), ()):
+                hit |= set(range(q, q + k))
+                found.add(name)
+                n = next((n for n in range(k, len(b)) if p + n >= len(b) or q + n >= len(w) or b[p + n] != w[q + n]), len(b))
+                longest[name, s] = min(longest.get((name, s), (0, 0, 0)), (-n, p, q))
+    return len(w), len(hit), sorted(found), sorted((name, p, q, -n) for (name, _), (n, p, q) in longest.items())
 
 
 @pytest.mark.parametrize("block", [1 << 20, 40])
@@ -134,10 +169,9 @@ def test_decontamination(spark, block):
     got = by_id(decontaminate.find(table(spark, "N_hit", rows), bench, block_bytes=block))
     assert any(r.contaminated for r in got.values())
     for i, t, *_ in rows:
-        if len(t or "") > 50_000:
-            continue
-        n, hit, items = expected_hits(ITEMS, t, 13)
+        n, hit, items, longest = expected_hits(ITEMS, t, 13)
         r = got[i]
+        assert sorted((m["item"], m["item_word"], m["word"], m["length"]) for m in r.longest) == longest, i
         assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (n, hit, items, hit > 0 and 20 * hit >= n), i
     left = decontaminate.remove(table(spark, "n_hit", rows), bench)
     assert left.columns == ["doc_id", "text", "lang", "source", "n_hit"] and left.count() == sum(not r.contaminated for r in got.values())
@@ -147,7 +181,39 @@ def test_decontamination(spark, block):
 def test_longest_match(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS[:30]))], "item_id long, text string")
     r = decontaminate.find(spark.createDataFrame([(1, "q " + " ".join(WORDS[2:22]))], "doc_id long, text string"), bench).first()
-    assert max((m["length"], m["item_word"], m["word"]) for m in r.longest if m["item_word"] == 2) == (20, 2, 1)
+    assert [(m["length"], m["item_word"], m["word"]) for m in r.longest] == [(20, 2, 1)]
+
+
+def test_longest_common_block():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x, y = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(1, 4, rng.integers(1, 30))
+        best = min(((-n, q, p) for p in range(len(x)) for q in range(len(y)) for n in range(1, 30) if p + n <= len(x) and q + n <= len(y) and (x[p : p + n] == y[q : q + n]).all() and x[p : p + n].min() > 0), default=(0, 0, 0))
+        assert decontaminate.longest_common(x, y) == (-best[0], best[1], best[2])
+
+
+def test_very_long_items_and_texts_take_bounded_memory():
+    import pyarrow as pa
+    import resource
+
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    s = decontaminate.items_of([("1", " ".join(long)), ("2", "same " * 200_000)], 13)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n, hits, items, longest = decontaminate._match(pa.array(["x " + " ".join(long), "same " * 200_000, " ".join(long[50:70])]), s)
+    assert n == [200_001, 200_000, 20] and items == [["1"], ["2"], ["1"]]
+    assert [h[0] for h in hits] == [{"start": 1, "length": 200_000}, {"start": 0, "length": 200_000}, {"start": 0, "length": 20}]
+    assert [m[0]["length"] for m in longest] == [200_000, 200_000, 20] and longest[2][0]["item_word"] == 50
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # kB
+
+
+def test_benchmark_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "hashes", lambda buf, a, b: (b - a).astype(np.uint64))  # the length alone
+    s = decontaminate.items_of([("1", "ab cd efg"), ("2", "cd ab")], 13)
+    got = decontaminate._match(pa.array(["ab cd efg", "cd ab", "cd xy ab cd efh", "xy cd ab"]), s)
+    assert got[2] == [["1"], ["2"], [], ["2"]]
 
 
 def test_chat_round_trip(spark):
@@ -347,7 +413,7 @@ def test_pipeline(spark, tmp_path):
             kept = {i: t for i, t in kept.items() if linked_all[i][1] == i} if (linked_all := linked(list(kept.items()), 5, 80, 100)) else kept
             assert sorted(ids) == sorted(kept)
         elif k == 2:
-            hits = {i: expected_hits(ITEMS, t, 13) for i, t in kept.items() if len(t) < 50_000}
+            hits = {i: expected_hits(ITEMS, t, 13) for i, t in kept.items()}
             kept = {i: t for i, t in kept.items() if i not in hits or not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
             assert sorted(ids) == sorted(kept)
         elif k == 3:
