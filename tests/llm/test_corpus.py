@@ -347,10 +347,30 @@ def test_quality(spark):
     rows = [(i, text(40) if i % 4 else " ".join([w := rng.choice(WORDS)] * 40) + w, None, None, None) for i in range(240)]
     docs = table(spark, "score", [*rows, (900, None, None, None, None), (901, "", None, None, None), (902, text(20_000), None, None, None)])
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 240, 1) if i % 5] + [(None, 1), (5000, 0), (3, None)], "doc_id long, quality int")
+    repeats = by_id(quality.score(docs, *quality.fit(docs, labels, again=True), again=True))
+    assert np.mean([(repeats[i].score >= 0.5) == (i % 4 > 0) for i in range(0, 240, 5)]) > 0.9
+    rows = [(i, f"{text(20)} {'well' if i % 4 else 'badly'} made thing {text(20)}", None, None, None) for i in range(240)]
+    docs = table(spark, "score", [*rows, (900, None, None, None, None), (901, "", None, None, None), (902, text(20_000), None, None, None)])
     got = by_id(quality.score(docs, *quality.fit(docs, labels)))
     assert np.mean([(got[i].score >= 0.5) == (i % 4 > 0) for i in range(0, 240, 5)]) > 0.9
     assert got[900].score == got[901].score and 0 <= got[900].score <= 1
     assert all(r.score == 0.5 for r in quality.score(docs, *quality.fit(docs, labels.limit(0))).collect())
+    assert quality.score(docs.limit(0), *quality.fit(docs.limit(0), labels)).count() == 0
+    twice = docs.union(docs)
+    again = quality.fit(twice, labels)
+    assert {(r.doc_id, r.n) for r in quality.score(twice, *again).groupBy("doc_id").agg(F.count_distinct("score").alias("n")).collect()} == {(i, 1) for i in got}
+    assert len(quality.fit(twice, labels, max_rows=10)[0]) == 1 << 18 and not quality.fit(docs, labels, max_bytes=0)[0].any()
+
+
+def test_quality_features_by_hand():
+    import pyarrow as pa
+
+    from roadloom.llm.common import chunks
+
+    (_, _, buf, offs), = chunks(pa.array(["A b  a B a", "", "x"]))
+    rows = [np.sort(x) for _, _, x in quality._features(buf, offs, 18)]
+    n = np.sort([3, 2, 2, 2, 2, 1])  # a, b, "a b", "b a", "a b a" and "b a b"
+    assert np.allclose(rows[0], 8 * n / np.sqrt((n**2).sum())) and len(rows[1]) == 0 and list(rows[2]) == [8.0]
 
 
 def test_license_scan(spark):
