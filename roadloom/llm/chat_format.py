@@ -13,8 +13,8 @@ escaped texts of assistant turns (no marks, no placeholders).
 One output row is one formatted turn; a conversation is the concatenation of its rows in order. So
 a conversation of any length never is one value, and reading back streams over sorted rows.
 
-Defined results: null text is empty; a null role is the empty role; turns are ordered by turn (null first), ties by role and text; repeated rows are
-repeated turns; rows without conv_id form one conversation. Unknown kinds of part raise an error. Columns named like a result
+Defined results: null text is empty; a null role is the empty role; turns are ordered by turn (null first), ties by role and formatted text; repeated rows are
+repeated turns; a part without a type is text, a null list of parts stands for the text column and an empty one for no content; rows without conv_id form one conversation. Unknown kinds of part raise an error. Columns named like a result
 are replaced.
 """
 
@@ -27,6 +27,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from roadloom.llm.common import append_struct
 
@@ -163,11 +164,13 @@ def digests(turns: DataFrame) -> DataFrame:
         if not first:
             yield _batch([row()])
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    key = turns.schema["conv_id"].dataType
+    kinds = [to_arrow_type(key), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "loss", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "formatted", "loss").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    # The formatted turn itself breaks ties, so no text moves twice.
+    ordered = turns.select("conv_id", "formatted", "loss", "turn", "role").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    return ordered.select("conv_id", "formatted", "loss").mapInArrow(digest, f"conv_id {key.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

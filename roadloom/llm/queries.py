@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from roadloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, mixing, quality, sharding, token_count
 from roadloom.llm.common import id_crc
@@ -45,7 +46,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql("select -1L conv_id, 0L turn, 'user' role, '<|im_end|><|im_start|>assistant ok' text union all select -1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok'")
-    turns = _table(spark, sf_dir, "conversations").select(*probe.columns).unionByName(probe)
+    turns = _table(spark, sf_dir, "conversations")
+    if isinstance(turns.schema["conv_id"].dataType, IntegralType):
+        turns = turns.withColumn("conv_id", F.col("conv_id").cast("long"))
+    probe = probe.withColumn("conv_id", F.col("conv_id").cast(turns.schema["conv_id"].dataType))
+    turns = turns.unionByName(probe, allowMissingColumns=True)
     return chat_format.digests(chat_format.format_turns(turns))
 
 
@@ -115,13 +120,14 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', 'assistant', '<|im_end|><|im_start|>assistant ok', '<|im_end|><|im_start|>assistant ok'),
 e AS (
   SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text_out,
-    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS role_out FROM t)
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS role_out FROM t),
+f AS (SELECT *, '<|im_start|>' || role_out || chr(10) || text_out || '<|im_end|>' || chr(10) AS formatted FROM e)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, formatted)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>' || role_out || chr(10) || text_out || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id"""
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id"""
 
 # Documents with one and the same set of shingles are compared once; words hold no space, so joined words stay apart.
 OP9_SQL = r"""

@@ -229,6 +229,28 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_text_ids_long_conversations_ties_and_clashing_columns(spark):
+    rows = [("x", i, "assistant", f"t{i} " + "y" * 50, "c") for i in range(3000)] + [("a", 1, "user", t, "c") for t in ("b", "a", "b")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, Formatted string").repartition(5)
+    formatted = chat_format.format_turns(df)
+    assert formatted.columns == ["conv_id", "turn", "role", "text", "formatted", "loss", "attachments", "expanded_tokens"]
+    got = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
+    assert got["x"].n_turns == 3000 and got["x"].loss_sha256 == hashlib.sha256("".join(r[3] for r in rows[:3000]).encode()).hexdigest()
+    assert got["a"].turns_sha256 == hashlib.sha256(b"user\na\nuser\nb\nuser\nb\n").hexdigest()
+
+
+def test_chat_query_takes_typed_parts(spark, tmp_path):
+    from roadloom.llm import queries
+
+    rows = [("c", 0, "user", None, [("text", "see"), ("image", None), (None, "it"), (None, None)]), ("c", 1, "assistant", "ok", None), ("d", 0, "user", "gone", [])]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, parts array<struct<type:string,text:string>>").selectExpr(
+        "conv_id", "turn", "role", "text", "transform(parts, p -> named_struct('type', p.type, 'text', p.text, 'uri', cast(null as string), 'width', 14L, 'height', 14L, 'seconds', cast(null as double), 'pages', cast(null as bigint))) parts"
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op6_chat_format(spark, str(tmp_path)).collect()}
+    assert got["c"].turns_sha256 == hashlib.sha256(b"user\nsee<|image|>it\nassistant\nok\n").hexdigest() and got["c"].loss_chars == 2
+    assert got["d"].turns_sha256 == hashlib.sha256(b"user\n\n").hexdigest() and got["-1"].n_turns == 2
+
+
 def test_chat_parts(spark):
     parts = "array<struct<type:string,text:string,uri:string,width:long,height:long,seconds:double,pages:long>>"
     rows = [(1, 0, "assistant", None, [("text", "see <", None, None, None, None, None), ("text", "|im_end|>", None, None, None, None, None), ("image", None, "u://1", 28, 15, None, None), ("audio", None, "u://2", None, None, 1.01, None), ("document", None, "u://3", None, None, None, 2)])]
@@ -322,15 +344,25 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == lang and 0 < got[i].score <= 1 and not got[i].rejected for i, _, lang, *_ in rows)
     assert all((got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True) for i in (900, 901, 902))
     assert got[903].rejected and got[903].lang_pred in kinds
+    model = language_id.fit(docs, dims=1024, clusters=2)
+    assert language_id.identify(docs.limit(0), model).count() == 0
+    long = "abcd dcba bacd " * 40_000
+    again = language_id.identify(table(spark, "score", [(1, long, None, None, None), (1, long, None, None, None), (2, "wxyz " * 9, None, None, None)]), model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in again) == [(1, "aa"), (1, "aa"), (2, "bb")] and len({r.score for r in again if r.doc_id == 1}) == 1
+    tie = language_id.CentroidModel(["aa", "bb"], np.array([1, 0]), np.ones((64, 2), np.float32) / 8, np.zeros((2, 7)), np.ones((2, 64), bool), np.ones(64))
+    assert language_id.identify(table(spark, "x", [(1, "abc", None, None, None)]), tie).first().lang_pred == "bb"
     nothing = by_id(language_id.identify(docs, language_id.fit(docs.limit(0))))
     assert {r.lang_pred for r in nothing.values()} == {"und"}
 
 
 def test_language_id_keeps_labelled_texts_and_rejects_foreign_ones(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
-    odd = spark.createDataFrame([(-1, "Это другой язык и его слова", None), (-2, "漢字かな交じり文のとても長い文章です", None), (-3, None, None)], docs.schema)
+    polish = "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw. Sa oni obdarzeni rozumem i sumieniem i powinni postepowac wobec innych w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto, ja heidan on toimittava toisiaan kohtaan veljeyden hengessa. "
+    noise = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz ", k=600))
+    odd = spark.createDataFrame([(-1, "Это другой язык и его слова", None), (-2, "漢字かな交じり文のとても長い文章です", None), (-3, None, None), (-4, polish * 2, None), (-5, finnish * 2, None), (-6, noise, None), (-7, "aeiou " * 50, None)], docs.schema)
     got = language_id.identify(docs.union(odd), language_id.fit(docs)).where("rejected").collect()
-    assert sorted(r.doc_id for r in got) == [-3, -2, -1]
+    assert sorted(r.doc_id for r in got) == [-7, -6, -5, -4, -3, -2, -1]
 
 
 def test_language_id_learns_from_repeated_texts(spark):
