@@ -63,7 +63,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round(F.get("passes", F.lit(0))["position"], 6).alias("position"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,5 +148,51 @@ least_of AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, d.node) AS component_id FROM d LEFT JOIN least_of ON d.node = least_of.node"""
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ 0xEDB88320 * (v & 1)
+        out.append(v)
+    return out
+
+
+# The map is a fold: largest slot first, each to the first of the shards that hold least. CRC-32 goes byte by byte, over the distinct texts.
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+x AS (SELECT t, hex(encode(t)) AS x FROM (SELECT DISTINCT t FROM d)),
+c AS (
+  SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM x),
+r AS (SELECT d.*, crc, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS vs FROM d JOIN c USING (t)),
+s AS (SELECT v AS vs, coalesce(b, 0) AS b, row_number() OVER (ORDER BY coalesce(b, 0) DESC, v) AS rn FROM range(4096) g(v) LEFT JOIN (SELECT vs, sum(size) AS b FROM r GROUP BY vs) l ON l.vs = v),
+m AS (
+  SELECT 0::BIGINT AS rn, -1::BIGINT AS vs, 0 AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL
+  SELECT s.rn, s.vs, list_position(load, list_min(load)) - 1, list_transform(load, lambda v, i: CASE WHEN i = list_position(load, list_min(load)) THEN v + s.b ELSE v END)
+  FROM m JOIN s ON s.rn = m.rn + 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY vs, substr(h, 9), doc_id, crc, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard, CAST(vs AS INT) AS virtual_slot
+FROM r JOIN m USING (vs)"""
+
+# Sources fill up in the order of cap / weight; the level is that of the first that stays below its cap.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('8|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 0.5::DOUBLE * (1 - place % 3) AS tilt, source_size * 2.0::DOUBLE AS cap FROM p),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT *, coalesce(least(w * (SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, place LIMIT 1), cap), cap) AS target FROM l),
+s AS (
+  SELECT doc_id, size, source_size, target, tilt, floor(target + 0.5) AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT *, greatest(least(size, goal - start), 0) AS one, greatest(least(size, goal - start - source_size), 0) AS two FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(one + two AS BIGINT) AS taken,
+  CASE WHEN one > 0 THEN round(CASE WHEN tilt = 0 THEN start / target ELSE (sqrt((1 - tilt) ** 2 + 4 * tilt * start / target) - (1 - tilt)) / (2 * tilt) END, 6) + 0 END AS position
+FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}

@@ -1,6 +1,6 @@
 """Sharding over a fixed number of virtual slots, balanced by bytes.
 
-A record's hash (id and text) gives one of `slots` virtual slots. Bytes are summed by slot. A slot map
+A record's hash (MD5 of id and text) gives one of `slots` virtual slots. Bytes are summed by slot. A slot map
 says which shard owns which slot; it is stored, one file set a version, in the shared folder. A new map hands
 slots out largest first, each to the shard that holds least so far. Rebalancing edits an older map: a slot stays
 with its shard while that shard is below its share, and only the overflow moves to the
@@ -10,7 +10,7 @@ the corpus, so it is folded in one row and broadcast.
 The law is `bytes`: the shards' sizes are near equal. Only DataFrame functions are used.
 
 Defined results: a record's size is the UTF-8 bytes of its text (null: none) plus 1; text_crc32 of a null text is that of
-the empty text. Null ids hash as null, so rows without id still spread by their text. Equal rows share a virtual slot and
+the empty text. A null id hashes as the empty one, so rows without id still spread by their text. Equal rows share a virtual slot and
 take consecutive positions. `slot` is the record's position within its shard, gapless from 0; `virtual_slot` is the slot of
 the map. An empty table gives an empty table. Columns named like a result are replaced.
 """
@@ -23,28 +23,30 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import append, shared_dir, stored, text_or_empty
 
 RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot"]
-#: Each slot's positions are dealt in so many parts, so that no window holds a whole slot.
-PARTS = 16
+#: Each slot's positions are dealt in 16^d parts, so that no window holds a whole slot: d grows to 2 with the rows, about so many a part, so there are 256 parts at most.
+PART_ROWS = 20_000
 
 
 def record_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text.cast("string"), F.lit(""))).cast("long") + 1
 
 
-def _hashed(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
+def _hashed() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_or_empty()))
 
 
-def _cell(docs: DataFrame, slots: int) -> tuple[Column, Column]:
-    """Virtual slot of a record, and its part of the slot."""
-    hashed = _hashed(docs)
-    return F.pmod(hashed, F.lit(slots)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(PARTS)).cast("int")
+def _slot(h: Column, slots: int) -> Column:
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
-def cell_loads(docs: DataFrame, slots: int) -> DataFrame:
+def _part(h: Column, digits: int) -> Column:
+    """Leading digits of what orders the records of a slot."""
+    return F.substring(h, 9, digits)
+
+
+def cell_loads(docs: DataFrame, slots: int, digits: int) -> DataFrame:
     """virtual_slot, part, n, bytes: what each part of each slot holds."""
-    vslot, part = _cell(docs, slots)
-    each = docs.select(vslot.alias("virtual_slot"), part.alias("part"), record_size(F.col("text")).alias("b"))
+    each = docs.select(_hashed().alias("h"), record_size(F.col("text")).alias("b")).select(_slot(F.col("h"), slots).alias("virtual_slot"), _part(F.col("h"), digits).alias("part"), "b")
     return each.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
 
 
@@ -91,18 +93,19 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = 4096, folder: str | Non
     """docs with size, text_crc32, law, shard, slot, grown_shard and virtual_slot."""
     folder = folder or shared_dir(docs.sparkSession, "slot-map")
     # One pass over the texts tells both the slots' bytes and the positions' starts.
-    cells = stored(cell_loads(docs, slots), "slot-cells")
+    digits = 1 if docs.count() <= slots * 16 * PART_ROWS else 2
+    cells = stored(cell_loads(docs, slots, digits), "slot-cells")
     loads = cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes"))
     slot_map = store_map(assign(loads, shards, slots, previous, version), folder, version)
 
-    vslot, part = _cell(docs, slots)
     in_shard = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # slots * PARTS rows at most, so it is small at any size of the corpus.
+    # slots * 256 rows at most, so it is small at any size of the corpus.
     starts = cells.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").select(F.col("virtual_slot").alias("__vs"), F.col("part").alias("__pt"), F.col("shard").alias("__shard"), F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("__start"))
 
-    rows = docs.withColumns({"__vslot": vslot, "__part": part, "__size": record_size(F.col("text")), "__crc": F.crc32(F.encode(text_or_empty(), "utf-8"))})
+    rows = docs.withColumn("__h", _hashed())
+    rows = rows.withColumns({"__vslot": _slot(F.col("__h"), slots), "__part": _part(F.col("__h"), digits), "__size": record_size(F.col("text")), "__crc": F.crc32(F.encode(text_or_empty(), "utf-8"))})
     rows = rows.join(F.broadcast(starts), (F.col("__vslot") == F.col("__vs")) & (F.col("__part") == F.col("__pt")))
-    position = F.col("__start") + F.row_number().over(Window.partitionBy("__vslot", "__part").orderBy("doc_id", "__crc", "__size")) - 1
+    position = F.col("__start") + F.row_number().over(Window.partitionBy("__vslot", "__part").orderBy(F.substring("__h", 9, 24), "doc_id", "__crc", "__size")) - 1
     held = rows.withColumn("__position", position)
     done = append(held, F.col("__size"), F.col("__crc"), F.lit("bytes"), F.col("__shard"), F.col("__position"), F.lit(None).cast("int"), F.col("__vslot"), names=RESULTS)
-    return done.drop("__vslot", "__part", "__size", "__crc", "__vs", "__pt", "__shard", "__start", "__position")
+    return done.drop("__h", "__vslot", "__part", "__size", "__crc", "__vs", "__pt", "__shard", "__start", "__position")
