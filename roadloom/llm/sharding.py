@@ -1,6 +1,6 @@
 """Sharding over a fixed number of virtual slots, balanced by bytes.
 
-A record's hash (MD5 of id and text) gives one of `slots` virtual slots. Bytes are summed by slot. A slot map
+A record's hash (MD5 of id and size) gives one of `slots` virtual slots. Bytes are summed by slot. A slot map
 says which shard owns which slot; it is stored, one file set a version, in the shared folder. A new map hands
 slots out largest first, each to the shard that holds least so far. Rebalancing edits an older map: a slot stays
 with its shard while that shard is below its share, and only the overflow moves to the
@@ -10,7 +10,7 @@ the corpus, so it is folded in one row and broadcast.
 The law is `bytes`: the shards' sizes are near equal. Only DataFrame functions are used.
 
 Defined results: a record's size is the UTF-8 bytes of its text (null: none) plus 1; text_crc32 of a null text is that of
-the empty text. A null id hashes as the empty one, so rows without id still spread by their text. Equal rows share a virtual slot and
+the empty text. Rows without id hash by their text, so they spread too. Equal rows share a virtual slot and
 take consecutive positions. `slot` is the record's position within its shard, gapless from 0; `virtual_slot` is the slot of
 the map. An empty table gives an empty table. Columns named like a result are replaced.
 """
@@ -32,7 +32,8 @@ def record_size(text: Column) -> Column:
 
 
 def _hashed() -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_or_empty()))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty()))
+    return F.md5(F.concat(named, F.lit("|"), record_size(F.col("text")).cast("string")))
 
 
 def _slot(h: Column, slots: int) -> Column:
