@@ -55,19 +55,39 @@ def mlp_score(features: Column, weights: list[float], inputs: int, hidden: int)
 def product_circuit(features: Column, weights: list[float], wires: int, layers: int, read: list[int]) -> Column:
     """Mean Z expectation over the `read` wires of a circuit without entanglement: a turn by pi * feature before each layer of three-angle rotations.
 
-    Without entanglement each wire is a point on a sphere that rotations turn, so the answer is closed-form.
+    Without entanglement each wire is a point on a sphere that rotations turn. Its coordinates are polynomials in the turn's sine s and cosine c,
+    whose factors are worked out here, so that the expression grows with the square of the layers and holds no angle but the features'.
     """
+    Poly = dict[tuple[int, int], float]  # (power of s, power of c) -> factor
+
+    def plus(*terms: tuple[float, Poly, int, int]) -> Poly:
+        """Sum of factor * s^i * c^j * polynomial."""
+        out: Poly = {}
+        for factor, p, i, j in terms:
+            for (a, b), v in p.items():
+                out[a + i, b + j] = out.get((a + i, b + j), 0.0) + factor * v
+        return out
+
+    def turned(p: Poly, q: Poly, angle: float) -> tuple[Poly, Poly]:
+        c, s = math.cos(angle), math.sin(angle)
+        return plus((c, p, 0, 0), (-s, q, 0, 0)), plus((s, p, 0, 0), (c, q, 0, 0))
+
     total = d(0)
     for w in read:
-        x, y, z = d(0), d(0), d(1)
-        angle = F.get(features, F.lit(w)) * d(math.pi)
+        x, y, z = {}, {}, {(0, 0): 1.0}
         for layer in range(layers):
-            x, z = F.cos(angle) * x + F.sin(angle) * z, F.cos(angle) * z - F.sin(angle) * x
+            x, z = plus((1, x, 0, 1), (1, z, 1, 0)), plus((1, z, 0, 1), (-1, x, 1, 0))
             phi, theta, omega = weights[3 * (layer * wires + w) : 3 * (layer * wires + w) + 3]
-            x, y = math.cos(phi) * x - math.sin(phi) * y, math.sin(phi) * x + math.cos(phi) * y
-            x, z = math.cos(theta) * x + math.sin(theta) * z, math.cos(theta) * z - math.sin(theta) * x
-            x, y = math.cos(omega) * x - math.sin(omega) * y, math.sin(omega) * x + math.cos(omega) * y
-        total = total + z
+            x, y = turned(x, y, phi)
+            z, x = turned(z, x, theta)
+            x, y = turned(x, y, omega)
+        angle = F.get(features, F.lit(w)) * d(math.pi)
+        s, c = F.sin(angle), F.cos(angle)
+        for (i, j), v in sorted(z.items()):
+            term = d(v)
+            for f in [s] * i + [c] * j:
+                term = term * f
+            total = total + term
     return total / d(len(read))
 
 
@@ -89,11 +109,16 @@ def fused_log_prob(spatial: Column, factor: Column, sigma: float = 45.0, floor:
 
 def context_log_prob(spatial: Column, features: Column) -> Column:
     """The spatial term with a prior from the features after the first two."""
-    rest = F.slice(features, 3, 100)
+    rest = F.slice(features, 3, F.greatest(F.size(features) - 2, F.lit(0)))
     mean = F.aggregate(rest, d(0), lambda a, v: a + v) / F.size(rest)
     return spatial + F.log(clip(d(0.25) + d(0.75) * mean, 1e-9, 1))
 
 
+def level_log_prob(distance: Column, belief: Column, sigma: float = 45.0) -> Column:
+    """Distance from the filtered position, without the fix's quality, and the belief in the edge's level."""
+    return d(-0.5) * (distance / d(sigma)) ** 2 + F.log(clip(belief, 1e-12, 1))
+
+
 def direction_reliability(hdop: Column, satellites: Column, displacement: Column, imputed: Column) -> Column:
     good = F.exp(-F.greatest(F.greatest(number(hdop, 1.5), d(0.5)) - 1, d(0)) / d(3))
     return clip(good * clip(number(satellites, 7) / d(8), 0, 1) * clip(displacement / d(8), 0, 1) * F.when(imputed, d(0.25)).otherwise(d(1)), 0, 1)

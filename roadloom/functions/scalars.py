@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that count as true.
-TRUE_TEXTS = ["true", "yes", "y", "t", "1"]
+#: Texts that count as true; graph files of older writers also have "t".
+TRUE_TEXTS = ["true", "yes", "y", "on"]
+LENIENT_TEXTS = ["true", "yes", "y", "on", "t"]
+#: Words of a status that close a road, and of access that bar a truck.
+CLOSED, BARRED = ["closed", "proposed", "under construction"], ["no", "private"]
 #: Words of road names that do not tell roads apart.
 NAME_STOP_WORDS = ["road", "rd", "street", "st", "avenue", "ave", "drive", "dr", "freeway", "motorway", "highway", "hwy", "tunnel", "bridge"]
 
@@ -30,12 +33,12 @@ def integer(x: Column, default: int) -> Column:
     return F.coalesce(F.when(~F.isnan(v), F.floor(v)).try_cast("int"), F.lit(default))
 
 
-def flag(x: Column) -> Column:
+def flag(x: Column, true_texts: list[str] | None = None) -> Column:
     """Truth of a number (finite and not 0) or of a text; anything else is false."""
     text = F.lower(F.trim(x.cast("string")))
     v = text.try_cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != d(float("inf")))
-    return F.coalesce(F.when(v.isNotNull(), finite & (v != 0)).otherwise(text.isin(TRUE_TEXTS)), F.lit(False))
+    return F.coalesce(F.when(v.isNotNull(), finite & (v != 0)).otherwise(text.isin(true_texts or TRUE_TEXTS)), F.lit(False))
 
 
 def first_number(text: Column, default: float) -> Column:
@@ -111,13 +114,128 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda t: t != "")
 
 
-def truck_allowed(highway: Column, construction: Column, status: Column, access: Column, trafficable: Column) -> Column:
-    """Not under construction, closed, proposed, private, forbidden, for management only, or for four-wheel drive."""
-    low = [F.coalesce(F.lower(F.trim(c)), F.lit("")) for c in (highway, construction, status, access, trafficable)]
-    building = low[0].contains("construction") | ~low[1].isin("", "no", "none", "nan")
-    closed = low[2].contains("closed") | low[2].contains("proposed") | low[2].contains("under construction")
-    barred = F.arrays_overlap(_tokens(low[3]), F.array(F.lit("no"), F.lit("private"))) | low[3].contains("management only")
-    return ~(building | closed | barred | ~low[4].isin("", "2wd", "nan", "none"))
+def text_of(*columns: Column) -> Column:
+    """Lower-case trimmed texts joined by spaces; missing ones are left out."""
+    return F.trim(F.concat_ws(" ", *[F.nullif(F.lower(F.trim(c)), F.lit("")) for c in columns]))
+
+
+def text_of_all(values: Column) -> Column:
+    """text_of for an array."""
+    return F.array_join(F.filter(F.transform(values, lambda v: F.lower(F.trim(v))), lambda v: v.isNotNull() & (v != "")), " ")
+
+
+def first_present(*values: Column) -> Column:
+    """The first value that is there; arrays are searched in order, and so are arrays of arrays."""
+    every = F.flatten(F.array(*values))
+    return F.get(F.filter(every, lambda v: v.isNotNull() & (F.lower(F.trim(v)) != "nan")), F.lit(0))
+
+
+def any_flag(values: Column) -> Column:
+    return F.coalesce(F.exists(values, lambda v: flag(v)), F.lit(False))
+
+
+def all_numbers(values: Column) -> Column:
+    """The first number of each text of an array, where it has one."""
+    found = F.transform(values, lambda v: F.nullif(F.regexp_extract(v, r"-?\d+(\.\d+)?", 0), F.lit("")).try_cast("double"))
+    return F.filter(found, lambda v: v.isNotNull())
+
+
+def pick_column(columns: list[str], preferred: list[str], default: str | None = None) -> str | None:
+    """The first preferred name that a table has, whatever its case."""
+    there = {c.lower(): c for c in columns}
+    return next((there[p.lower()] for p in preferred if p.lower() in there), default)
+
+
+def truck_allowed(edge: dict[str, Column]) -> Column:
+    """Not under construction, closed, proposed, private, forbidden, for management only, or for four-wheel drive.
+
+    edge: columns by name: highway, construction, status, access, vehicle, motor_vehicle, hgv; and of a matched authority's road, which
+    counts only where `matched` is true: road_status, road_access, trafficable. Missing names are missing values.
+    """
+    col = lambda n: edge.get(n, F.lit(None).cast("string"))
+    matched = flag(edge["matched"]) if "matched" in edge else F.lit(False)
+    own = lambda n: F.when(matched, col(n))
+    highway, construction, status = text_of(col("highway")), text_of(col("construction")), text_of(col("status"), own("road_status"))
+    access = text_of(*[col(n) for n in ("access", "vehicle", "motor_vehicle", "hgv")], own("road_access"))
+    trafficable = text_of(own("trafficable"))
+    building = highway.contains("construction") | ~construction.isin("", "no", "none", "nan")
+    closed = status.rlike("|".join(CLOSED))
+    barred = F.arrays_overlap(_tokens(access), F.array(*[F.lit(b) for b in BARRED])) | access.contains("management only")
+    return ~(building | closed | barred | ~trafficable.isin("", "2wd", "nan", "none"))
+
+
+def in_use(status: Column, access: Column, trafficable: Column) -> Column:
+    """Of an authority's roads those in operation, open and for ordinary vehicles; a missing text does not count against a road."""
+    up = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    return up(status).isin("", "OPERATIONAL") & ~up(access).isin("PRIVATE", "MANAGEMENT ONLY", "NO ACCESS") & up(trafficable).isin("", "2WD")
+
+
+def subtype(tunnels: Column, bridges: Column, layers: Column, highways: Column) -> Column:
+    """TUNNEL, BRIDGE, RAMP or ROAD of an edge whose attributes are arrays of texts."""
+    level = all_numbers(layers)
+    under = any_flag(tunnels) | F.coalesce(F.exists(level, lambda v: v < 0), F.lit(False))
+    over = any_flag(bridges) | F.coalesce(F.exists(level, lambda v: v > 0), F.lit(False))
+    return F.when(under, "TUNNEL").when(over, "BRIDGE").when(text_of_all(highways).contains("link"), "RAMP").otherwise("ROAD")
+
+
+def one_way(text: Column) -> Column:
+    """Whether an authority's text says one way; null where it says nothing."""
+    low = F.lower(F.trim(text))
+    both = low.contains("two way") | low.isin("both", "two-way")
+    single = low.contains("one way") | low.isin("one-way", "from to", "to from")
+    return F.when(text.isNull(), F.lit(None).cast("boolean")).when(both, False).when(single, True).otherwise(flag(text))
+
+
+def parse_edge(text: Column) -> Column:
+    """(u, v, k) of "u_v_k" or "u_v"; null for anything else. The key is the number it begins with, 0 if it has none."""
+    parts = F.split(text, "_")
+    key = F.when(F.size(parts) > 2, integer(F.get(parts, F.lit(2)), 0)).otherwise(F.lit(0))
+    return F.when(F.size(parts) >= 2, F.struct(F.get(parts, F.lit(0)).alias("u"), F.get(parts, F.lit(1)).alias("v"), key.alias("k")))
+
+
+def whole_key(key: Column) -> Column:
+    """The key as a whole number; null where it is none."""
+    v = key.cast("string").try_cast("double")
+    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != d(float("inf"))) & (v == F.floor(v)), v.try_cast("int"))
+
+
+def clean_speed(text: Column) -> Column:
+    """The first run of digits of a speed limit, 60 without any."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"\d+", 0), F.lit("")).try_cast("int"), F.lit(60))
+
+
+def clean_layer(layer: Column, tunnel: Column) -> Column:
+    """A tunnel is below ground whatever its layer says."""
+    n = integer(layer, 0)
+    return F.when(flag(tunnel) & (n >= 0), F.lit(-1)).otherwise(n)
+
+
+def quality_target(hdop: Column, satellites: Column, tunnel: Column, state: Column) -> Column:
+    """Graded quality of a fix, 0 to 1."""
+    low, inside = F.lower(F.coalesce(state, F.lit(""))), flag(tunnel)
+    clear = (number(satellites, 0) >= 8) & (number(hdop, 99) <= 1.5) & ~inside
+    return F.when(clear, d(1)).when(inside | low.contains("blackout"), d(0)).when(low.contains("degraded"), d(0.35)).when(low.rlike("moderate|recovery"), d(0.55)).otherwise(d(0.75))
+
+
+def ambiguous(tunnel: Column, state: Column) -> Column:
+    return (flag(tunnel) | F.lower(F.coalesce(state, F.lit(""))).contains("blackout")).cast("int")
+
+
+def moment(text: Column) -> Column:
+    """ISO time; unreadable text raises, as a wrong time must not pass for none."""
+    read = text.try_cast("timestamp_ntz")
+    return F.when(text.isNull() | read.isNotNull(), read).otherwise(F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz"))
+
+
+def provenance(row: dict[str, Column], fields: list[str]) -> list[Column]:
+    """The named fields, null where there are none."""
+    return [row.get(f, F.lit(None).cast("string")).alias(f) for f in fields]
+
+
+def mean_bearing(points: Column) -> Column:
+    """Bearing from a polyline's first to its last point."""
+    a, b = F.get(points, F.lit(0)), F.element_at(points, -1)
+    return bearing(b["x"] - a["x"], b["y"] - a["y"])
 
 
 def name_tokens(name: Column) -> Column:
@@ -145,3 +263,16 @@ def direction_similarity(oneway_a: Column, oneway_b: Column, bearing_a: Column,
     alignment = F.greatest(d(0), 1 - angle_between(bearing_a, bearing_b) / d(90))
     both = oneway_a & oneway_b & bearing_a.isNotNull() & bearing_b.isNotNull()
     return F.when(oneway_b.isNull(), d(0.5)).when(both, d(0.5) * same + d(0.5) * alignment).otherwise(same)
+
+
+def complete(*names: str) -> Column:
+    """Whether a record has all that its reader needs."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).isNotNull()
+    return out
+
+
+def require(names: list[str], then: Column) -> Column:
+    """`then` for complete records; an incomplete one raises."""
+    return F.when(complete(*names), then).otherwise(F.raise_error(F.lit(f"a record lacks one of {names}")).cast("string"))

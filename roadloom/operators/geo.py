@@ -63,46 +63,89 @@ def range_join(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, x: str
 
     Pieces are laid into the grid cells that their box, grown by the radius, touches; a fix is in
     one cell. So it is an equi-join on the cell with an exact distance check, never a nested loop, and a fix is not multiplied before it.
+    A fix is told by its key and place: rows that repeat both are one fix. Fixes without a position have no edge near.
     """
     size = 2 * radius
     grown = {c: (F.least(f"{c}0", f"{c}1") - radius, F.greatest(f"{c}0", f"{c}1") + radius) for c in "xy"}
     laid = pieces.withColumn("cx", F.explode(_cells(*grown["x"], size))).withColumn("cy", F.explode(_cells(*grown["y"], size)))
     placed = fixes.where(f"{x} is not null and {y} is not null").withColumns({"cx": F.floor(F.col(x) / d(size)), "cy": F.floor(F.col(y) / d(size))})
     near = _projected(placed.join(laid, ["cx", "cy"]), x, y).where(F.col("dist") <= radius)
-    best = Window.partitionBy(key, *EDGE).orderBy("dist", "piece")
+    best = Window.partitionBy(key, x, y, *EDGE).orderBy("dist", "piece")
     kept = [c for c in fixes.columns]
     return near.withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*kept, *EDGE, "px", "py", "arc", "dist")
 
 
-def nearest_join(fixes: DataFrame, pieces: DataFrame, k: int = 10, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", radius: float = 120.0, farthest: float = 61_440.0) -> DataFrame:
-    """The k nearest edges of each fix, exactly, ranked by distance and edge.
+def _ranked(found: DataFrame, k: int, key: str, x: str, y: str) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(key, x, y).orderBy("dist", *EDGE))).where(F.col("rank") <= k)
+
+
+def nearest_join(fixes: DataFrame, pieces: DataFrame, k: int = 10, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", radius: float = 120.0, rings: int = 3) -> DataFrame:
+    """The k nearest edges of each fix, exactly, ranked by distance and edge; fewer only where there are fewer edges.
 
     A ring of radius r proves all edges nearer than r, so a fix is settled once its ring holds k edges; for the others the
-    ring grows fourfold, to `farthest` at most. A fix with fewer than k edges within that has those, or none.
+    ring grows fourfold. Those that `rings` rings do not settle are far from all roads and go to `far_join`.
     """
     done, left = None, fixes.where(f"{x} is not null and {y} is not null")
-    while True:
-        found = range_join(left, pieces, radius, x, y, key)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist", *EDGE))).where(F.col("rank") <= k)
-        ranked = stored(ranked, "nearest")
-        if radius < farthest:
-            full = ranked.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(key)
-            left = stored(left.join(full, key, "left_anti"), "nearest-left")
-            ranked = ranked.join(full, key, "left_semi")
+    for _ in range(rings):
+        ranked = stored(_ranked(range_join(left, pieces, radius, x, y, key), k, key, x, y), "nearest")
+        full = ranked.groupBy(key, x, y).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(key, x, y)
+        left = stored(left.join(full, [key, x, y], "left_anti"), "nearest-left")
+        ranked = ranked.join(full, [key, x, y], "left_semi").select(ranked.columns)
         done = ranked if done is None else done.unionByName(ranked)
-        if radius >= farthest or not left.take(1):
+        if not left.take(1):
             return done
-        radius = min(4 * radius, farthest)
+        radius *= 4
+    return done.unionByName(far_join(left, pieces, k, x, y, key))
 
 
-def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallback_k: int = 10, top: int | None = None, **names) -> DataFrame:
-    """Edges within the radius; for fixes without any the nearest fallback_k. rank orders by distance and edge; top keeps the first."""
-    key = names.get("key", "event_id")
-    near = range_join(fixes, pieces, radius, **names)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("dist", *EDGE))).withColumn("fallback", F.lit(False))
-    missed = stored(fixes.join(near.select(key).distinct(), key, "left_anti"), "missed")
-    both = near.unionByName(nearest_join(missed, pieces, fallback_k, **names).withColumn("fallback", F.lit(True)))
-    return both.where(F.col("rank") <= top) if top else both
+def far_join(fixes: DataFrame, pieces: DataFrame, k: int, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", side: int = 32) -> DataFrame:
+    """The k nearest edges of fixes wherever they are.
+
+    The network's extent is cut into side * side cells at most, each with the box of its pieces and the count of edges that begin there.
+    The farthest corners of the boxes, nearest first, until k edges are counted, bound the k-th distance; only pieces of the cells whose box
+    comes within that bound are measured. The cells are a thousand rows at most, so they are broadcast.
+    """
+    extent = pieces.agg(F.min(F.least("x0", "x1")), F.min(F.least("y0", "y1")), F.max(F.greatest("x0", "x1")), F.max(F.greatest("y0", "y1"))).first()
+    if extent[0] is None:
+        return _ranked(range_join(fixes, pieces, 1.0, x, y, key), k, key, x, y)  # no edges, no rows
+    size = max(extent[2] - extent[0], extent[3] - extent[1], 1e-6) / side
+    cell = lambda c, low: F.least(F.floor(((F.col(f"{c}0") + F.col(f"{c}1")) / 2 - low) / d(size)), F.lit(side - 1))
+    laid = stored(pieces.withColumns({"cx": cell("x", extent[0]), "cy": cell("y", extent[1])}), "far-pieces")
+    boxes = laid.groupBy("cx", "cy").agg(*[f(g(f"{c}0", f"{c}1")).alias(n) for c in "xy" for f, g, n in ((F.min, F.least, f"{c}a"), (F.max, F.greatest, f"{c}b"))], F.count_if(F.col("offset") == 0).alias("edges"))
+    px, py = F.col(x), F.col(y)
+    near = F.hypot(F.greatest(F.col("xa") - px, px - F.col("xb"), d(0)), F.greatest(F.col("ya") - py, py - F.col("yb"), d(0)))
+    far = F.hypot(F.greatest(F.abs(F.col("xa") - px), F.abs(F.col("xb") - px)), F.greatest(F.abs(F.col("ya") - py), F.abs(F.col("yb") - py)))
+    both = fixes.select(key, x, y).distinct().crossJoin(F.broadcast(boxes)).select(key, x, y, "cx", "cy", "edges", near.alias("near"), far.alias("far"))
+    of = Window.partitionBy(key, x, y)
+    counted = F.sum("edges").over(of.orderBy("far", "cx", "cy"))
+    both = both.withColumn("counted", counted).withColumn("bound", F.coalesce(F.min(F.when(F.col("counted") >= k, F.col("far"))).over(of), d(float("inf"))))
+    asked = both.where("near <= bound").select(key, x, y, "cx", "cy")
+    found = _projected(asked.join(laid, ["cx", "cy"]), x, y)
+    best = Window.partitionBy(key, x, y, *EDGE).orderBy("dist", "piece")
+    found = found.withColumn("__r", F.row_number().over(best)).where("__r = 1")
+    ranked = _ranked(found.select(key, x, y, *EDGE, "px", "py", "arc", "dist"), k, key, x, y)
+    return fixes.join(ranked, [key, x, y]).select(*fixes.columns, *EDGE, "px", "py", "arc", "dist", "rank")
+
+
+def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallback_k: int = 10, top: int | None = None, keep_empty: bool = False, **names) -> DataFrame:
+    """Edges within the radius; for fixes without any the nearest fallback_k. rank orders by distance and edge; top keeps the first.
+    keep_empty: fixes without a position keep a row without an edge."""
+    key, x, y = (names.get(n, v) for n, v in (("key", "event_id"), ("x", "obs_x"), ("y", "obs_y")))
+    near = stored(range_join(fixes, pieces, radius, **names), "within")
+    missed = stored(fixes.where(f"{x} is not null and {y} is not null").join(near.select(key, x, y).distinct(), [key, x, y], "left_anti").select(fixes.columns), "missed")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(key, x, y).orderBy("dist", *EDGE))).withColumn("fallback", F.lit(False))
+    both = near
+    if missed.take(1):
+        both = both.unionByName(nearest_join(missed, pieces, fallback_k, **names).withColumn("fallback", F.lit(True)))
+    if top:
+        both = both.where(F.col("rank") <= top)
+    return both.unionByName(fixes.where(f"{x} is null or {y} is null"), allowMissingColumns=True) if keep_empty else both
+
+
+def unlocalised(fixes: DataFrame, edges: DataFrame, x: str = "obs_x", y: str = "obs_y") -> DataFrame:
+    """Fixes that no position is known for, each with every edge of the network: nothing speaks for one edge before another. The
+    network of a case is broadcast when it is small, and such fixes are those that lead their tracks, before any position."""
+    return fixes.where(f"{x} is null or {y} is null").crossJoin(edges.select(*EDGE))
 
 
 def _piece_length(p: Column, q: Column) -> Column:
@@ -136,3 +179,16 @@ def tangent(points: Column, arc: Column, length: Column) -> Column:
     p, q = point_at(points, F.when(nothing, d(0)).otherwise(low)), point_at(points, F.when(nothing, length).otherwise(high))
     norm = F.nullif(_piece_length(p, q), d(0))
     return F.struct(((q["x"] - p["x"]) / norm).alias("tx"), ((q["y"] - p["y"]) / norm).alias("ty"))
+
+
+def ends_apart(points: Column, ux: Column, uy: Column, vx: Column, vy: Column) -> tuple[Column, Column]:
+    """How far a line's ends are from its edge's nodes, summed: in its own direction, and read backwards."""
+    a, b = F.get(points, F.lit(0)), F.element_at(points, -1)
+    gap = lambda p, x, y: F.hypot(p["x"] - x, p["y"] - y)
+    return gap(a, ux, uy) + gap(b, vx, vy), gap(a, vx, vy) + gap(b, ux, uy)
+
+
+def valid_line(points: Column) -> Column:
+    """Whether a line has two points or more, all of them finite, and a length."""
+    finite = F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) != d(float("inf"))) & (F.abs(p["y"]) != d(float("inf"))))
+    return F.coalesce((F.size(points) > 1) & finite & (line_length(points) > 0), F.lit(False))

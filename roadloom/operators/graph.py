@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions.scalars import node_id, whole_key
 from roadloom.sources.shared import stored
 
 
@@ -17,22 +18,21 @@ def links(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.min("length").alias("length"))
 
 
-def routes(edges: DataFrame, bound: float, sources: DataFrame | None = None) -> DataFrame:
+def routes(edges: DataFrame, bound: float) -> DataFrame:
     """src, dst, dist: shortest directed distances up to `bound`, by doubling: each round joins paths to paths, so
-    paths of n links need about log2(n) rounds. With sources, paths from these are extended by the doubled ones.
-    """
+    paths of n links need about log2(n) rounds. It ends when a round finds no new and no shorter path."""
     nodes = edges.select(F.col("u").alias("src")).union(edges.select("v")).distinct()
     itself = nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"))
-    best = stored(itself.union(links(edges).where(F.col("length") <= bound)).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
-    before = best.agg(F.count("*"), F.sum("dist")).first()
+    best = stored(itself.union(links(edges).where(F.col("length") <= bound)).groupBy("src", "dst").agg(F.min("dist").alias("dist")).withColumn("better", F.lit(True)), "routes")
     while True:
         on = best.select(F.col("src").alias("dst"), F.col("dst").alias("__to"), F.col("dist").alias("__d"))
-        longer = best.join(on, "dst").select("src", F.col("__to").alias("dst"), (F.col("dist") + F.col("__d")).alias("dist")).where(F.col("dist") <= bound)
-        best = stored(longer.groupBy("src", "dst").agg(F.min("dist").alias("dist")), "routes")
-        after = best.agg(F.count("*"), F.sum("dist")).first()
-        if after == before:
-            return best if sources is None else best.join(sources.select("src"), "src", "left_semi")
-        before = after
+        longer = best.join(on, "dst").select("src", F.col("__to").alias("dst"), (F.col("dist") + F.col("__d")).alias("dist"), F.lit(None).cast("double").alias("was")).where(F.col("dist") <= bound)
+        every = longer.union(best.select("src", "dst", "dist", F.col("dist").alias("was"))).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
+        # Sums of the same links in another order differ in their last bits: that is no shorter path.
+        better = F.col("was").isNull() | (F.col("dist") < F.col("was") - 1e-9 * F.col("was"))
+        best = stored(every.select("src", "dst", F.when(better, F.col("dist")).otherwise(F.col("was")).alias("dist"), better.alias("better")), "routes")
+        if not best.where("better").take(1):
+            return best.drop("better")
 
 
 def shortest(out: dict[int, list[tuple[int, float]]], src: int, wanted: Iterable[int]) -> dict[int, float]:
@@ -53,13 +53,14 @@ def shortest(out: dict[int, list[tuple[int, float]]], src: int, wanted: Iterable
 
 
 def routes_between(edges: DataFrame, pairs: DataFrame, most_links: int = 500_000) -> DataFrame:
-    """src, dst, dist of the reachable ones of the wanted pairs (src, dst), whatever their distance; one search for each src.
+    """src, dst, dist of the reachable ones of the wanted pairs (src, dst), whatever their distance.
 
-    The road network of a case is broadcast; its size is checked.
+    A network of up to `most_links` links is broadcast and searched once for each src; a larger one is searched by joins, from all sources at once.
     """
     net = links(edges)
+    wanted = pairs.select("src", "dst").distinct()
     if net.count() > most_links:
-        raise ValueError("too many edges for one case: split the network by region")
+        return _spread(net, wanted)
     out: dict[int, list[tuple[int, float]]] = {}
     for r in net.collect():
         out.setdefault(r["src"], []).append((r["dst"], r["length"]))
@@ -69,7 +70,36 @@ def routes_between(edges: DataFrame, pairs: DataFrame, most_links: int = 500_000
         src = pdf["src"].iloc[0]
         return pd.DataFrame([(src, dst, dist) for dst, dist in shortest(held.value, int(src), pdf["dst"].tolist()).items()], columns=["src", "dst", "dist"])
 
-    return pairs.select("src", "dst").distinct().groupBy("src").applyInPandas(search, "src long, dst long, dist double")
+    return wanted.groupBy("src").applyInPandas(search, "src long, dst long, dist double")
+
+
+def _spread(net: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distances by rounds of joins: each round goes one link on from the nodes that the last one brought nearer, but not from those that are
+    farther from their source than all that is wanted of it."""
+    best = stored(wanted.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist")).distinct().withColumn("new", F.lit(True)), "spread")
+    step = net.select(F.col("src").alias("node"), F.col("dst").alias("__to"), "length")
+    while best.where("new").take(1):
+        found = wanted.join(best.select("src", F.col("node").alias("dst"), "dist"), ["src", "dst"], "left")
+        reach = found.groupBy("src").agg(F.when(F.count("dist") == F.count("*"), F.max("dist")).alias("far"))
+        front = best.where("new").join(reach, "src").where("far is null or dist < far")
+        on = front.join(step, "node").select("src", F.col("__to").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.lit(None).cast("double").alias("was"))
+        every = on.union(best.select("src", "node", "dist", F.col("dist").alias("was"))).groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
+        best = stored(every.select("src", "node", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("new")), "spread")
+    return wanted.join(best.select("src", F.col("node").alias("dst"), "dist"), ["src", "dst"])
+
+
+def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst and whether any way leads there; every wanted pair keeps a row."""
+    ways = routes_between(edges, pairs)
+    return pairs.select("src", "dst").distinct().join(ways, ["src", "dst"], "left").select("src", "dst", F.col("dist").isNotNull().alias("reachable"))
+
+
+def true_edges(fixes: DataFrame, edges: DataFrame, u: Column, v: Column, key: Column) -> DataFrame:
+    """fixes plus u, v, k of the edge of exactly this identity (ends as text, key a whole number), null where there is none: never a parallel or a reverse one."""
+    known = edges.select(F.col("u").cast("string").alias("__u"), F.col("v").cast("string").alias("__v"), F.col("k").alias("__k"), "u", "v", "k")
+    held = fixes.withColumns({"__tu": node_id(u), "__tv": node_id(v), "__tk": whole_key(key)})
+    same = (F.col("__tu") == F.col("__u")) & (F.col("__tv") == F.col("__v")) & (F.col("__tk") == F.col("__k"))
+    return held.join(known, same, "left").drop("__tu", "__tv", "__tk", "__u", "__v", "__k")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,3 +183,50 @@ def match_class(a: tuple[Column, Column, Column], b: tuple[Column, Column, Colum
 def route_distance(same_edge: Column, arc_a: Column, arc_b: Column, length_a: Column, hop: Column) -> Column:
     """Directed distance between two projected points: forward progress on one edge, else rest + hop + offset; null without a route."""
     return F.when(same_edge, F.greatest(arc_b - arc_a, F.lit(0.0))).otherwise(F.greatest(length_a - arc_a, F.lit(0.0)) + hop + arc_b)
+
+
+def route_geometry(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """ids (u, v and what to carry along) plus points and `way`: the line of the edge u-v (the least key), else that of v-u, else none."""
+    best = lines.groupBy("u", "v").agg(F.min_by("points", "k").alias("points"))
+    there = best.select(F.col("u").alias("__u"), F.col("v").alias("__v"), F.col("points").alias("__there"))
+    back = best.select(F.col("v").alias("__bu"), F.col("u").alias("__bv"), F.col("points").alias("__back"))
+    held = ids.join(there, (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left").join(back, (F.col("u") == F.col("__bu")) & (F.col("v") == F.col("__bv")), "left")
+    way = F.when(F.col("__there").isNotNull(), "forward").when(F.col("__back").isNotNull(), "reverse")
+    return held.withColumns({"points": F.coalesce("__there", "__back"), "way": way}).drop("__u", "__v", "__bu", "__bv", "__there", "__back")
+
+
+def chosen_layer(path: DataFrame, cands: DataFrame) -> DataFrame:
+    """path (event_id, u, v, k) plus the layer that the first candidate equal to the decoded edge states; null where none is equal."""
+    first = cands.groupBy("event_id", "u", "v", "k").agg(F.min_by("layer", "rank").alias("layer"))
+    return path.join(first, ["event_id", "u", "v", "k"], "left")
+
+
+def network_audit(nodes: DataFrame, edges: DataFrame, expected_crs: str | None = None, crs: str | None = None, expects_tunnels: bool = False) -> DataFrame:
+    """One row of counts of a case's network and whether it passes.
+
+    edges: u, v, k, length, bearing, layer, tunnel, bridge, highway, points (null without a line) and, of fusion, matched, confident, ambiguous, road, method.
+    """
+    from roadloom.functions import scalars as S
+    from roadloom.operators import geo
+
+    side = lambda p, on: nodes.select(F.col("node_id").alias(on), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    held = edges.join(side("u", "u"), "u", "left").join(side("v", "v"), "v", "left")
+    forward, backward = geo.ends_apart(F.col("points"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
+    under, over, layer = S.flag(F.col("tunnel")), S.flag(F.col("bridge")), F.coalesce("layer", F.lit(0))
+    flag = lambda c: S.flag(F.col(c))
+    missing = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    counts = {
+        "edges": F.lit(True), "tunnel_edges": under | (layer < 0), "bridge_edges": over | (layer > 0), "negative_layer_edges": layer < 0, "missing_length_edges": F.col("length").isNull(), "missing_geometry_edges": F.col("points").isNull(),
+        "invalid_numeric_edges": ~F.coalesce((F.col("length") > 0) & F.col("bearing").between(0, 360), F.lit(False)), "semantic_conflicts": (under & ((layer >= 0) | over)) | (over & (layer <= 0)),
+        "endpoint_mismatches": F.col("points").isNotNull() & ~F.coalesce(forward <= 2, F.lit(False)), "reverse_oriented": F.coalesce((forward > 2) & (backward <= 2), F.lit(False)), "matched_edges": flag("matched"), "confident_edges": flag("confident"),
+        "ambiguous_edges": flag("ambiguous"), "missing_provenance": flag("matched") & (missing("road") | missing("method")), "construction_edges": F.lower(F.coalesce("highway", F.lit(""))).contains("construction"),
+    }
+    every = held.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()])
+    lost = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing_xy_nodes"))
+    whole = components(edges).agg(F.count_distinct("component").alias("weak_components"))
+    out = every.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(whole))  # one row each
+    zero = ["missing_xy_nodes", "missing_length_edges", "missing_geometry_edges", "invalid_numeric_edges", "semantic_conflicts", "endpoint_mismatches", "reverse_oriented", "missing_provenance"]
+    passed = (F.col("weak_components") == 1) & F.lit(expected_crs == crs)
+    for c in zero:
+        passed = passed & (F.col(c) == 0)
+    return out.withColumn("tunnel_warning", F.lit(expects_tunnels) & (F.col("tunnel_edges") == 0)).withColumn("passed", passed & ~F.col("tunnel_warning"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadloom.functions.scalars import clip, d
+from roadloom.operators import geo
 
 #: Order of a track's fixes.
 ORDER = ("t_s", "event_id")
@@ -73,29 +78,67 @@ def even_sample(fixes: DataFrame, count: int) -> DataFrame:
     return fixes.withColumns({"__n": n, "__total": total}).where(F.array_contains(picks, F.col("__n").cast("long"))).drop("__n", "__total")
 
 
+def positions(route: DataFrame, speed: float) -> DataFrame:
+    """track_id, tick, u, v, k, along, x, y of a vehicle at a steady speed along its edges (track_id, step, u, v, k, points, len; in order of step), from
+    the start to the end of its way. A second's edge is the first whose end it has not passed: each edge brings forth its own seconds."""
+    order = Window.partitionBy("track_id").orderBy("step")
+    held = route.withColumn("high", F.sum("len").over(order)).withColumn("low", F.col("high") - F.col("len"))
+    first = F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.floor(F.col("low") / d(speed)) + 1)
+    held = held.withColumn("first", first).withColumn("last", F.floor(F.col("high") / d(speed))).where("first <= last")
+    each = held.withColumn("tick", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int")))).withColumn("along", F.col("tick") * d(speed))
+    p = geo.point_at(F.col("points"), F.col("along") - F.col("low"))
+    return each.select("track_id", "tick", "u", "v", "k", "along", p["x"].alias("x"), p["y"].alias("y"))
+
+
+def fill(t: np.ndarray, x: np.ndarray, y: np.ndarray, new: np.ndarray, state: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(x, y, imputed, state) of fixes in order, missing ones filled; new: where a segment begins; state: the last two effective fixes before, (t, x, y) each.
+
+    A missing fix takes the last effective position plus the velocity of the last two (imputed ones count), time steps clipped to 0.25..30 s; after
+    one position: hold; after none: it stays missing. Only missing fixes are looped over.
+    """
+    nothing = (np.nan, np.nan, np.nan)
+    (t2, x2, y2), (t1, x1, y1) = state or (nothing, nothing)
+    t, x, y, new = np.concatenate(([t2, t1], t)), np.concatenate(([x2, x1], x)), np.concatenate(([y2, y1], y)), np.concatenate(([True, state is None], new))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))  # where each fix's segment begins
+    imputed = np.zeros(len(t), bool)
+    for i in (np.flatnonzero(np.isnan(x[2:]) | np.isnan(y[2:])) + 2).tolist():
+        if i - 1 < first[i] or np.isnan(x[i - 1]) or np.isnan(y[i - 1]):
+            continue
+        step = min(max(t[i] - t[i - 1], 0.25), 30.0)
+        two = i - 2 >= first[i] and not (np.isnan(x[i - 2]) or np.isnan(y[i - 2]))
+        before = min(max(t[i - 1] - t[i - 2], 0.25), 30.0) if two else 1.0
+        imputed[i] = True
+        for v in (x, y):
+            if np.isnan(v[i]):
+                v[i] = v[i - 1] + ((v[i - 1] - v[i - 2]) / before * step if two else 0.0)
+    last = len(t) - 1
+    one = (float(t[last]), float(x[last]), float(y[last]))
+    two = (float(t[last - 1]), float(x[last - 1]), float(y[last - 1])) if last - 1 >= first[last] else nothing
+    return x[2:], y[2:], imputed[2:], (two, one)
+
+
 def impute(fixes: DataFrame) -> DataFrame:
-    """Causal constant-velocity imputation per track segment: eff_x, eff_y, imputed.
+    """fixes plus eff_x, eff_y, imputed: causal constant-velocity imputation for each track segment.
 
-    A missing fix takes the last effective state plus the velocity of the last two (imputed ones count), time
-    steps clipped to 0.25..30 s; one state before: hold; none: stays missing. The state of the fold is the
-    last two states, so it is exact for runs of any length. One segment's fixes are sorted into one array.
+    Rows stream through in order of track and time with two positions of state, so a track of any length is never held, and every row comes out once, whatever its id.
     """
-    listed = boundaries(fixes).groupBy("track_id", "segment").agg(F.array_sort(F.collect_list(F.struct("t_s", "event_id", F.col("obs_x").alias("x"), F.col("obs_y").alias("y")))).alias("f"))
-    point = "struct<t:double,x:double,y:double>"
-    start = F.struct(F.lit(None).cast(point).alias("a"), F.lit(None).cast(point).alias("b"), F.array().cast("array<struct<event_id:bigint,x:double,y:double,imputed:boolean>>").alias("out"))
-
-    def step(s: Column, f: Column) -> Column:
-        a, b = s["a"], s["b"]  # the last state and the one before
-        missing = f["x"].isNull() | f["y"].isNull()
-        known, two = a["x"].isNotNull() & a["y"].isNotNull(), b["x"].isNotNull() & b["y"].isNotNull()
-        dt, before = clip(f["t_s"] - a["t"], 0.25, 30), clip(a["t"] - b["t"], 0.25, 30)
-        filled = []
-        for c in "xy":
-            speed = F.when(two, (a[c] - b[c]) / before).otherwise(d(0))
-            filled.append(F.when(missing & known, F.coalesce(f[c], a[c] + speed * dt)).otherwise(f[c]))
-        now = F.struct(f["t_s"].alias("t"), filled[0].alias("x"), filled[1].alias("y"))
-        row = F.struct(f["event_id"].alias("event_id"), filled[0].alias("x"), filled[1].alias("y"), (missing & known).alias("imputed"))
-        return F.struct(now.alias("a"), a.alias("b"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    done = listed.select(F.explode(F.aggregate("f", start, step)["out"]).alias("o")).select("o.event_id", F.col("o.x").alias("eff_x"), F.col("o.y").alias("eff_y"), "o.imputed")
-    return fixes.join(done, "event_id")
+    names = fixes.columns
+    schema = T.StructType([*fixes.schema.fields, T.StructField("eff_x", T.DoubleType()), T.StructField("eff_y", T.DoubleType()), T.StructField("imputed", T.BooleanType())])
+
+    def run(batches):
+        track_before, time_before, state = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            track = b.column(names.index("track_id"))
+            t, x, y = (b.column(names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for c in ("t_s", "obs_x", "obs_y"))
+            same = np.zeros(len(t), bool)
+            if len(t) > 1:
+                same[1:] = pc.fill_null(pc.equal(track[1:], track[:-1]), False).to_numpy(zero_copy_only=False)
+            same[0] = track_before is not None and track[0].as_py() == track_before
+            new = ~same | ~(t > np.concatenate(([time_before if time_before is not None else np.nan], t[:-1])))
+            ex, ey, imputed, state = fill(t, x, y, new, None if new[0] else state)
+            track_before, time_before = track[len(t) - 1].as_py(), t[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ex, from_pandas=True), pa.array(ey, from_pandas=True), pa.array(imputed)], [*names, "eff_x", "eff_y", "imputed"])
+
+    return fixes.repartition("track_id").sortWithinPartitions("track_id", *ORDER).mapInArrow(run, schema)

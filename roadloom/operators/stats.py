@@ -41,7 +41,7 @@ def hodges_lehmann(rows: DataFrame, gain: str, *by: str) -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str, *by: str) -> DataFrame:
-    """Holm-adjusted p of each test of a family."""
+    """Holm-adjusted p of each test of a family; without `by` all tests are one family."""
     order = Window.partitionBy(*by).orderBy(p, *[c for c in tests.columns if c not in (p, *by)])
     step = (F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(order) + 1) * F.col(p)
     held = tests.withColumn("__s", step)
@@ -91,19 +91,52 @@ def bootstrap_interval(rows: DataFrame, gain: str, *by: str, draws: int = 2000,
     return rows.select(*by, gain).groupBy(*by).applyInPandas(resample, schema)
 
 
-def detectable_effect(residuals: np.ndarray, power: float = 0.8, alpha: float = 0.05, trials: int = 200, halvings: int = 16, seed: int = 0) -> float:
-    """The shift of centred gains that the signed-rank test finds with the wanted power, by bisection over simulated power."""
-    centred = residuals - np.median(residuals)
-    spread = float(np.std(centred)) or 1.0
+def detectable_effect(gains: np.ndarray, power: float = 0.8, alpha: float = 0.05, trials: int = 200, halvings: int = 16, seed: int = 0) -> float:
+    """The shift of centred gains that the signed-rank test finds with the wanted power, by bisection over simulated power, within four
+    spreads; NaN for fewer than two gains or where even that shift is found too seldom."""
+    if len(gains) < 2:
+        return float("nan")
+    centred, top, rng = gains - np.median(gains), 4 * (float(np.std(gains)) + 1e-9), np.random.default_rng(seed)
 
     def found(shift: float) -> float:
-        rng = np.random.default_rng(seed)
-        return float(np.mean([exact_wilcoxon_p(centred[rng.integers(0, len(centred), len(centred))] + shift) < alpha for _ in range(trials)]))
+        draws = (centred[rng.integers(0, len(centred), len(centred))] + shift for _ in range(trials))
+        return sum(not np.allclose(s, 0) and exact_wilcoxon_p(s) < alpha for s in draws) / trials
 
-    low, high = 0.0, spread
-    while found(high) < power and high < 1e3 * spread:
-        high *= 2
+    if found(top) < power:
+        return float("nan")
+    low, high = 0.0, top
     for _ in range(halvings):
         mid = (low + high) / 2
         low, high = (low, mid) if found(mid) >= power else (mid, high)
     return high
+
+
+def detectable(rows: DataFrame, gain: str, *by: str, **options) -> DataFrame:
+    """detectable_effect of each group; null where it is not reached."""
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in by) + ", detectable double"
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = detectable_effect(pdf[gain].dropna().to_numpy(dtype=float), **options)
+        return pd.DataFrame([[*key, None if v != v else v]], columns=[*by, "detectable"])
+
+    return rows.select(*by, gain).groupBy(*by).applyInPandas(one, schema)
+
+
+def holm_family(tests: DataFrame, p: str, member: str, out: str, *order: str) -> DataFrame:
+    """tests plus `out`: the Holm-adjusted p within the rows for which `member` holds; null for the others. A family is an evaluation's tests: tens of rows."""
+    family = holm(tests.where(member).select(*order, p), p).select(*order, F.col("p_holm").alias(out))
+    return tests.join(family, list(order), "left")
+
+
+def analysis(runs: DataFrame, case: str, comparisons: list[tuple[str, str]], primary: tuple[str, str], alpha: float = 0.05) -> DataFrame:
+    """One row for each case and comparison of two columns of runs (baseline, treatment): sizes and signs of the gains, the signed-rank test, and
+    Holm's correction within all tests, within the primary comparison and within the comparisons that are not with its baseline."""
+    every = F.array(*[F.struct(F.lit(a).alias("baseline"), F.lit(b).alias("treatment"), F.round(F.col(a) - F.col(b), 9).alias("gain")) for a, b in comparisons])
+    rows = runs.select(case, F.explode(every).alias("x")).select(case, "x.*").where("gain is not null")
+    by = (case, "baseline", "treatment")
+    held = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("gain").alias("mean_gain"), F.median("gain").alias("median_gain"), F.avg((F.col("gain") > 0).cast("double")).alias("positive_rate"))
+    held = held.join(wilcoxon(rows, "gain", *by), list(by)).join(rank_biserial(rows, "gain", *by).select(*by, F.least("w_pos", "w_neg").alias("w"), "rank_biserial"), list(by)).join(hodges_lehmann(rows, "gain", *by), list(by))
+    families = {"p_holm_full": "true", "p_holm_primary": f"baseline = '{primary[0]}' and treatment = '{primary[1]}'", "p_holm_direct": f"baseline <> '{primary[0]}'"}
+    for out, member in families.items():
+        held = holm_family(held, "p", member, out, *by)
+    return held.withColumns({f"significant_{n.removeprefix('p_holm_')}": F.coalesce(F.col(n) < alpha, F.lit(False)) for n in families})

@@ -13,14 +13,14 @@ from roadloom.streaming.fixes import windowed_quality
 
 _FLAG = """CASE WHEN try_cast(lower(trim({0})) AS DOUBLE) IS NOT NULL
   THEN isfinite(try_cast(lower(trim({0})) AS DOUBLE)) AND try_cast(lower(trim({0})) AS DOUBLE) <> 0
-  ELSE coalesce(lower(trim({0})) IN ('true', 'yes', 'y', 't', '1'), false) END"""
+  ELSE coalesce(lower(trim({0})) IN ('true', 'yes', 'y', 'on'), false) END"""
 _K = "json_extract_string(props, '$.k')"
 
 
 def b1_coercions(spark, sf):
     e = tables.read(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
-    word = F.when(F.col("event_id") % 5 == 0, " Yes ").when(F.col("event_id") % 5 == 1, "1.0").when(F.col("event_id") % 5 == 2, "inf").when(F.col("event_id") % 5 == 3, "no")
+    word = F.when(F.col("event_id") % 5 == 0, " Yes ").when(F.col("event_id") % 5 == 1, "1.0").when(F.col("event_id") % 5 == 2, "inf").when(F.col("event_id") % 5 == 3, "no").when(F.col("event_id") % 10 == 4, "On").otherwise("t")
     return rounded(
         e.select(
             "event_id", S.flag(k).alias("k_flag"), S.flag(word).alias("word_flag"), S.flag(F.col("event_type")).alias("type_flag"),
@@ -30,7 +30,7 @@ def b1_coercions(spark, sf):
     )
 
 
-_WORD = "CASE event_id % 5 WHEN 0 THEN ' Yes ' WHEN 1 THEN '1.0' WHEN 2 THEN 'inf' WHEN 3 THEN 'no' END"
+_WORD = "CASE event_id % 5 WHEN 0 THEN ' Yes ' WHEN 1 THEN '1.0' WHEN 2 THEN 'inf' WHEN 3 THEN 'no' ELSE CASE WHEN event_id % 10 = 4 THEN 'On' ELSE 't' END END"
 B1 = f"""SELECT event_id, {_FLAG.format(_K)} AS k_flag, {_FLAG.format(f"({_WORD})")} AS word_flag, {_FLAG.format("event_type")} AS type_flag,
   round(coalesce(try_cast(trim({_WORD}) AS DOUBLE), -1), 6) AS word_number, CAST({_K} AS INT) AS k_int,
   CAST({_K} AS DOUBLE) AS first_number, CAST(user_id AS VARCHAR) AS node, user_id || '_' || event_id || '_0' AS edge FROM events"""
@@ -64,14 +64,20 @@ FROM (SELECT *, dayofweek(ts) AS dow, isodow(ts) AS isodow, month(ts) AS mon, re
 
 
 def f1_truck_filter(spark, sf):
+    """Parts as edges: half of them matched with an authority's road, whose fields count only then."""
     p = tables.read(spark, sf, "part")
-    access = F.when(F.col("p_size") % 7 == 0, "Private road").when(F.col("p_size") % 11 == 0, "no").otherwise("yes")
-    status = F.when(F.col("p_size") % 5 == 0, "Proposed").otherwise("open")
-    drive = F.when(F.col("p_partkey") % 9 == 0, "4WD").when(F.col("p_partkey") % 9 == 1, "2WD")
-    return p.where(S.truck_allowed(F.col("p_type"), F.lit(None), status, access, drive)).select("p_partkey", "p_type", "p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    edge = {
+        "highway": F.when(key % 19 == 0, "motorway construction").otherwise(F.col("p_type")), "construction": F.when(key % 23 == 0, "minor").when(key % 23 == 1, "No"), "status": F.when(size % 5 == 0, "Proposed").otherwise("open"),
+        "access": F.when(size % 7 == 0, "Private road").when(size % 11 == 0, "no").otherwise("yes"), "vehicle": F.when(size % 13 == 0, "no"), "motor_vehicle": F.when(size % 17 == 0, "private"), "hgv": F.when(key % 29 == 0, "management only"),
+        "matched": F.when(key % 2 == 0, "1.0").otherwise("0"), "road_status": F.when(key % 6 == 0, "Under Construction"), "road_access": F.when(key % 10 == 1, "private").when(key % 10 == 2, "PRIVATE"),
+        "trafficable": F.when(key % 9 == 0, "4WD").when(key % 9 == 1, "2WD"),
+    }
+    return p.where(S.truck_allowed(edge)).select("p_partkey", "p_type", "p_size")
 
 
-F1 = """SELECT p_partkey, p_type, p_size FROM part WHERE lower(p_type) NOT LIKE '%construction%' AND p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0 AND p_partkey % 9 <> 0"""
+F1 = """SELECT p_partkey, p_type, p_size FROM part WHERE p_partkey % 19 <> 0 AND lower(p_type) NOT LIKE '%construction%' AND p_partkey % 23 <> 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0
+  AND p_size % 13 <> 0 AND p_size % 17 <> 0 AND p_partkey % 29 <> 0 AND NOT (p_partkey % 2 = 0 AND (p_partkey % 6 = 0 OR p_partkey % 10 = 2 OR p_partkey % 9 = 0))"""
 
 
 def g1_quality_mix(spark, sf):
@@ -112,7 +118,7 @@ def w2_displacement(spark, sf):
 
 
 # One step of the recursion is one fix of every track; the state is the last two effective positions.
-_IMPUTED = f"""+ o AS (SELECT *, row_number() OVER {_W} AS rn FROM pings),
+IMPUTED_SQL = f"""+ o AS (SELECT *, row_number() OVER {_W} AS rn FROM pings),
 f AS (
   SELECT track_id, rn, event_id, t_s, obs_x AS x, obs_y AS y, false AS imputed, NULL::DOUBLE AS t1, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1 FROM o WHERE rn = 1
   UNION ALL
@@ -123,7 +129,7 @@ f AS (
   FROM f JOIN o ON o.track_id = f.track_id AND o.rn = f.rn + 1)"""
 
 W2 = tables.with_views(
-    _IMPUTED
+    IMPUTED_SQL
     + f""" SELECT event_id, round(x, 4) AS eff_x, round(y, 4) AS eff_y, imputed, round(m, 4) AS moved,
   round(greatest(0, least(1, exp(-greatest(hdop - 1, 0) / 3) * least(1, sat_count / 8.0::DOUBLE) * least(1, m / 8) * CASE WHEN imputed OR li THEN 0.25 ELSE 1.0 END)), 4) AS reliability
 FROM (SELECT f.*, o.hdop, o.sat_count, coalesce(sqrt((f.x - lag(f.x) OVER w) ** 2 + (f.y - lag(f.y) OVER w) ** 2), 0) AS m, coalesce(lag(f.imputed) OVER w, false) AS li
@@ -243,6 +249,25 @@ SELECT g AS quality_state, round(first(threshold ORDER BY ba DESC, threshold), 6
 )
 
 
+def g5_value_counts(spark, sf):
+    """How often each state comes, and its share."""
+    counts = tables.truth(spark, sf).groupBy("state").agg(F.count("*").alias("fixes"))
+    every = counts.agg(F.sum("fixes").alias("all"))
+    return rounded(counts.crossJoin(F.broadcast(every)).select("state", "fixes", (F.col("fixes") / F.col("all")).alias("share")))
+
+
+G5 = tables.with_views("SELECT state, count(*) AS fixes, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM truth GROUP BY state", "truth")
+
+
+def f9_records(spark, sf):
+    """Records that lack what a reader needs, apart from those that have it; `require` raises on the first."""
+    t = tables.truth(spark, sf).select("event_id", F.when(F.col("event_id") % 6 > 0, F.col("edge_v")).alias("to"), F.when(F.col("event_id") % 10 > 0, F.col("hdop")).alias("score"))
+    return t.withColumn("valid", S.complete("to", "score")).groupBy("valid").agg(F.count("*").alias("records"))
+
+
+F9 = tables.with_views("SELECT event_id % 6 > 0 AND event_id % 10 > 0 AS valid, count(*) AS records FROM truth GROUP BY 1", "truth")
+
+
 def ext_windowed_quality(spark, sf):
     p = tables.pings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out = windowed_quality(p)
@@ -258,5 +283,5 @@ EXT_W = tables.with_views(
 PLANS = [
     Plan(b1_coercions, B1), Plan(b13_time_features, B13), Plan(f1_truck_filter, F1), Plan(g1_quality_mix, G1), Plan(w1_boundaries, W1), Plan(w2_displacement, W2, "q1_w2_w3_imputed_motion"),
     Plan(w4_missing_runs, W4), Plan(w5_rising_edges, W5), Plan(w6_look_ahead, W6), Plan(w7_motion_checks, W7), Plan(w11_even_sample, W11), Plan(g8_blackout_stats, G8),
-    Plan(g10_error_summary, G10), Plan(g15_contrast, G15), Plan(g19_threshold, G19), Plan(ext_windowed_quality, EXT_W),
+    Plan(g10_error_summary, G10), Plan(g15_contrast, G15), Plan(g19_threshold, G19), Plan(ext_windowed_quality, EXT_W), Plan(g5_value_counts, G5), Plan(f9_records, F9),
 ]

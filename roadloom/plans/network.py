@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import features as X
 from roadloom.functions import scalars as S
-from roadloom.operators import circuits, decode, fuzzy, geo, graph, sequence, training
+from roadloom.operators import circuits, decode, geo, graph, sequence, training
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import files, tables
 from roadloom.sources.shared import stored
@@ -119,6 +119,9 @@ e AS (SELECT *, sqrt((obs_x - px) ** 2 + (obs_y - py) ** 2) AS dist FROM q),
 n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, u, v, k) AS rank, min(dist) OVER (PARTITION BY event_id) > 60 AS fallback FROM e),
 c AS (SELECT * FROM n WHERE (dist <= 60 OR fallback) AND rank <= 10)"""
 
+#: All candidates: within 60 m, else the ten nearest.
+CANDIDATES_SQL = _CAND.replace("e AS (", "e AS MATERIALIZED (") + ", c10 AS MATERIALIZED (SELECT * FROM n WHERE dist <= 60 OR (fallback AND rank <= 10))"
+
 J1 = tables.with_views(
     _CAND
     + """ SELECT event_id, u, v, k, CAST(rank AS INT) AS rank, fallback, round(px, 4) AS px, round(py, 4) AS py, round(arc, 4) AS arc, round(dist, 4) AS dist,
@@ -134,7 +137,7 @@ def l1_ranking_pairs(spark, sf):
 
 
 L1 = tables.with_views(
-    _CAND
+    _CAND.replace("c AS (", "c AS MATERIALIZED (")
     + """, p AS (SELECT * FROM c WHERE rank = 1 + event_id % 2), m AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, u, v, k) AS place FROM c WHERE rank <> 1 + event_id % 2)
 SELECT event_id, CAST(place AS INT) AS place, p.u AS true_u, p.v AS true_v, p.k AS true_k, round(p.dist, 4) AS true_dist, m.u, m.v, m.k, round(m.dist, 4) AS dist
 FROM m JOIN p USING (event_id) WHERE place <= 4""",
@@ -272,67 +275,16 @@ def k5_route_features(spark, sf):
     return files.route_features(e)
 
 
-def _steps(spark, sf):
-    """Candidates of effective fixes, as steps of track segments, with what transitions need."""
-    p = sequence.displacement(sequence.boundaries(sequence.impute(tables.pings(spark, sf))), "eff_x", "eff_y").where("eff_x is not null")
-    either = F.col("imputed") | F.coalesce(F.lag("imputed").over(sequence.track()), F.lit(False))
-    p = p.withColumns({"reliability": X.direction_reliability(F.col("hdop"), F.col("sat_count"), F.col("moved"), either), "step": F.row_number().over(sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER))})
-    e = geo.with_points(tables.edges(spark, sf), tables.nodes(spark, sf))
-    c = geo.candidates(stored(p, "effective"), geo.segments(e), x="eff_x", y="eff_y")
-    lines = e.select("u", "v", "k", "points", geo.line_length(F.col("points")).alias("line_length"))
-    c = c.join(lines, ["u", "v", "k"]).withColumn("__t", geo.tangent(F.col("points"), F.col("arc"), F.col("line_length")))
-    c = c.withColumns({"tx": F.col("__t")["tx"], "ty": F.col("__t")["ty"]}).drop("points", "__t")
-    emit = X.spatial_log_prob(F.col("dist"), X.quality_scale(F.col("hdop"), F.col("sat_count"), F.col("imputed")))
-    edge = (F.col("u") * 1_000_000_000 + F.col("v") * 10 + F.col("k")).cast("long")
-    return c.withColumns({"emit": emit, "edge": edge, "ox": F.col("eff_x"), "oy": F.col("eff_y")})
-
-
-
-def q3_viterbi(spark, sf):
-    c = stored(_steps(spark, sf), "steps")
-    pairs = decode.pair_potentials(c, stored(graph.routes_between(tables.edges(spark, sf), decode.node_pairs(c)), "hops"))
-    return rounded(decode.viterbi(c, pairs, beam=None), 4)
-
-
 def q2_level_filter(spark, sf):
-    p = sequence.boundaries(tables.pings(spark, sf)).withColumn("degraded", S.degradation(F.col("hdop"), F.col("sat_count")))
+    p = sequence.boundaries(tables.pings(spark, sf))
     e = tables.edges(spark, sf)
     pieces = _pieces(spark, sf).join(e.select("u", "v", "k", "layer", ((F.col("tunnel") == 1) | (F.col("layer") < 0)).alias("below")), ["u", "v", "k"])
     out = decode.kalman_levels(p, pieces, graph.level_transitions(e))
     return rounded(out.select("event_id", "ekf_x", "ekf_y", F.aggregate(F.map_values("beliefs"), S.d(0), lambda a, v: F.greatest(a, v)).alias("belief")), 4)
 
 
-def j5_fuzzy_names(spark, sf):
-    """Each part's best namesake of its brand: tokens, sizes as distance, types as subtypes."""
-    p = tables.read(spark, sf, "part").withColumn("tokens", S.name_tokens(F.col("p_name")))
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, F.col("a.p_brand") == F.col("b.p_brand")).where("a.p_partkey <> b.p_partkey")
-    apart = F.abs(F.col("a.p_size") - F.col("b.p_size"))
-    parts = {
-        "overlap": S.d(1) - apart / S.d(50),
-        "distance": F.greatest(S.d(0), 1 - apart / S.d(25)),
-        "name": S.name_similarity(F.col("a.tokens"), F.col("b.tokens")),
-        "direction": S.direction_similarity(F.col("a.p_size") % 2 == 0, F.col("b.p_size") % 2 == 0, F.col("a.p_size") * S.d(7), F.col("b.p_size") * S.d(7)),
-        "subtype": F.when(F.col("a.p_type") == F.col("b.p_type"), S.d(1)).otherwise(S.d(0)),
-    }
-    held = pairs.select(F.col("a.p_partkey").alias("part"), F.col("b.p_partkey").alias("match"), *[c.alias(n) for n, c in parts.items()], apart.alias("apart"))
-    return rounded(fuzzy.best_match(held, {n: F.col(n) for n in parts}, "part", "match", F.col("apart")))
-
-
-_STOP = ", ".join(f"'{w}'" for w in S.NAME_STOP_WORDS)
-J5 = f"""WITH w AS (SELECT p_partkey, p_brand, p_size, p_type, list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')) AS ws FROM part),
-p AS (SELECT *, CASE WHEN len(list_filter(ws, lambda t: t NOT IN ({_STOP}))) > 0 THEN list_filter(ws, lambda t: t NOT IN ({_STOP})) ELSE ws END AS tk FROM w),
-c AS (SELECT a.p_partkey AS part, b.p_partkey AS match, abs(a.p_size - b.p_size) AS apart, 1 - abs(a.p_size - b.p_size) / 50.0::DOUBLE AS o, greatest(0, 1 - abs(a.p_size - b.p_size) / 25.0::DOUBLE) AS di,
-  len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk)))::DOUBLE AS na,
-  CASE WHEN a.p_size % 2 = 0 AND b.p_size % 2 = 0 THEN 0.5 + 0.5 * greatest(0, 1 - abs(((a.p_size - b.p_size) * 7 + 180 + 3600) % 360 - 180) / 90.0::DOUBLE) WHEN a.p_size % 2 = b.p_size % 2 THEN 1.0 ELSE 0.35 END AS dr,
-  CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS su FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
-s AS (SELECT *, 0.35::DOUBLE * o + 0.2::DOUBLE * di + 0.2::DOUBLE * na + 0.15::DOUBLE * dr + 0.1::DOUBLE * su AS score FROM c),
-r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, count(*) OVER (PARTITION BY part) AS n FROM s WINDOW w AS (PARTITION BY part ORDER BY round(score, 12) DESC, o DESC, apart, match))
-SELECT part, match, round(score, 6) AS score, round(score - coalesce(second, 0), 6) AS margin, score >= 0.5 AS accepted, n > 1 AND score - coalesce(second, 0) < 0.03 AS ambiguous, n AS candidates FROM r WHERE rn = 1"""
-
-
 PLANS = [
     Plan(b10_edge_features, B10), Plan(b11_transition_features, B11), Plan(m2_product_circuit, M2), Plan(m4_matched_mlp, M4), Plan(m1_circuit), Plan(j1_candidates, J1, "j1_j2_candidates"), Plan(l1_ranking_pairs, L1),
     Plan(f8_match_classes, F8), Plan(r1_routes, R1), Plan(r3_components, R3), Plan(r5_degrees, R5), Plan(r6_pruned_nodes, R6), Plan(r7_first_exit, R7), Plan(g21_level_transitions, G21), Plan(j16_one_sided, J16),
-    Plan(g2_graph_audit, G2), Plan(k6_route_vertices, K6), Plan(k5_route_features), Plan(q3_viterbi), Plan(q2_level_filter), Plan(j5_fuzzy_names, J5),
+    Plan(g2_graph_audit, G2), Plan(k6_route_vertices, K6), Plan(k5_route_features), Plan(q2_level_filter),
 ]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.plans import evaluation, fixes, network
+from roadloom.plans import coerce, decoding, evaluation, fixes, formats, fusing, lookups, making, network, scoring, validating
 
 FLAGSHIP = "j1_j2_candidates"
-PLANS = [*fixes.PLANS, *network.PLANS, *evaluation.PLANS]
+PLANS = [*formats.PLANS, *fixes.PLANS, *coerce.PLANS, *fusing.PLANS, *validating.PLANS, *network.PLANS, *lookups.PLANS, *decoding.PLANS, *scoring.PLANS, *making.PLANS, *evaluation.PLANS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

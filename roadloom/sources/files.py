@@ -1,4 +1,4 @@
-"""Scans and sinks: GraphML, trajectory CSV, GeoJSON, nested candidate JSON, route exports, consolidated tables."""
+"""Scans and sinks: GraphML, trajectory CSV, GeoJSON, nested candidate JSON, weights, route exports, consolidated tables, resumable steps."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.functions.scalars import node_id
+from roadloom.functions.scalars import LENIENT_TEXTS, flag, node_id
 
 _DATA = "array<struct<_VALUE:string,_key:string>>"
 _GRAPHML = {
@@ -53,6 +53,67 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def read_graphml_tolerant(spark: SparkSession, path: str, flags: tuple[str, ...] = ("oneway", "reversed", "tunnel", "bridge")) -> tuple[DataFrame, DataFrame]:
+    """read_graphml with the edges' flag-like attributes as booleans, "t" counting as true too; a flag that an edge lacks is false."""
+    nodes, edges = read_graphml(spark, path)
+    return nodes, edges.withColumns({c: flag(F.col(c), LENIENT_TEXTS) for c in flags if c in edges.columns})
+
+
+def _escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One GraphML graph as text parts in order: header, nodes (node_id and attributes), edges (u, v, k and attributes), end; joined, the parts are one file.
+
+    Missing values are left out. Every part holds whole elements, so that they can be read side by side.
+    """
+    keys = {"node": [c for c in nodes.columns if c != "node_id"], "edge": [c for c in edges.columns if c not in ("u", "v", "k")]}
+    ident = {"node": {c: f"n{i}" for i, c in enumerate(keys["node"])}, "edge": {c: f"e{i}" for i, c in enumerate(keys["edge"])}}
+
+    def data(of: str) -> Column:
+        each = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f'<data key="{i}">'), _escaped(F.col(f"`{c}`").cast("string")), F.lit("</data>"))) for c, i in ident[of].items()]
+        return F.concat_ws("", *each)
+
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{i}" for="{of}" attr.name="{c}" attr.type="string"/>' for of in ident for c, i in ident[of].items()) + '<graph edgedefault="directed">'
+    text = lambda c: _escaped(F.col(c).cast("string"))
+    node = F.concat(F.lit('<node id="'), text("node_id"), F.lit('">'), data("node"), F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), text("u"), F.lit('" target="'), text("v"), F.lit('" id="'), text("k"), F.lit('">'), data("edge"), F.lit("</edge>"))
+    spark = nodes.sparkSession
+    lines = spark.createDataFrame([(0, head), (3, "</graph></graphml>")], "part int, line string")
+    lines = lines.union(nodes.select(F.lit(1), node)).union(edges.select(F.lit(2), edge))
+    lines.orderBy("part", "line").select("line").write.text(path)
+
+
+def write_trajectories(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """CSV by an explicit schema: ids stay text whatever they look like."""
+    return spark.read.schema(ddl).option("header", True).csv(path)
+
+
+def write_weights(spark: SparkSession, path: str, name: str, weights: list[float], shape: list[int]) -> None:
+    """Weights of a model as one row: name, shape, values."""
+    spark.createDataFrame([(name, shape, [float(w) for w in weights])], "name string, shape array<int>, weights array<double>").write.parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str, name: str, shape: list[int]) -> list[float]:
+    """The weights of a model, of the wanted shape and finite; anything else raises, as a model must never run on other weights than its own."""
+    row = spark.read.parquet(path).where(F.col("name") == name).first()
+    if row is None or list(row["shape"]) != list(shape):
+        raise ValueError(f"no weights {name} of shape {shape}")
+    size = 1
+    for n in shape:
+        size *= n
+    if len(row["weights"]) != size or any(w != w or abs(w) == float("inf") for w in row["weights"]):
+        raise ValueError(f"weights {name} are incomplete")
+    return list(row["weights"])
+
+
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     """CSV with text ids; NaN positions become null, so that one kind of missing is left."""
     df = spark.read.schema(TRAJECTORY).option("header", True).csv(path)
@@ -76,6 +137,77 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return listed.select("ping_index", "timestamp", "original_coords", "projected_coords", F.posexplode_outer("candidates").alias("candidate_index", "c")).select("*", "c.*").drop("c")
 
 
+def write_candidates(cands: DataFrame, fixes: DataFrame, path: str) -> None:
+    """Nested candidate sets, a JSON object a fix and line. fixes: event_id, timestamp, x, y; cands: event_id, rank and what CANDIDATE names, with u, v, k."""
+    entry = F.struct(
+        F.array(F.col("u").cast("string"), F.col("v").cast("string"), F.col("k").cast("string")).alias("edge_id"), F.col("dist").alias("dist_m"), "speed_limit", "bearing", "is_tunnel", "layer",
+        F.col("px").alias("edge_x"), F.col("py").alias("edge_y"), F.col("arc").alias("edge_offset_m"), F.col("line_length").alias("edge_length_m"),
+    )
+    each = cands.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("c")))), lambda r: r["c"]).alias("candidates"))
+    xy = F.array("x", "y")
+    held = fixes.join(each, "event_id", "left").select("event_id", "timestamp", xy.alias("original_coords"), xy.alias("projected_coords"), F.coalesce("candidates", F.array().cast(CANDIDATE)).alias("candidates"))
+    held.write.json(path)
+
+
+def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_candidates wrote, one row a candidate; fixes without candidates keep a row."""
+    raw = spark.read.schema(f"event_id long, timestamp string, original_coords array<double>, projected_coords array<double>, candidates {CANDIDATE}").json(path)
+    return raw.select("event_id", "timestamp", "original_coords", F.posexplode_outer("candidates").alias("candidate_index", "c")).select("*", "c.*").drop("c")
+
+
+def write_features(routes: DataFrame, path: str) -> None:
+    """GeoJSON features, one a line."""
+    route_features(routes).select("feature").write.text(path)
+
+
+def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """GeoJSON features, one a line: the properties (of the given DDL) and the points of a LineString."""
+    raw = spark.read.schema(f"properties struct<{properties}>, geometry struct<type:string,coordinates:array<array<double>>>").json(path)
+    point = F.transform("geometry.coordinates", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
+    return raw.where("geometry.type = 'LineString'").select("properties.*", point.alias("points"))
+
+
+def vector_source(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """The first of the named files that a folder has, else its first GeoJSON file; raises where there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = sorted(f.getPath().getName() for f in (fs.listStatus(root) if fs.exists(root) else []))
+    for name in [*names, *[n for n in there if n.lower().endswith((".geojson", ".json"))]]:
+        if name in there:
+            return f"{folder.rstrip('/')}/{name}"
+    raise FileNotFoundError(f"no vector file in {folder}")
+
+
+def read_cases(spark: SparkSession, path: str, case: str = "case_name") -> DataFrame:
+    """All cases as one table, with each row's case and file."""
+    return spark.read.parquet(path).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def union_cases(frames: dict[str, DataFrame]) -> DataFrame:
+    """Frames of several cases as one, with the case; columns that a frame lacks are null."""
+    out = None
+    for case, df in frames.items():
+        df = df.withColumn("case_name", F.lit(case))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def resumable(spark: SparkSession, folder: str, signature: str, steps: list[str], compute) -> DataFrame:
+    """Runs named steps one after the other, each stored under a folder of the signature (of code and settings); steps that are there already are not run again.
+
+    A step counts only when its write was committed, so a run that was cut off goes on where it was.
+    """
+    out = None
+    for step in steps:
+        path = f"{folder.rstrip('/')}/{signature}/{step}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            compute(step).write.mode("overwrite").parquet(path)
+        part = spark.read.parquet(path)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def write_cases(df: DataFrame, path: str, case: str = "case_name") -> None:
     """One table for all cases; a case's rows share its folder."""
     df.write.partitionBy(case).parquet(path)
@@ -93,13 +225,20 @@ def route_vertices(routes: DataFrame) -> DataFrame:
     return routes.select("route_id", F.posexplode("points").alias("vertex", "p")).select("route_id", "vertex", "p.x", "p.y")
 
 
-def require_fresh(spark: SparkSession, artifact: str, sources: list[str]) -> None:
-    """Raises unless the artifact exists and is newer than every source."""
+def is_fresh(spark: SparkSession, artifact: str, sources: list[str]) -> bool:
+    """Whether the artifact is there and no source is missing or newer, by file times."""
 
     def newest(path: str):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return None
         return spark.read.format("binaryFile").load(path).agg(F.max("modificationTime")).first()[0]
 
     made = newest(artifact)
-    for s in sources:
-        if newest(s) > made:
-            raise ValueError(f"{artifact} is older than {s}")
+    return made is not None and all((t := newest(s)) is not None and t <= made for s in sources)
+
+
+def require_fresh(spark: SparkSession, artifact: str, sources: list[str]) -> None:
+    """Raises unless the artifact exists and no source is missing or newer."""
+    if not is_fresh(spark, artifact, sources):
+        raise ValueError(f"{artifact} is missing or older than one of {sources}")

@@ -41,6 +41,29 @@ SELECT event_id, user_id AS track_id, ts, {seconds} AS t_s,
   9 - CAST(floor(CAST({k} AS INT) / 10) AS INT) AS sat_count,
   event_type AS quality_state FROM {events}"""
 
+#: Tracks with a true edge for each fix, some of them wrong on purpose: bad keys, missing edges, displaced points, uneven steps.
+_TRUTH = """
+SELECT p.*, CASE WHEN e.key_case = 0 THEN '1.0' WHEN e.key_case = 1 THEN '1' WHEN e.key_case = 2 THEN 'x' WHEN e.key_case = 3 THEN NULL ELSE '0' END AS edge_key,
+  concat(CAST(edge_u AS {text}), CASE WHEN event_id % 3 = 0 THEN '.0' ELSE '' END) AS node_text, CAST(edge_v + CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS {text}) AS next_text,
+  CASE WHEN e.key_case < 2 THEN -1 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS true_layer, CASE WHEN e.key_case < 2 THEN 1 ELSE 0 END AS true_tunnel,
+  (edge_u % w + edge_v % w) * 25.0{d} AS at_x, (floor(edge_u / w) + floor(edge_v / w)) * 25.0{d} + CASE WHEN event_id % 13 = 0 THEN 5 ELSE 0 END AS at_y,
+  CASE WHEN event_id % 4 = 0 THEN 5.0{d} + event_id % 20 ELSE 10.0{d} END AS speed, step * CASE WHEN track_id % 2 = 0 THEN 10.0{d} ELSE 100.0{d} END + CASE WHEN event_id % 17 = 0 THEN 3 ELSE 0 END AS path, step + CASE WHEN event_id % 29 = 0 THEN 0.5{d} ELSE 0.0{d} END AS stamp,
+  CASE quality_state WHEN 'view' THEN 'tunnel_blackout' WHEN 'click' THEN 'portal_degraded' WHEN 'error' THEN 'portal_blackout' WHEN 'purchase' THEN 'post_tunnel_recovery' ELSE 'open_sky' END AS state
+FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY track_id ORDER BY t_s, event_id) AS step, event_id % n.n AS edge_u, event_id % n.n + CASE WHEN event_id % 5 = 0 THEN n.w ELSE 1 END AS edge_v, n.w
+  FROM {pings} p CROSS JOIN (SELECT max(n) AS n, max(w) AS w FROM {nodes}) n) p
+JOIN (SELECT 0 AS key_case UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) e ON event_id % 7 = e.key_case"""
+
+#: Another survey's roads along some edges, with a bend and displaced, of other names, kinds and restrictions.
+_ROADS = """
+SELECT e.u * 1000000 + e.v AS road, a.x AS ax, a.y + e.u % 5 * 4.0{d} AS ay, (a.x + b.x) / 2 + e.v % 3 AS bx, (a.y + b.y) / 2 + e.u % 5 * 4.0{d} + 1 AS by_, b.x AS cx, b.y + e.u % 5 * 4.0{d} AS cy,
+  concat(CASE e.u % 3 WHEN 0 THEN 'North Link ' WHEN 1 THEN 'Old Mill ' ELSE 'Harbour ' END, CASE e.v % 4 WHEN 0 THEN 'Tunnel' WHEN 1 THEN 'Road' ELSE 'St' END) AS name,
+  CASE WHEN e.u % 6 = 0 THEN 'Tunnel' WHEN e.u % 6 = 1 THEN 'BRIDGE' WHEN e.u % 6 = 2 THEN 'Ramp' WHEN e.u % 6 = 3 THEN NULL ELSE 'ROAD' END AS kind,
+  CASE WHEN e.v % 10 = 0 THEN 'Proposed' ELSE 'Operational' END AS status, CASE WHEN e.v % 12 = 1 THEN 'Private' ELSE NULL END AS access, CASE WHEN e.v % 14 = 3 THEN '4WD' ELSE '2WD' END AS trafficable,
+  CASE e.u % 4 WHEN 0 THEN 'Two Way' WHEN 1 THEN 'One Way' WHEN 2 THEN 'From To' ELSE NULL END AS one_way, CASE WHEN e.v % 4 = 0 THEN 'TO FROM' ELSE 'FROM TO' END AS direction,
+  CASE WHEN e.u % 3 = 0 THEN 80.0{d} WHEN e.u % 3 = 1 THEN -1.0{d} ELSE NULL END AS speed, CASE WHEN e.v % 2 = 0 THEN 3 ELSE 0 END AS lane_count
+FROM {edges} e JOIN {nodes} a ON a.node_id = e.u JOIN {nodes} b ON b.node_id = e.v WHERE e.k = 0 AND (e.u + e.v) % 3 <> 0"""
+
 _SPARK_TIME = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1000000.0D"
 _DUCK_TIME = "date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 1000000.0::DOUBLE"
 
@@ -50,12 +73,16 @@ DUCK = {
     "nodes": _NODES.format(supplier="supplier"),
     "edges": _EDGES.format(nodes="nodes"),
     "runs": _RUNS.format(orders="orders", lineitem="lineitem"),
+    "truth": _TRUTH.format(pings="pings", nodes="nodes", d="::DOUBLE", text="VARCHAR"),
+    "roads": _ROADS.format(edges="edges", nodes="nodes", d="::DOUBLE"),
 }
+_NEEDS = {"edges": {"nodes"}, "truth": {"pings", "nodes"}, "roads": {"edges", "nodes"}}
 
 
 def with_views(sql: str, *names: str) -> str:
     """sql for DuckDB with the named adapter views before it."""
-    needed = [n for n in ("pings", "nodes", "edges", "runs") if n in names or (n == "nodes" and "edges" in names)]
+    wanted = set(names).union(*(_NEEDS.get(n, set()) for n in names))
+    needed = [n for n in DUCK if n in wanted]
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({DUCK[n]})" for n in needed) + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().removeprefix("+")
 
 
@@ -73,3 +100,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RUNS, orders=read(spark, sf_dir, "orders"), lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TRUTH.format(pings="{pings}", nodes="{nodes}", d="D", text="STRING"), pings=pings(spark, sf_dir), nodes=nodes(spark, sf_dir))
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ROADS.format(edges="{edges}", nodes="{nodes}", d="D"), edges=edges(spark, sf_dir), nodes=nodes(spark, sf_dir))

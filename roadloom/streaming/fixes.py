@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadloom.operators.aggregates import share
+from roadloom.operators.sequence import fill
 
 
 def windowed_quality(fixes: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -20,27 +21,22 @@ def windowed_quality(fixes: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def _impute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the last two effective positions with their times."""
-    held = list(state.get) if state.exists else [np.nan] * 6
+    """State: the last two effective positions with their times, as the table form has them. Time that does not increase begins a new segment there too."""
+    held = tuple(state.get) if state.exists else None
     for pdf in batches:
-        rows = []
-        for event, t, x, y in pdf.sort_values(["t_s", "event_id"])[["event_id", "t_s", "obs_x", "obs_y"]].itertuples(index=False):
-            t1, x1, y1, t2, x2, y2 = held
-            missing = not (np.isfinite(x) and np.isfinite(y))
-            filled = missing and np.isfinite(x1) and np.isfinite(y1)
-            if filled:
-                dt = np.clip(t - t1, 0.25, 30)
-                known = np.isfinite(x2) and np.isfinite(y2)
-                before = np.clip(t1 - t2, 0.25, 30) if known else 1.0
-                x, y = (x1 + (x1 - x2) / before * dt, y1 + (y1 - y2) / before * dt) if known else (x1, y1)
-            rows.append([key[0], event, None if not np.isfinite(x) else x, None if not np.isfinite(y) else y, filled])
-            held = [t, x, y, t1, x1, y1]
-        yield pd.DataFrame(rows, columns=["track_id", "event_id", "eff_x", "eff_y", "imputed"])
-    state.update(tuple(float(v) for v in held))
+        pdf = pdf.sort_values(["t_s", "event_id"])
+        t, x, y = (pdf[c].to_numpy(float).copy() for c in ("t_s", "obs_x", "obs_y"))
+        before = np.concatenate(([held[3] if held else np.nan], t[:-1]))
+        new = ~(t > before)
+        ex, ey, imputed, (two, one) = fill(t, x, y, new, None if new[0] else (held[:3], held[3:]))
+        held = (*two, *one)
+        yield pd.DataFrame({"track_id": key[0], "event_id": pdf["event_id"].to_numpy(), "eff_x": ex, "eff_y": ey, "imputed": imputed})
+    if held:
+        state.update(held)
 
 
 def impute_stream(fixes: DataFrame) -> DataFrame:
     """Effective positions as fixes come, with six numbers of state a track. Within a batch fixes are put in order of time."""
     return fixes.groupBy("track_id").applyInPandasWithState(
-        _impute, "track_id long, event_id long, eff_x double, eff_y double, imputed boolean", "t1 double, x1 double, y1 double, t2 double, x2 double, y2 double", "append", GroupStateTimeout.NoTimeout
+        _impute, "track_id long, event_id long, eff_x double, eff_y double, imputed boolean", "t2 double, x2 double, y2 double, t1 double, x1 double, y1 double", "append", GroupStateTimeout.NoTimeout
     )

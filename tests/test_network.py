@@ -5,19 +5,22 @@ import math
 from pyspark.sql import functions as F
 
 from roadloom.operators import decode, geo, graph
-from roadloom.plans import network
+from roadloom.plans import decoding
 from roadloom.sources.shared import stored
 
 
 def test_routes_between_have_no_bound_and_miss_only_unreachable_pairs(spark):
     edges = spark.createDataFrame([(i, i + 1, 0, 700.0) for i in range(6)] + [(0, 1, 1, 900.0), (9, 8, 0, 5.0)], "u long, v long, k long, length double")
     pairs = spark.createDataFrame([(0, 1), (0, 6), (3, 3), (6, 0), (0, 8), (77, 0)], "src long, dst long")
-    assert {tuple(r) for r in graph.routes_between(edges, pairs).collect()} == {(0, 1, 700.0), (0, 6, 4200.0), (3, 3, 0.0)}
+    want = {(0, 1, 700.0), (0, 6, 4200.0), (3, 3, 0.0)}
+    assert {tuple(r) for r in graph.routes_between(edges, pairs).collect()} == want
+    assert {tuple(r) for r in graph.routes_between(edges, pairs, most_links=3).collect()} == want  # by joins
+    assert {(r.src, r.dst) for r in graph.reachable(edges, pairs).collect() if r.reachable} == {(a, b) for a, b, _ in want}
 
 
 def test_viterbi_goes_on_over_long_routes_and_keeps_every_candidate(spark):
     sf = "/root/testdata/sf0.001"
-    steps = stored(network._steps(spark, sf), "steps")
+    steps = stored(decoding.steps(spark, sf), "steps")
     assert steps.agg(F.max("rank")).first()[0] > 8
     row = "track_id long, segment long, step int, edge long, u long, v long, arc double, line_length double, ox double, oy double, tx double, ty double, moved double, reliability double"
     two = [(1, 0, 1, 1, 0, 1, 50.0, 50.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (1, 0, 2, 2, 2, 3, 0.0, 50.0, 650.0, 0.0, 1.0, 0.0, 650.0, 0.0)]
