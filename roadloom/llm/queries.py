@@ -159,7 +159,7 @@ def _crc_table() -> list[int]:
 
 # The map is a fold: largest slot first, each to the first of the shards that hold least. CRC-32 goes byte by byte, over the distinct texts.
 OP4_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || '|' || (octet_length(encode(coalesce(text, ''))) + 1)) AS h FROM documents),
 x AS (SELECT t, hex(encode(t)) AS x FROM (SELECT DISTINCT t FROM d)),
 c AS (
   SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
@@ -178,7 +178,8 @@ FROM r JOIN m USING (vs)"""
 # Sources fill up in the order of cap / weight; the level is that of the first that stays below its cap.
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('8|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+  SELECT *, md5('8|' || coalesce(CAST(doc_id AS VARCHAR), md5(t)) || '|' || size) AS h
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 0.5::DOUBLE * (1 - place % 3) AS tilt, source_size * 2.0::DOUBLE AS cap FROM p),
 l AS (
@@ -186,7 +187,7 @@ l AS (
     / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT *, coalesce(least(w * (SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, place LIMIT 1), cap), cap) AS target FROM l),
 s AS (
-  SELECT doc_id, size, source_size, target, tilt, floor(target + 0.5) AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT doc_id, size, source_size, target, tilt, floor(target + 0.5) AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 t AS (SELECT *, greatest(least(size, goal - start), 0) AS one, greatest(least(size, goal - start - source_size), 0) AS two FROM s)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(one + two AS BIGINT) AS taken,
