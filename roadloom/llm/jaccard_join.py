@@ -18,7 +18,8 @@ the short lists). Documents with the same set are one node. Steps:
 4. Links are joined to components with large-star and small-star rounds.
 
 No pairs are emitted within a group, nothing is capped, and links and components stay distributed.
-Tokens are 56-bit hashes (64 bits for a whole set): sets are compared by hash, not by text.
+Shingles are compared as 56-bit hashes. A set is told by 128 bits: nodes are 64-bit hashes, and where a second hash shows two sets under one of them, the other gets a
+node of its own.
 
 Defined results: null, empty and wordless texts have 0 shingles and their own id; fewer words than a shingle are one
 shingle. Rows without doc_id have no component_id and link to nothing by it. Rows that repeat a doc_id are one document of
@@ -67,6 +68,11 @@ def _node(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens ^ _U(0x5DEECE66D)).sum(dtype=_U, keepdims=True) + _U(len(tokens))).view(np.int64)[0])
 
 
+def _check(tokens: np.ndarray) -> int:
+    """A second hash of a set."""
+    return int(mix(mix(tokens + _U(0xA24BAED4963EE407)).sum(dtype=_U, keepdims=True) ^ _U(len(tokens) * 0x9FB21C651E98DF25 % (1 << 64))).view(np.int64)[0])
+
+
 def levels(docs: DataFrame, k: int) -> np.ndarray:
     """For each counter the level (about 12 % apart) of how many distinct shingles of all documents fell on it."""
     size = (1 << RANK_BITS) // _SLICES
@@ -233,7 +239,7 @@ def _stream(batches, levels_of, k: int, flush):
             if (key[at], part[at]) != now:
                 out += flush(state, held, None)
                 held, seen, now, state = ([], [], []), set(), (key[at], part[at]), {}
-            if (role[at] == 2, node[at]) in seen or _node(tokens) != node[at]:
+            if (role[at] == 2, node[at]) in seen or (own := _node(tokens)) != node[at] and own ^ _check(tokens) != node[at]:
                 continue  # a repeated row, or another text of the same id
             seen.add((role[at] == 2, node[at]))
             if role[at] < 2:
@@ -301,25 +307,33 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     held = spark.sparkContext.broadcast(levels(docs, k))  # fixed number of counters
 
     def prefixes(batches):
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
         for b in batches:
             for i, j, buf, offs in chunks(b.column(1)):
-                size, node, prefix = [], [], []
+                size, node, check, prefix = [], [], [], []
                 for _, x in _sets(buf, offs, k, held.value):
                     n = len(x)
                     size.append(n)
                     node.append(_node(x) if n else None)
-                    first = n and node[-1] not in sent  # copies in a task send their prefix once
+                    check.append(_check(x) if n else None)
+                    first = n and (node[-1], check[-1]) not in sent  # copies in a task send their prefix once
                     prefix.append(x[: n - -(-num * n // den) + 1].view(np.int64) if first else np.zeros(0, np.int64))
                     if first:
-                        sent.add(node[-1])
+                        sent.add((node[-1], check[-1]))
                 if len(sent) > 200_000:
                     sent.clear()
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(size, pa.int64()), pa.array(node, pa.int64()), flat], ["doc_id", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(c, pa.int64()) for c in (size, node, check)), flat], ["doc_id", "n", "node", "check", "prefix"])
 
     full = shared_dir(spark, "jaccard-prefixes")
-    rows = stored_at(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(prefixes), "doc_id long, n long, node long, prefix array<long>"), full)
+    rows = stored_at(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(trimmed(prefixes), "doc_id long, n long, node long, check long, prefix array<long>"), full)
+    by_node = lambda df: stored(df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("check"), F.max("check").alias("other")), "jaccard-named")
+    named = by_node(rows)
+    if (clash := named.where("check <> other").select(F.col("node").alias("__node"), F.col("check").alias("__check"))).take(1):
+        # Different sets of one hash: all but those of the least second hash are named anew.
+        rows = rows.join(clash, F.col("node") == F.col("__node"), "left").withColumn("node", F.when(F.col("check") != F.col("__check"), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node"))).drop("__node", "__check")
+        named = by_node(rows)
+    named = named.select("node", "doc_id")
 
     # If this is the first token that a linked pair has in common, the rest of either set must reach the overlap that
     # both lengths need; for the shorter set that leaves only a leading part of its prefix.
@@ -328,7 +342,7 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     tokens = tokens.repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
     shared = stored(tokens.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long"), "jaccard-shared")
     # The prefixes, most of what is stored, have served: only the rows' other columns stay.
-    rows = stored(rows.drop("prefix"), "jaccard-rows")
+    rows = stored(rows.select("doc_id", "n", "node"), "jaccard-rows")
     discard(spark, full)
 
     # Home blocks, and the centres that the parts of a split block have in common.
@@ -341,7 +355,6 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     placed = stored(home.join(by_key, "key").select("node", "key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.when(centre, F.col("parts")).alias("ties")), "jaccard-homes")
 
     # One text for each node that shares a token; it brings its places along, so that it moves to its block at once.
-    named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = placed.join(named, "node")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("node", "text", "key", "part", "ties")
     texts = stored(packed.mapInArrow(trimmed(_packed), "node long, text binary, key long, part int, ties int"), "jaccard-texts")
@@ -372,7 +385,8 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # Tokens whose nodes are still of several classes, one of those that have the same nodes.
     info = stored(placed.join(classes, placed["node"] == classes["id"], "left").select("node", F.coalesce("root", "node").alias("comp")), "jaccard-classes")
     seen = shared.join(info, "node").select("token", "node", "n", "comp")
-    mixed = seen.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    # Stored, so that the next join has plain shuffles on both sides, and a token of many nodes can be split.
+    mixed = stored(seen.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token"), "jaccard-mixed")
     seen = stored(seen.join(mixed, "token", "left_semi"), "jaccard-seen")
     by_class = seen.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)])
     many = by_class.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
@@ -382,14 +396,20 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     probes = members.where("parts > 1 and comp <> main").select("key", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))).alias("part"), F.lit(2).alias("role"), "node", "comp")
     rest = members.select("key", "part", F.lit(1).alias("role"), "node", "comp").union(probes).join(texts.select("node", "text"), "node").select("key", "part", "role", "node", "comp", "text")
 
-    more = components(rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(trimmed(compare), "a long, b long"))
+    links = rest.repartition("key", "part").sortWithinPartitions(*order).mapInArrow(trimmed(compare), "a long, b long")
+
+    # Rows that repeat an id tie their nodes.
+    of_node = stored(named.join(info, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), "jaccard-nodes")
+    several = rows.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least")
+    ties = rows.select("doc_id", "node").join(several, "doc_id").select("least", "node").where("least <> node")
+    ties = ties.join(of_node.select(F.col("node").alias("least"), F.col("comp").alias("a")), "least").join(of_node.select("node", F.col("comp").alias("b")), "node").select("a", "b")
+    more = components(links.union(ties))
 
-    # From nodes to documents; rows that repeat an id tie their nodes.
-    final = info.join(more, info["comp"] == more["id"], "left").select("node", F.coalesce("root", "comp").alias("comp"))
-    least = named.join(final, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+    # From nodes to documents.
+    least = of_node.join(more, of_node["comp"] == more["id"], "left").select("node", F.coalesce("root", "comp").alias("comp"), "doc_id")
     of_comp = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = least.join(of_comp, "comp").select(F.col("node").alias("__node"), "component_id")
-    out = rows.join(by_node, rows["node"] == by_node["__node"], "left")
+    found = least.join(of_comp, "comp").select(F.col("node").alias("__node"), "component_id")
+    out = rows.join(found, rows["node"] == found["__node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from roadloom.llm.common import append_struct, text_or_empty
