@@ -131,6 +131,7 @@ def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallba
     """Edges within the radius; for fixes without any the nearest fallback_k. rank orders by distance and edge; top keeps the first.
     keep_empty: fixes without a position keep a row without an edge."""
     key, x, y = (names.get(n, v) for n, v in (("key", "event_id"), ("x", "obs_x"), ("y", "obs_y")))
+    fixes, pieces = stored(fixes, "fixes"), stored(pieces, "pieces")  # each is read several times
     near = stored(range_join(fixes, pieces, radius, **names), "within")
     missed = stored(fixes.where(f"{x} is not null and {y} is not null").join(near.select(key, x, y).distinct(), [key, x, y], "left_anti").select(fixes.columns), "missed")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy(key, x, y).orderBy("dist", *EDGE))).withColumn("fallback", F.lit(False))

@@ -33,11 +33,49 @@ def rank_biserial(rows: DataFrame, gain: str, *by: str) -> DataFrame:
     return out.withColumn("rank_biserial", F.when(total > 0, (F.col("w_pos") - F.col("w_neg")) / total).otherwise(d(0)))
 
 
+def walsh_median(values: np.ndarray, few: int = 1 << 20) -> float:
+    """Median of the averages of all pairs i <= j, without making all of them: bisection over counts of pairs narrows an interval down to `few` pairs, which are sorted."""
+    x = np.sort(values[~np.isnan(values)])
+    n = len(x)
+    if n == 0:
+        return float("nan")
+    pairs, here = n * (n + 1) // 2, np.arange(n)
+    wanted = [(pairs - 1) // 2, pairs // 2]  # places of the two middle sums, from 0
+
+    def up_to(s: float) -> np.ndarray:
+        """For each i, how many j >= i have x_i + x_j <= s."""
+        return np.maximum(np.searchsorted(x, s - x, "right") - here, 0)
+
+    low, high = np.nextafter(2 * x[0], -np.inf), 2 * x[-1]  # sums in (low, high]
+    below, above = 0, pairs
+    while above - below > few:
+        mid = low + (high - low) / 2
+        if not low < mid < high:
+            return float(high / 2)  # nothing but equal sums is left
+        c = int(up_to(mid).sum())
+        if c <= wanted[0]:
+            low, below = mid, c
+        elif c > wanted[1]:
+            high, above = mid, c
+        else:  # the two middle sums lie on either side
+            first, second = x[here[up_to(mid) > 0]] + x[(here + up_to(mid) - 1)[up_to(mid) > 0]], np.array([x[i] + x[i + k] for i, k in enumerate(up_to(mid)) if i + k < n])
+            return float((first.max() + second.min()) / 4)
+    start, stop = here + up_to(low), here + up_to(high)
+    size = stop - start
+    i = np.repeat(here, size)
+    j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+    sums = np.sort(x[i] + x[j])
+    return float((sums[wanted[0] - below] + sums[wanted[1] - below]) / 4)
+
+
 def hodges_lehmann(rows: DataFrame, gain: str, *by: str) -> DataFrame:
-    """Median of the averages of all pairs i <= j of a group. Groups are paired runs of an evaluation: tens of rows."""
-    numbered = rows.where(F.col(gain).isNotNull()).select(*by, F.col(gain).alias("x"), F.row_number().over(Window.partitionBy(*by).orderBy(gain)).alias("i"))
-    other = numbered.withColumnsRenamed({"x": "y", "i": "j"})
-    return numbered.join(other, list(by)).where("i <= j").groupBy(*by).agg(F.percentile((F.col("x") + F.col("y")) / 2, d(0.5)).alias("hodges_lehmann"))
+    """Median of the averages of all pairs i <= j of a group; a group's values, not its pairs, are in one task."""
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in by) + ", hodges_lehmann double"
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, walsh_median(pdf[gain].to_numpy(dtype=float))]], columns=[*by, "hodges_lehmann"])
+
+    return rows.where(F.col(gain).isNotNull()).select(*by, gain).groupBy(*by).applyInPandas(one, schema)
 
 
 def holm(tests: DataFrame, p: str, *by: str) -> DataFrame:

@@ -23,8 +23,8 @@ def steps(spark, sf):
     either = F.col("imputed") | F.coalesce(F.lag("imputed").over(sequence.track()), F.lit(False))
     at = F.row_number().over(sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER))
     p = p.withColumns({"reliability": X.direction_reliability(F.col("hdop"), F.col("sat_count"), F.col("moved"), either), "step": at, "traffic": S.traffic_regime(F.col("ts"))[1]})
-    e = geo.with_points(tables.edges(spark, sf), tables.nodes(spark, sf))
-    c = geo.candidates(stored(p, "effective"), geo.segments(e), x="eff_x", y="eff_y")
+    e = stored(geo.with_points(tables.edges(spark, sf), tables.nodes(spark, sf)), "lines")
+    c = geo.candidates(p, geo.segments(e), x="eff_x", y="eff_y")
     lines = e.select("u", "v", "k", "points", geo.line_length(F.col("points")).alias("line_length"), *[F.col(n) for n in _ATTRIBUTES], F.col("layer").alias("f_layer"), F.col("maxspeed").alias("f_speed"), F.col("bearing").alias("f_bearing"))
     c = c.join(lines, ["u", "v", "k"]).withColumn("__t", geo.tangent(F.col("points"), F.col("arc"), F.col("line_length")))
     c = c.withColumns({"tx": F.col("__t")["tx"], "ty": F.col("__t")["ty"], "scale": X.quality_scale(F.col("hdop"), F.col("sat_count"), F.col("imputed"))})
@@ -39,7 +39,7 @@ _ATTRIBUTES = ("length", "bearing", "maxspeed", "layer", "lanes", "oneway", "tun
 def _levels(spark, sf, c):
     """c with the filtered position's distance from each candidate edge and the belief in its level."""
     e = tables.edges(spark, sf)
-    pieces = geo.segments(geo.with_points(e, tables.nodes(spark, sf)))
+    pieces = stored(geo.segments(geo.with_points(e, tables.nodes(spark, sf))), "pieces")
     below = pieces.join(e.select("u", "v", "k", "layer", ((F.col("tunnel") == 1) | (F.col("layer") < 0)).alias("below")), ["u", "v", "k"])
     ekf = stored(decode.kalman_levels(sequence.boundaries(tables.pings(spark, sf)), below, graph.level_transitions(e)), "levels")
     held = c.join(ekf.select("event_id", "ekf_x", "ekf_y", "beliefs"), "event_id")
@@ -63,7 +63,7 @@ def _models():
 
 
 def q3_modes(spark, sf):
-    """Every fix decoded in all thirteen modes, with the reference beam of 30."""
+    """Every fix decoded in all thirteen modes, with a beam of 30."""
     m, every = _models(), list(modes.MODES)
     c = _levels(spark, sf, stored(steps(spark, sf), "steps"))
     c = stored(modes.emissions(c, m, sorted({modes.MODES[n][0] for n in every})), "emissions")

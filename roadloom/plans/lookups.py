@@ -121,6 +121,50 @@ SELECT count(*) AS edges, count(*) FILTER (tunnel = 1 OR layer < 0) AS tunnel_ed
     "edges", "nodes",
 )
 
+def s1_wkt_lines(spark, sf):
+    """Lines read from their texts; a text that is no line gives the straight one between the edge's nodes."""
+    r = tables.roads(spark, sf).withColumns({"u": F.floor(F.col("road") / 1_000_000).cast("long"), "v": F.pmod("road", F.lit(1_000_000)).cast("long"), "k": F.lit(0)})
+    xy = lambda x, y: F.concat_ws(" ", x, y)
+    text = F.concat(F.lit("LineString ("), F.concat_ws(", ", xy("ax", "ay"), xy("bx", "by_"), xy("cx", "cy")), F.lit(")"))
+    wkt = F.when(F.col("road") % 5 == 0, "POINT (1 2)").when(F.col("road") % 5 == 1, None).otherwise(text)
+    e = geo.with_points(r.withColumn("wkt", wkt), tables.nodes(spark, sf), "wkt")
+    whole = geo.lengths(e).select("u", "v", "line_length")
+    return rounded(e.join(whole, ["u", "v"]).select("road", F.size("points").alias("points"), "line_length", geo.line_length(F.col("points")).alias("again"), S.mean_bearing(F.col("points")).alias("bearing")), 6)
+
+
+_PARTS = """+ p AS (SELECT road, ax, ay, bx, by_ AS by, cx, cy, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS l1, sqrt((cx - bx) ** 2 + (cy - by_) ** 2) AS l2, CAST(floor(road / 1000000) AS BIGINT) AS u, road % 1000000 AS v FROM roads)"""
+S1 = tables.with_views(
+    _PARTS
+    + """, q AS (SELECT p.*, road % 5 < 2 AS straight, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM p JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
+z AS (SELECT road, straight, CASE WHEN straight THEN sqrt((ux - vx) ** 2 + (uy - vy) ** 2) ELSE l1 + l2 END AS l, CASE WHEN straight THEN vx - ux ELSE cx - ax END AS dx, CASE WHEN straight THEN vy - uy ELSE cy - ay END AS dy FROM q)
+SELECT road, CAST(CASE WHEN straight THEN 2 ELSE 3 END AS INT) AS points, round(l, 6) AS line_length, round(l, 6) AS again, round((degrees(atan2(dx, dy)) + 360) % 360, 6) AS bearing FROM z""",
+    "roads", "nodes",
+)
+
+
+def s5_tangents(spark, sf):
+    """The point and the direction of each road at a place along it, its ends among them."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    r = tables.roads(spark, sf).withColumn("points", F.array(at("ax", "ay"), at("bx", "by_"), at("cx", "cy")))
+    r = r.withColumn("length", geo.line_length(F.col("points"))).withColumn("arc", F.col("length") * (F.col("road") % 7) / 6)
+    p, t = geo.point_at(F.col("points"), F.col("arc")), geo.tangent(F.col("points"), F.col("arc"), F.col("length"))
+    return rounded(r.select("road", p["x"].alias("x"), p["y"].alias("y"), t["tx"].alias("tx"), t["ty"].alias("ty")))
+
+
+def _along(a: str) -> tuple[str, str]:
+    return tuple(f"CASE WHEN {a} <= l1 THEN a{c} + {a} / l1 * (b{c} - a{c}) ELSE b{c} + ({a} - l1) / l2 * (c{c} - b{c}) END" for c in "xy")
+
+
+S5 = tables.with_views(
+    _PARTS
+    + f""", q AS (SELECT *, l1 + l2 AS l, (l1 + l2) * (road % 7) / 6 AS arc, greatest(0.5, least(5, (l1 + l2) * 0.02::DOUBLE)) AS s FROM p),
+r AS (SELECT *, greatest(arc - s, 0) AS lo, least(arc + s, l) AS hi FROM q),
+t AS (SELECT road, {_along("arc")[0]} AS x, {_along("arc")[1]} AS y, {_along("lo")[0]} AS x0, {_along("lo")[1]} AS y0, {_along("hi")[0]} AS x1, {_along("hi")[1]} AS y1 FROM r)
+SELECT road, round(x, 6) AS x, round(y, 6) AS y, round((x1 - x0) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS tx, round((y1 - y0) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS ty FROM t""",
+    "roads",
+)
+
 PLANS = [
+    Plan(s1_wkt_lines, S1, "s1_s4_wkt_lines"), Plan(s5_tangents, S5, "s5_s6_tangents"),
     Plan(j17_route_geometry, J17, "j17_f5_route_geometry"), Plan(j11_chosen_layer, J11, "j11_j19_chosen_layer"), Plan(s7_end_mismatch, S7), Plan(s11_actual_place, S11, "s11_s12_actual_place"), Plan(j4_unlocalised, J4), Plan(g2_network_audit, G2N),
 ]

@@ -9,7 +9,6 @@ from roadloom.functions import scalars as S
 from roadloom.operators import circuits, decode, geo, graph, sequence, training
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import files, tables
-from roadloom.sources.shared import stored
 
 _NINE = X.start_weights(54)
 _MATCHED = X.start_weights(56, restart=1)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadloom.functions import features as X
 from roadloom.functions import scalars as S
-from roadloom.operators import accuracy, geo, graph, training
+from roadloom.operators import accuracy, geo, graph
 from roadloom.plans.network import CANDIDATES_SQL
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import tables

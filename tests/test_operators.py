@@ -262,6 +262,15 @@ def test_threshold_curve_against_every_threshold(spark):
             assert got[g, round(float(t), 9)] == ((p & (y == 1)).sum(), (~p & (y == 0)).sum(), (p & (y == 0)).sum(), (~p & (y == 1)).sum())
 
 
+def test_median_of_pair_averages_without_all_pairs():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 3, 4, 7, 40, 41, 90):
+        for x in (rng.normal(size=n), np.round(rng.normal(size=n), 1), np.zeros(n)):
+            i, j = np.triu_indices(n)
+            for few in (1, 5, 1 << 20):
+                assert stats.walsh_median(x, few) == pytest.approx(np.median((x[i] + x[j]) / 2), abs=1e-9)
+
+
 def test_detectable_effects_end_where_none_is_reached():
     gains = np.random.default_rng(1).normal(0, 1, 12)
     assert 0 < stats.detectable_effect(gains, trials=60, halvings=8) <= 4 * (np.std(gains) + 1e-9)
@@ -363,6 +372,22 @@ def test_files_and_paths(spark, tmp_path):
     assert [(r.timestamp, r.dist_m, r.layer) for r in files.read_candidates(spark, f"file://{nested}").orderBy("ping_index").collect()] == [("t", None, None), ("u", 3.5, -1)]
 
 
+def test_trajectories_keep_ids_as_text_and_one_kind_of_missing(spark, tmp_path):
+    names = [f.name for f in files.TRAJECTORY.fields]
+    row = dict.fromkeys(names, "") | {"truck_id": "007", "timestamp": "3", "node_id": "12.0", "obs_x": "NaN", "obs_y": "5.5", "hdop": "1.2", "quality_state": "open_sky"}
+    (tmp_path / "t.csv").write_text(",".join(names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    r = files.read_trajectories(spark, f"file://{tmp_path}/t.csv").first()
+    assert (r.truck_id, r.timestamp, r.node_id, r.obs_x, r.obs_y, r.edge_key) == ("007", 3, "12.0", None, 5.5, None)
+
+
+def test_wrong_times_and_incomplete_records_raise(spark):
+    rows = spark.createDataFrame([("2024-01-02T03:04:05", 1), (None, 2)], "t string, n int")
+    assert [str(r[0]) for r in rows.select(S.moment(F.col("t"))).collect()] == ["2024-01-02 03:04:05", "None"]
+    for bad in (rows.select(S.moment(F.concat("t", F.lit("x")))), rows.select(S.require(["t", "n"], F.lit("fine")))):
+        with pytest.raises(Exception, match="not a time|lacks one"):
+            bad.collect()
+
+
 def test_routes_end_although_sums_differ_in_their_last_bits(spark):
     rng = np.random.default_rng(9)
     edges = [(i, (i + s) % 12, 0, float(rng.random())) for i in range(12) for s in (1, 5)]
