@@ -111,7 +111,7 @@ def far_join(fixes: DataFrame, pieces: DataFrame, k: int, x: str = "obs_x", y: s
     size = max(extent[2] - extent[0], extent[3] - extent[1], 1e-6) / side
     cell = lambda c, low: F.least(F.floor(((F.col(f"{c}0") + F.col(f"{c}1")) / 2 - low) / d(size)), F.lit(side - 1))
     laid = stored(pieces.withColumns({"cx": cell("x", extent[0]), "cy": cell("y", extent[1])}), "far-pieces")
-    boxes = laid.groupBy("cx", "cy").agg(*[f(g(f"{c}0", f"{c}1")).alias(n) for c in "xy" for f, g, n in ((F.min, F.least, f"{c}a"), (F.max, F.greatest, f"{c}b"))], F.count_if(F.col("offset") == 0).alias("edges"))
+    boxes = laid.groupBy("cx", "cy").agg(*[f(g(f"{c}0", f"{c}1")).alias(n) for c in "xy" for f, g, n in ((F.min, F.least, f"{c}a"), (F.max, F.greatest, f"{c}b"))], F.count_if(F.col("piece") == 0).alias("edges"))
     px, py = F.col(x), F.col(y)
     near = F.hypot(F.greatest(F.col("xa") - px, px - F.col("xb"), d(0)), F.greatest(F.col("ya") - py, py - F.col("yb"), d(0)))
     far = F.hypot(F.greatest(F.abs(F.col("xa") - px), F.abs(F.col("xb") - px)), F.greatest(F.abs(F.col("ya") - py), F.abs(F.col("yb") - py)))
