@@ -231,3 +231,9 @@ def identify(docs: DataFrame, model: CentroidModel) -> DataFrame:
 
     text = text_or_empty()
     return append_struct(docs, predict.asNondeterministic()(text, text.rlike(r"\p{L}")), RESULTS)
+
+
+def accepted(docs: DataFrame, model: CentroidModel) -> DataFrame:
+    """The documents that are not rejected, with the columns of docs; those named like a result are kept too."""
+    told = identify(docs.withColumns({f"__kept_{c}": docs[f"`{c}`"] for c in docs.columns if c.lower() in RESULTS}), model).where("not rejected")
+    return told.select(*[F.col(f"`__kept_{c}`").alias(c) if c.lower() in RESULTS else F.col(f"`{c}`") for c in docs.columns])

@@ -90,6 +90,8 @@ TEMPLATES = {n: list(t) for n, t in NOTICES.items()}
 for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
     TEMPLATES[_file.stem].append(_file.read_text())
 
+#: Bounds are products of floating numbers: a size just at a bound must not fall out by their last bits.
+_SLACK = 1e-9
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*")
 _kind = pa.struct([("license", pa.string()), ("dice", pa.float64()), ("matches", pa.list_(pa.struct([("license", pa.string()), ("line", pa.int64()), ("dice", pa.float64())])))])
 
@@ -118,7 +120,7 @@ class _Known:
 def _windows(pairs: list[tuple[str, str]], hits: list[int], size: int, places: int, least: float) -> Iterator[tuple[int, float]]:
     """(first place, Dice) of the best window at each start that can be best. hits: places of bigrams of a template of `size` different
     bigrams at `places` places. A longer window than the template ends, and one at least as long starts, at a hit; else it could be cut to a better one."""
-    most = int(places * (2 - least) / least)
+    most = int(places * (2 - least) / least + _SLACK)
     seen: dict = {}
     before = np.empty(len(pairs), np.int64)  # the place of the same bigram before
     for i, b in enumerate(pairs):
@@ -131,7 +133,7 @@ def _windows(pairs: list[tuple[str, str]], hits: list[int], size: int, places: i
     starts = starts[(starts >= 0) & (starts <= len(pairs) - places)]
     total = np.concatenate(([0], np.cumsum(hit)))
     ends = np.minimum(starts + most, len(pairs))
-    starts = starts[total[ends] - total[starts] >= least * size / (2 - least)]
+    starts = starts[total[ends] - total[starts] >= least * size / (2 - least) - _SLACK]
     for i in starts.tolist():
         new = before[i : i + most] < i
         own, common = np.cumsum(new), np.cumsum(new & hit[i : i + most])
@@ -152,7 +154,7 @@ def _match(text: str, known: _Known, least: float) -> dict:
             own = frozenset(zip(line, line[1:], strict=False)) if len(line) != 1 else frozenset([(line[0],)])
             for k in {k for b in own for k in of.get(b, ())}:
                 t = known.sets[k]
-                if len(t) * least <= len(own) * (2 - least) and len(own) * least <= len(t) * (2 - least):
+                if len(t) * least <= len(own) * (2 - least) + _SLACK and len(own) * least <= len(t) * (2 - least) + _SLACK:
                     dice = 2 * len(own & t) / (len(own) + len(t))
                     if dice >= least:
                         key = known.names[k], at
@@ -167,7 +169,7 @@ def _match(text: str, known: _Known, least: float) -> dict:
     inside: dict[str, tuple[float, int]] = {}
     for k, at in by_template.items():
         name, size = known.names[k], len(known.sets[k])
-        if len(at) * (2 - least) < size * least or top.get(name, 0.0) >= 1:
+        if len(at) * (2 - least) < size * least - _SLACK or top.get(name, 0.0) >= 1:
             continue
         for i, dice in _windows(pairs, at, size, known.places[k], least):
             if dice >= least and dice > top.get(name, 0.0):
