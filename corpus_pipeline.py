@@ -10,8 +10,7 @@ from roadloom.llm.common import stored
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that the classifier rejects go. Learns from the labelled rows."""
-    told = language_id.identify(docs, language_id.fit(docs.select("text", "lang")))
-    return told.where("not rejected").select(*docs.columns)
+    return language_id.accepted(docs, language_id.fit(docs.select("text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
