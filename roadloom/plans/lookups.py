@@ -132,7 +132,7 @@ def s1_wkt_lines(spark, sf):
     return rounded(e.join(whole, ["u", "v"]).select("road", F.size("points").alias("points"), "line_length", geo.line_length(F.col("points")).alias("again"), S.mean_bearing(F.col("points")).alias("bearing")), 6)
 
 
-_PARTS = """+ p AS (SELECT road, ax, ay, bx, by_ AS by, cx, cy, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS l1, sqrt((cx - bx) ** 2 + (cy - by_) ** 2) AS l2, CAST(floor(road / 1000000) AS BIGINT) AS u, road % 1000000 AS v FROM roads)"""
+_PARTS = """+ p AS (SELECT road, ax, ay, bx, by_ AS "by", cx, cy, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS l1, sqrt((cx - bx) ** 2 + (cy - by_) ** 2) AS l2, CAST(floor(road / 1000000) AS BIGINT) AS u, road % 1000000 AS v FROM roads)"""
 S1 = tables.with_views(
     _PARTS
     + """, q AS (SELECT p.*, road % 5 < 2 AS straight, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM p JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
@@ -152,7 +152,7 @@ def s5_tangents(spark, sf):
 
 
 def _along(a: str) -> tuple[str, str]:
-    return tuple(f"CASE WHEN {a} <= l1 THEN a{c} + {a} / l1 * (b{c} - a{c}) ELSE b{c} + ({a} - l1) / l2 * (c{c} - b{c}) END" for c in "xy")
+    return tuple(f'CASE WHEN {a} <= l1 THEN a{c} + {a} / l1 * ("b{c}" - a{c}) ELSE "b{c}" + ({a} - l1) / l2 * (c{c} - "b{c}") END' for c in "xy")
 
 
 S5 = tables.with_views(
