@@ -5,7 +5,8 @@ over all documents (any order gives right results; this one keeps common passage
 the short lists). Documents with the same set are one node. Steps:
 
 1. Prefix lists: two sets of Jaccard t or more share one of their first n - ceil(t n) + 1 tokens.
-   Tokens are sorted across the cluster; of a token only nodes that another is near enough in length to link with stay.
+   Tokens are sorted across the cluster; of a token only nodes that another is near enough in length to link with stay. For tokens of very
+   many nodes that is told from counts by length, so that none of them is sorted in one task.
 2. Home blocks: a node lives in the block of its least shared token. Blocks of too many nodes are split
    by hash; a few nodes of such a block are in each of its parts and tie these together.
    A block's sets form a prefix tree, read from the frequent end so that
@@ -33,7 +34,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import chunks, discard, shared_dir, stored, stored_at, text_or_empty, trimmed
@@ -301,6 +302,18 @@ def _shared(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry[:3]], names)
 
 
+def _shared_often(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """What _shared gives, by counts: a token's nodes of one length fare alike, so that lengths are compared instead of nodes, and nodes are spread by their own hash."""
+    each = stored(tokens.groupBy("token", "node").agg(F.max("n").alias("n"), F.max("leading").alias("leading")), "jaccard-often-nodes")
+    lengths = each.groupBy("token", "n").agg(F.count("*").alias("c"), F.count_if("leading").alias("l"))
+    of = Window.partitionBy("token").orderBy("n")
+    shorter = F.max(F.when(F.col("l") > 0, F.col("n"))).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    under = F.coalesce(shorter * den >= F.col("n") * num, F.lit(False))
+    over = F.coalesce(F.col("n") * den >= F.lead("n").over(of) * num, F.lit(False))
+    told = stored(lengths.select("token", "n", (under | over | (F.col("c") > 1)).alias("as_leading"), (under | (F.col("l") > 0)).alias("as_other")), "jaccard-often-lengths")
+    return each.join(told, ["token", "n"]).where(F.when(F.col("leading"), F.col("as_leading")).otherwise(F.col("as_other"))).select("token", "node", "n")
+
+
 def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: den * intersection >= num * union links two documents."""
     spark = docs.sparkSession
@@ -339,8 +352,15 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # both lengths need; for the shorter set that leaves only a leading part of its prefix.
     tokens = rows.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     tokens = tokens.select("token", "node", "n", ((F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")).alias("leading"))
-    tokens = tokens.repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
-    shared = stored(tokens.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long"), "jaccard-shared")
+    # Tokens that many nodes have are not sorted in one task each. A token's level bounds how often its counter was met, so only few need to be counted.
+    hot = max(BLOCK_NODES, rows.count() // 1024)
+    often = tokens.where(F.shiftrightunsigned("token", 56) >= int(6 * np.log2(hot + 1.0))).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token")
+    often = stored(often, "jaccard-often")  # each is in over a 1024th of the prefixes, so they are few
+    near = tokens.join(F.broadcast(often), "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
+    near = near.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long")
+    if often.take(1):
+        near = near.unionByName(_shared_often(tokens.join(F.broadcast(often), "token", "left_semi"), num, den))
+    shared = stored(near, "jaccard-shared")
     # The prefixes, most of what is stored, have served: only the rows' other columns stay.
     rows = stored(rows.select("doc_id", "n", "node"), "jaccard-rows")
     discard(spark, full)

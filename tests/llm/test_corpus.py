@@ -349,6 +349,19 @@ def test_jaccard_join_of_many_unlike_sets_with_common_shingles(spark, monkeypatc
     assert got == linked(rows, 3, 85, 100) and len({c for _, c in got.values()}) > 10
 
 
+def test_tokens_of_many_nodes_keep_the_same_nodes(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(t), int(v), int(10 + v % 13 * (t + 1)), bool(rng.random() < 0.4)) for t in range(6) for v in rng.integers(0, 400, 25)}, key=lambda r: (r[0], r[2], not r[3], r[1]))
+    rows = list({(t, v): (t, v, n, lead) for t, v, n, lead in reversed(rows)}.values())[::-1]
+    rows.sort(key=lambda r: (r[0], r[2], not r[3], r[1]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["token", "node", "n", "leading"])
+    want = {(r["token"], r["node"]) for b in jaccard_join._shared([batch], 85, 100) for r in b.to_pylist()}
+    got = jaccard_join._shared_often(spark.createDataFrame(rows, "token long, node long, n long, leading boolean"), 85, 100).collect()
+    assert {(r.token, r.node) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(rows)
+
+
 def test_a_set_has_two_hashes():
     sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 62, 40).astype(np.uint64)) for i in range(200)]
     assert len({jaccard_join._node(x) for x in sets}) == len({jaccard_join._check(x) for x in sets}) == 200
