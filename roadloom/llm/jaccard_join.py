@@ -302,9 +302,9 @@ def _shared(batches, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in carry[:3]], names)
 
 
-def _shared_often(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """What _shared gives, by counts: a token's nodes of one length fare alike, so that lengths are compared instead of nodes, and nodes are spread by their own hash."""
-    each = stored(tokens.groupBy("token", "node").agg(F.max("n").alias("n"), F.max("leading").alias("leading")), "jaccard-often-nodes")
+def _shared_often(tokens: DataFrame, num: int, den: int, folder: str) -> DataFrame:
+    """What _shared gives, over a table of distinct nodes stored in `folder`, by counts: a token's nodes of one length fare alike, so that lengths are compared instead of nodes, and nodes are spread by their own hash."""
+    each = stored_at(tokens.groupBy("token", "node").agg(F.max("n").alias("n"), F.max("leading").alias("leading")), folder)
     lengths = each.groupBy("token", "n").agg(F.count("*").alias("c"), F.count_if("leading").alias("l"))
     of = Window.partitionBy("token").orderBy("n")
     shorter = F.max(F.when(F.col("l") > 0, F.col("n"))).over(of.rowsBetween(Window.unboundedPreceding, -1))
@@ -358,9 +358,11 @@ def link_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     often = stored(often, "jaccard-often")  # each is in over a 1024th of the prefixes, so they are few
     near = tokens.join(F.broadcast(often), "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", F.desc("leading"), "node")
     near = near.mapInArrow(trimmed(lambda batches: _shared(batches, num, den)), "token long, node long, n long")
+    each = shared_dir(spark, "jaccard-often-nodes")
     if often.take(1):
-        near = near.unionByName(_shared_often(tokens.join(F.broadcast(often), "token", "left_semi"), num, den))
+        near = near.unionByName(_shared_often(tokens.join(F.broadcast(often), "token", "left_semi"), num, den, each))
     shared = stored(near, "jaccard-shared")
+    discard(spark, each)
     # The prefixes, most of what is stored, have served: only the rows' other columns stay.
     rows = stored(rows.select("doc_id", "n", "node"), "jaccard-rows")
     discard(spark, full)

@@ -349,7 +349,7 @@ def test_jaccard_join_of_many_unlike_sets_with_common_shingles(spark, monkeypatc
     assert got == linked(rows, 3, 85, 100) and len({c for _, c in got.values()}) > 10
 
 
-def test_tokens_of_many_nodes_keep_the_same_nodes(spark):
+def test_tokens_of_many_nodes_keep_the_same_nodes(spark, tmp_path):
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
@@ -358,7 +358,7 @@ def test_tokens_of_many_nodes_keep_the_same_nodes(spark):
     rows.sort(key=lambda r: (r[0], r[2], not r[3], r[1]))
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["token", "node", "n", "leading"])
     want = {(r["token"], r["node"]) for b in jaccard_join._shared([batch], 85, 100) for r in b.to_pylist()}
-    got = jaccard_join._shared_often(spark.createDataFrame(rows, "token long, node long, n long, leading boolean"), 85, 100).collect()
+    got = jaccard_join._shared_often(spark.createDataFrame(rows, "token long, node long, n long, leading boolean"), 85, 100, f"file://{tmp_path}/each").collect()
     assert {(r.token, r.node) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(rows)
 
 
