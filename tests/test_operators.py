@@ -305,6 +305,38 @@ def test_ranker_keeps_the_best_start():
         training.train_best_ranker(bad, bad, 3, score, slope)
 
 
+def test_cases_store_the_weights_that_they_learned(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, [float(v) for v in rng.random(3) + [c, 0, 0]], [float(v) for v in rng.random(3)]) for c in (0, 1) for i in range(120)]
+    pairs = spark.createDataFrame([*rows, *[(2, i, r[3], r[3]) for i, r in enumerate(rows[:50])]], "c long, key long, good array<double>, bad array<double>")
+    score, slope = lambda x, w: np.tanh(x @ w), lambda x, w: (1 - np.tanh(x @ w) ** 2)[:, None] * x
+    got = {r[0]: r for r in training.calibrated(pairs, "c", 3, score, slope, f"file://{tmp_path}")}
+    assert got[1][4] and got[1][3] < 0.2 and got[1][1] == 120 and got[2][2:] == (None, None, False)  # the same on both sides: nothing to learn
+    assert len(files.read_weights(spark, f"file://{tmp_path}/1", "1", [3])) == 3
+
+
+def test_gradient_scan_against_differences(spark):
+    got = {(r.wires, r.layers): r for r in circuits.gradient_scan(spark, [2, 3], [1, 2], samples=6, seed=4).collect()}
+    for (n, m), r in got.items():
+        rng, x, g = np.random.default_rng(4 + 13 * n + m), np.random.default_rng(4).uniform(0, 1, (1, n)), []
+        for _ in range(6):
+            w = rng.uniform(0, 2 * np.pi, (m, n, 3))
+            v = w.copy()
+            v[0, 0, 0] += 1e-5
+            g.append((circuits.expectation(x, v, [0], blocks_reencode=False)[0] - circuits.expectation(x, w, [0], blocks_reencode=False)[0]) / 1e-5)
+        assert r.variance == pytest.approx(np.var(g), abs=1e-4) and r.mean_abs == pytest.approx(np.mean(np.abs(g)), abs=1e-4)
+
+
+def test_bootstrap_interval_against_plain_draws(spark):
+    gains = np.random.default_rng(5).normal(1, 1, 9)
+    df = spark.createDataFrame([("a", float(g)) for g in gains] + [("b", 2.0)] * 4, "c string, x double")
+    got = {r.c: (r.low, r.high) for r in stats.bootstrap_interval(df, "x", "c", draws=200).collect()}
+    rng, x = np.random.default_rng(0), np.sort(gains)
+    i, j = np.triu_indices(9)
+    drawn = [np.median((d[i] + d[j]) / 2) for d in (x[rng.integers(0, 9, 9)] for _ in range(200))]
+    assert got["a"] == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5]))) and got["b"] == (2.0, 2.0)
+
+
 def test_signal_states(spark):
     rows = [(t, s, float(s), 0.0, int(20 <= s < 60), 10.0, 1.0) for t in range(8) for s in range(140)]
     out = scenario.observe(spark.createDataFrame(rows, "track_id long, step int, true_x double, true_y double, tunnel int, speed double, multiplier double").repartition(3)).collect()
