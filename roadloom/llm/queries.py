@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from roadloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, mixing, quality, sharding, token_count
+from roadloom.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, mixing, quality, sharding, token_count
 from roadloom.llm.common import id_crc
 
 
@@ -74,8 +74,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", F.size("matches").cast("long").alias("n_matches"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_exact_dedup, op3_token_count, op4_sharding, op5_decontaminate, op6_chat_format, op7_quality, op8_mixing, op9_jaccard_join, op10_license_scan]
+    every = [op1_language_id, op2_exact_dedup, op3_token_count, op4_sharding, op5_decontaminate, op6_chat_format, op7_quality, op8_mixing, op9_jaccard_join, op10_license_scan, op11_alignment]
     return {f.__name__: f for f in every}
 
 
