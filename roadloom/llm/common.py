@@ -50,6 +50,19 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def with_fact(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with the one fact of their key; `count` says how many rows a fact has.
+
+    Keys with more than a 1024th of all rows are at most 1023, whatever the table: their facts are broadcast, so that their
+    rows stay where they are. The others are joined by a shuffle.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * 1024 > total
+    hot = F.broadcast(stored(facts.where(often), "hot-facts"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~often), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def trim() -> None:
     """Hands what this Python worker has freed back to the system: an idle worker keeps none of its last task's memory."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from roadloom.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, mixing, quality, sharding, token_count
+from roadloom.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, licenses, merkle, mixing, quality, sharding, simhash, token_count
 from roadloom.llm.common import id_crc
 
 
@@ -78,8 +78,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_language_id, op2_exact_dedup, op3_token_count, op4_sharding, op5_decontaminate, op6_chat_format, op7_quality, op8_mixing, op9_jaccard_join, op10_license_scan, op11_alignment]
+    every = [op1_language_id, op2_exact_dedup, op3_token_count, op4_sharding, op5_decontaminate, op6_chat_format, op7_quality, op8_mixing, op9_jaccard_join, op10_license_scan, op11_alignment, op12_merkle, op13_simhash]
     return {f.__name__: f for f in every}
 
 
@@ -199,5 +207,51 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS ta
 FROM t"""
 
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Trees grow a level a round; a node's path is read off the runs of each level.
+OP12_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1])) AS crc
+  FROM (SELECT id, hex(encode(coalesce(CAST(id AS VARCHAR), ''))) AS x FROM (SELECT DISTINCT doc_id AS id FROM documents))),
+d AS (
+  SELECT doc_id, lang, {_leaf('text')} AS leaf, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN {_leaf(_LOWER)} ELSE {_leaf('text')} END AS shown,
+    row_number() OVER () AS row
+  FROM documents JOIN c ON doc_id IS NOT DISTINCT FROM id),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+n AS (
+  SELECT lang, 0 AS lev, p, leaf AS h, count(*) OVER (PARTITION BY lang) AS total FROM r
+  UNION ALL
+  SELECT lang, lev + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (total + 7) // 8 FROM n WHERE total > 1 GROUP BY lang, lev, p // 8, total),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS total FROM n WHERE total = 1),
+t AS (
+  SELECT 0 AS lev, p, subroot AS h, total FROM s
+  UNION ALL
+  SELECT lev + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (total + 7) // 8 FROM t WHERE total > 1 GROUP BY lev, p // 8, total),
+runs AS (SELECT lang, lev, p // 8 AS run, list(h ORDER BY p) AS hs FROM n WHERE total > 1 GROUP BY lang, lev, p // 8),
+tops AS (SELECT lev, p // 8 AS run, list(h ORDER BY p) AS hs FROM t WHERE total > 1 GROUP BY lev, p // 8),
+steps AS (
+  SELECT row, lev, hs, (r.p // CAST(8 ** lev AS BIGINT)) % 8 AS k FROM r JOIN runs ON r.lang IS NOT DISTINCT FROM runs.lang AND run = r.p // CAST(8 ** (lev + 1) AS BIGINT)
+  UNION ALL
+  SELECT row, 100 + lev, hs, (s.p // CAST(8 ** lev AS BIGINT)) % 8 FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang JOIN tops ON run = s.p // CAST(8 ** (lev + 1) AS BIGINT)),
+sides AS (SELECT row, row_number() OVER (PARTITION BY row ORDER BY lev) AS step, array_to_string(hs[1:k], '') AS l, array_to_string(hs[k + 2:], '') AS r FROM steps),
+proof AS (SELECT row, string_agg(l || r, '' ORDER BY step) AS sibs, max(step) AS top FROM sides GROUP BY row),
+f AS (
+  SELECT row, 0::BIGINT AS step, shown AS h FROM d
+  UNION ALL
+  SELECT f.row, sides.step, sha256(sides.l || f.h || sides.r) FROM f JOIN sides ON sides.row = f.row AND sides.step = f.step + 1)
+SELECT d.doc_id, d.leaf, s.subroot, t.h AS root, sha256(coalesce(sibs, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang JOIN t ON t.total = 1 LEFT JOIN proof ON proof.row = d.row JOIN f ON f.row = d.row AND f.step = coalesce(proof.top, 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op8_mixing": OP8_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op12_merkle": OP12_SQL}
