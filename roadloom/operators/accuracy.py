@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import d
 from roadloom.operators import graph
-from roadloom.operators.aggregates import interval95
+from roadloom.operators.aggregates import interval95, with_percentiles
 
 #: Fixed value: metres between levels, for the layer-aware error (a stand-in, as networks carry no heights).
 LEVEL_SPACING = 4.5
@@ -63,11 +63,12 @@ def impossible_jumps(path: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
 
 def decoder_errors(rows: DataFrame, baseline: str, treatment: str, *by: str) -> DataFrame:
     """RMSE, mean, median and percentiles of two decoders' errors on the same fixes, the gain, and how often the treatment errs less."""
-    out = []
+    out, wanted = [], {}
     for c, n in ((baseline, "baseline"), (treatment, "treatment")):
-        out += [F.sqrt(F.avg(F.col(c) ** 2)).alias(f"{n}_rmse"), F.avg(c).alias(f"{n}_mae"), *[F.percentile(c, d(p / 100)).alias(f"{n}_p{p}") for p in (50, 90, 95)]]
+        out += [F.sqrt(F.avg(F.col(c) ** 2)).alias(f"{n}_rmse"), F.avg(c).alias(f"{n}_mae")]
+        wanted |= {f"{n}_p{p}": (c, p / 100) for p in (50, 90, 95)}
     held = rows.groupBy(*by).agg(F.count("*").alias("fixes"), *out, F.avg((F.col(treatment) < F.col(baseline)).cast("double")).alias("gain_positive_rate"))
-    return held.withColumn("rmse_gain", F.col("baseline_rmse") - F.col("treatment_rmse"))
+    return with_percentiles(held, rows, list(by), wanted).withColumn("rmse_gain", F.col("baseline_rmse") - F.col("treatment_rmse"))
 
 
 def run_rates(rows: DataFrame, error: str, *by: str) -> DataFrame:
@@ -100,6 +101,7 @@ def candidate_diagnostics(fixes: DataFrame, cands: DataFrame, nearest: Column) -
     n = cands.groupBy("event_id").agg(F.count("*").alias("n"))
     held = fixes.join(n, "event_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "near": nearest})
     held = held.withColumn("before", F.lag("n").over(Window.partitionBy("track_id").orderBy("place")))
-    return held.agg(
-        F.count("*").alias("pings"), F.count_if(F.col("n") == 0).alias("empty_pings"), F.count_if((F.col("n") > 0) & (F.col("before") > 0)).alias("valid_pairs"), F.min("near").alias("nearest_min"), F.median("near").alias("nearest_median"), F.max("near").alias("nearest_max")
+    summary = held.agg(
+        F.count("*").alias("pings"), F.count_if(F.col("n") == 0).alias("empty_pings"), F.count_if((F.col("n") > 0) & (F.col("before") > 0)).alias("valid_pairs"), F.min("near").alias("nearest_min"), F.max("near").alias("nearest_max")
     )
+    return with_percentiles(summary, held, [], {"nearest_median": ("near", 0.5)})

@@ -32,12 +32,12 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, flo
     # One row for each group, column and share.
     sketch = stored(sketch.withColumn("rank", F.col("p") * (F.col("n") - 1)), "brackets")
     side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
-    held = each.join(F.broadcast(sketch), [*by, "c"]).withColumn("side", side)
+    held = each.join(sketch, [*by, "c"]).withColumn("side", side)
     # Of what lies outside only the value next to the bracket can be asked for: a rank may fall just beside it.
     inside = held.groupBy(*by, "c", "p", "side", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count("*").alias("k"), F.min("v").alias("__min"), F.max("v").alias("__max"))
     inside = stored(inside.withColumn("v", F.when(F.col("side") < 0, F.col("__max")).otherwise(F.col("__min"))), "inside")
     order = Window.partitionBy(*by, "c", "p").orderBy("side", "v")
-    placed = inside.withColumn("upto", F.sum("k").over(order)).join(F.broadcast(sketch.select(*by, "c", "p", "rank")), [*by, "c", "p"])
+    placed = inside.withColumn("upto", F.sum("k").over(order)).join(sketch.select(*by, "c", "p", "rank"), [*by, "c", "p"])
     # Ranks run from 0: a value holds the ranks from upto - k to upto - 1.
     value = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
     got = placed.groupBy(*by, "c", "p").agg(value(F.floor("rank")).alias("a"), value(F.ceil("rank")).alias("b"), F.first("rank").alias("rank"))
@@ -45,6 +45,18 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, flo
     return got.groupBy(*by).agg(*[F.max(F.when((F.col("c") == c) & (F.col("p") == p), F.col("q"))).alias(n) for n, (c, p) in wanted.items()])
 
 
+def with_percentiles(summary: DataFrame, rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """A summary by group, or of one row, with the wanted percentiles of its rows."""
+    found = percentiles(rows, by, wanted)
+    if not by:
+        return summary.crossJoin(F.broadcast(found))  # one row each
+    found = found.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return summary.join(found, same, "left").drop(*[f"__{c}" for c in by])
+
+
 def quality_mix(fixes: DataFrame, *by: str) -> DataFrame:
     """Shares of four classes, which neither cover all fixes nor need to, and exact percentiles."""
     sat, hdop = F.col("sat_count"), F.col("hdop")
@@ -82,7 +94,7 @@ def threshold_curve(rows: DataFrame, score: str, label: str, *by: str, ranges: i
     steps = rows.where(f"{score} is not null and {label} is not null").groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
     steps = stored(steps.withColumn("neg", F.col("n") - F.col("pos")), "steps")
     bounds = steps.groupBy(*by).agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 1000).alias("__b"))
-    steps = steps.join(F.broadcast(bounds), list(by)) if by else steps.crossJoin(F.broadcast(bounds))  # one row a group
+    steps = steps.join(bounds, list(by)) if by else steps.crossJoin(F.broadcast(bounds))  # one row a group; without groups one row
     steps = steps.withColumn("r", F.size(F.filter("__b", lambda b: b < F.col("s")))).drop("__b")
     totals = steps.groupBy(*by, "r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.min("s").alias("__low"))
     of, before = Window.partitionBy(*by).orderBy("r"), Window.partitionBy(*by).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +102,7 @@ def threshold_curve(rows: DataFrame, score: str, label: str, *by: str, ranges: i
     totals = totals.select(*by, "r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("n0"), F.sum("__p").over(every).alias("p"), F.sum("__n").over(every).alias("q"), F.lead("__low").over(of).alias("after"))
     totals = stored(totals, "totals")
     w = Window.partitionBy(*by, "r").orderBy("s")
-    held = steps.join(F.broadcast(totals), [*by, "r"])
+    held = steps.join(totals, [*by, "r"])
     nxt = F.coalesce(F.lead("s").over(w), F.col("after"))
     held = held.withColumns({"threshold": F.coalesce((F.col("s") + nxt) / 2, F.col("s")), "tp": F.col("p0") + F.sum("pos").over(w), "fp": F.col("n0") + F.sum("neg").over(w)})
     lowest = steps.groupBy(*by).agg(F.min("s").alias("s0"))

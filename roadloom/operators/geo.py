@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import clip, d
+from roadloom.operators import quadtree
 from roadloom.sources.shared import stored
 
 _POINTS = "array<struct<x:double,y:double>>"
@@ -58,73 +59,36 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / d(size)), F.floor(high / d(size)))
 
 
-def range_join(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, x: str = "obs_x", y: str = "obs_y", key: str = "event_id") -> DataFrame:
+#: A cell with more than one in CROWDED of all fixes, and more than BUSY of them, is dealt over several tasks.
+CROWDED, BUSY = 1024, 20_000
+
+
+def range_join(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", busy: int = BUSY) -> DataFrame:
     """Fixes with each edge within `radius`, its closest point, arc length and distance.
 
     Pieces are laid into the grid cells that their box, grown by the radius, touches; a fix is in
     one cell. So it is an equi-join on the cell with an exact distance check, never a nested loop, and a fix is not multiplied before it.
+    The fixes of a crowded cell (there are at most CROWDED such cells) are dealt into parts, and its pieces are copied to each: no place is one task.
     A fix is told by its key and place: rows that repeat both are one fix. Fixes without a position have no edge near.
     """
     size = 2 * radius
     grown = {c: (F.least(f"{c}0", f"{c}1") - radius, F.greatest(f"{c}0", f"{c}1") + radius) for c in "xy"}
     laid = pieces.withColumn("cx", F.explode(_cells(*grown["x"], size))).withColumn("cy", F.explode(_cells(*grown["y"], size)))
     placed = fixes.where(f"{x} is not null and {y} is not null").withColumns({"cx": F.floor(F.col(x) / d(size)), "cy": F.floor(F.col(y) / d(size))})
-    near = _projected(placed.join(laid, ["cx", "cy"]), x, y).where(F.col("dist") <= radius)
-    best = Window.partitionBy(key, x, y, *EDGE).orderBy("dist", "piece")
-    kept = [c for c in fixes.columns]
-    return near.withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*kept, *EDGE, "px", "py", "arc", "dist")
-
-
-def _ranked(found: DataFrame, k: int, key: str, x: str, y: str) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(key, x, y).orderBy("dist", *EDGE))).where(F.col("rank") <= k)
-
-
-def nearest_join(fixes: DataFrame, pieces: DataFrame, k: int = 10, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", radius: float = 120.0, rings: int = 3) -> DataFrame:
-    """The k nearest edges of each fix, exactly, ranked by distance and edge; fewer only where there are fewer edges.
-
-    A ring of radius r proves all edges nearer than r, so a fix is settled once its ring holds k edges; for the others the
-    ring grows fourfold. Those that `rings` rings do not settle are far from all roads and go to `far_join`.
-    """
-    done, left = None, fixes.where(f"{x} is not null and {y} is not null")
-    for _ in range(rings):
-        ranked = stored(_ranked(range_join(left, pieces, radius, x, y, key), k, key, x, y), "nearest")
-        full = ranked.groupBy(key, x, y).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(key, x, y)
-        left = stored(left.join(full, [key, x, y], "left_anti"), "nearest-left")
-        ranked = ranked.join(full, [key, x, y], "left_semi").select(ranked.columns)
-        done = ranked if done is None else done.unionByName(ranked)
-        if not left.take(1):
-            return done
-        radius *= 4
-    return done.unionByName(far_join(left, pieces, k, x, y, key))
-
-
-def far_join(fixes: DataFrame, pieces: DataFrame, k: int, x: str = "obs_x", y: str = "obs_y", key: str = "event_id", side: int = 32) -> DataFrame:
-    """The k nearest edges of fixes wherever they are.
-
-    The network's extent is cut into side * side cells at most, each with the box of its pieces and the count of edges that begin there.
-    The farthest corners of the boxes, nearest first, until k edges are counted, bound the k-th distance; only pieces of the cells whose box
-    comes within that bound are measured. The cells are a thousand rows at most, so they are broadcast.
-    """
-    extent = pieces.agg(F.min(F.least("x0", "x1")), F.min(F.least("y0", "y1")), F.max(F.greatest("x0", "x1")), F.max(F.greatest("y0", "y1"))).first()
-    if extent[0] is None:
-        return _ranked(range_join(fixes, pieces, 1.0, x, y, key), k, key, x, y)  # no edges, no rows
-    size = max(extent[2] - extent[0], extent[3] - extent[1], 1e-6) / side
-    cell = lambda c, low: F.least(F.floor(((F.col(f"{c}0") + F.col(f"{c}1")) / 2 - low) / d(size)), F.lit(side - 1))
-    laid = stored(pieces.withColumns({"cx": cell("x", extent[0]), "cy": cell("y", extent[1])}), "far-pieces")
-    boxes = laid.groupBy("cx", "cy").agg(*[f(g(f"{c}0", f"{c}1")).alias(n) for c in "xy" for f, g, n in ((F.min, F.least, f"{c}a"), (F.max, F.greatest, f"{c}b"))], F.count_if(F.col("piece") == 0).alias("edges"))
-    px, py = F.col(x), F.col(y)
-    near = F.hypot(F.greatest(F.col("xa") - px, px - F.col("xb"), d(0)), F.greatest(F.col("ya") - py, py - F.col("yb"), d(0)))
-    far = F.hypot(F.greatest(F.abs(F.col("xa") - px), F.abs(F.col("xb") - px)), F.greatest(F.abs(F.col("ya") - py), F.abs(F.col("yb") - py)))
-    both = fixes.select(key, x, y).distinct().crossJoin(F.broadcast(boxes)).select(key, x, y, "cx", "cy", "edges", near.alias("near"), far.alias("far"))
-    of = Window.partitionBy(key, x, y)
-    counted = F.sum("edges").over(of.orderBy("far", "cx", "cy"))
-    both = both.withColumn("counted", counted).withColumn("bound", F.coalesce(F.min(F.when(F.col("counted") >= k, F.col("far"))).over(of), d(float("inf"))))
-    asked = both.where("near <= bound").select(key, x, y, "cx", "cy")
-    found = _projected(asked.join(laid, ["cx", "cy"]), x, y)
-    best = Window.partitionBy(key, x, y, *EDGE).orderBy("dist", "piece")
-    found = found.withColumn("__r", F.row_number().over(best)).where("__r = 1")
-    ranked = _ranked(found.select(key, x, y, *EDGE, "px", "py", "arc", "dist"), k, key, x, y)
-    return fixes.join(ranked, [key, x, y]).select(*fixes.columns, *EDGE, "px", "py", "arc", "dist", "rank")
+    counts = stored(placed.groupBy("cx", "cy").agg(F.count("*").alias("n")), "cells")
+    most = max(busy, (counts.agg(F.sum("n")).first()[0] or 0) // CROWDED)
+    crowded = counts.where(F.col("n") > most).select("cx", "cy", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts"))
+    if crowded.take(1):
+        held = F.broadcast(crowded)
+        placed = placed.join(held, ["cx", "cy"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(key, x, y), "parts"), F.lit(0)).cast("int")).drop("parts")
+        laid = laid.join(held, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    else:
+        placed, laid = placed.withColumn("part", F.lit(0)), laid.withColumn("part", F.lit(0))
+    cell = ["cx", "cy", "part"]
+    near = _projected(placed.join(laid, cell), x, y).where(F.col("dist") <= radius)
+    # A fix is in one cell, so its pieces are where the join has put them.
+    best = Window.partitionBy(*cell, key, x, y, *EDGE).orderBy("dist", "piece")
+    return near.withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*fixes.columns, *EDGE, "px", "py", "arc", "dist")
 
 
 def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallback_k: int = 10, top: int | None = None, keep_empty: bool = False, **names) -> DataFrame:
@@ -137,7 +101,7 @@ def candidates(fixes: DataFrame, pieces: DataFrame, radius: float = 60.0, fallba
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy(key, x, y).orderBy("dist", *EDGE))).withColumn("fallback", F.lit(False))
     both = near
     if missed.take(1):
-        both = both.unionByName(nearest_join(missed, pieces, fallback_k, **names).withColumn("fallback", F.lit(True)))
+        both = both.unionByName(quadtree.nearest_edges(missed, pieces, fallback_k, x, y, key).withColumn("fallback", F.lit(True)))
     if top:
         both = both.where(F.col("rank") <= top)
     return both.unionByName(fixes.where(f"{x} is null or {y} is null"), allowMissingColumns=True) if keep_empty else both

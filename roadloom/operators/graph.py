@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.scalars import node_id, whole_key
+from roadloom.operators import hubs
 from roadloom.sources.shared import stored
 
 
@@ -55,12 +56,13 @@ def shortest(out: dict[int, list[tuple[int, float]]], src: int, wanted: Iterable
 def routes_between(edges: DataFrame, pairs: DataFrame, most_links: int = 500_000) -> DataFrame:
     """src, dst, dist of the reachable ones of the wanted pairs (src, dst), whatever their distance.
 
-    A network of up to `most_links` links is broadcast and searched once for each src; a larger one is searched by joins, from all sources at once.
+    A network of up to `most_links` links is broadcast and searched once for each src; a larger one gets hub labels, and the pairs join theirs. Both
+    give the same rows; labels that are asked more than once are better kept, by `hubs.labels`.
     """
     net = links(edges)
     wanted = pairs.select("src", "dst").distinct()
     if net.count() > most_links:
-        return _spread(net, wanted)
+        return hubs.distances(*hubs.labels(net), wanted)
     out: dict[int, list[tuple[int, float]]] = {}
     for r in net.collect():
         out.setdefault(r["src"], []).append((r["dst"], r["length"]))
@@ -73,21 +75,6 @@ def routes_between(edges: DataFrame, pairs: DataFrame, most_links: int = 500_000
     return wanted.groupBy("src").applyInPandas(search, "src long, dst long, dist double")
 
 
-def _spread(net: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distances by rounds of joins: each round goes one link on from the nodes that the last one brought nearer, but not from those that are
-    farther from their source than all that is wanted of it."""
-    best = stored(wanted.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist")).distinct().withColumn("new", F.lit(True)), "spread")
-    step = net.select(F.col("src").alias("node"), F.col("dst").alias("__to"), "length")
-    while best.where("new").take(1):
-        found = wanted.join(best.select("src", F.col("node").alias("dst"), "dist"), ["src", "dst"], "left")
-        reach = found.groupBy("src").agg(F.when(F.count("dist") == F.count("*"), F.max("dist")).alias("far"))
-        front = best.where("new").join(reach, "src").where("far is null or dist < far")
-        on = front.join(step, "node").select("src", F.col("__to").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.lit(None).cast("double").alias("was"))
-        every = on.union(best.select("src", "node", "dist", F.col("dist").alias("was"))).groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
-        best = stored(every.select("src", "node", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("new")), "spread")
-    return wanted.join(best.select("src", F.col("node").alias("dst"), "dist"), ["src", "dst"])
-
-
 def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst and whether any way leads there; every wanted pair keeps a row."""
     ways = routes_between(edges, pairs)

@@ -129,37 +129,6 @@ def bootstrap_interval(rows: DataFrame, gain: str, *by: str, draws: int = 2000,
     return rows.select(*by, gain).groupBy(*by).applyInPandas(resample, schema)
 
 
-def detectable_effect(gains: np.ndarray, power: float = 0.8, alpha: float = 0.05, trials: int = 200, halvings: int = 16, seed: int = 0) -> float:
-    """The shift of centred gains that the signed-rank test finds with the wanted power, by bisection over simulated power, within four
-    spreads; NaN for fewer than two gains or where even that shift is found too seldom."""
-    if len(gains) < 2:
-        return float("nan")
-    centred, top, rng = gains - np.median(gains), 4 * (float(np.std(gains)) + 1e-9), np.random.default_rng(seed)
-
-    def found(shift: float) -> float:
-        draws = (centred[rng.integers(0, len(centred), len(centred))] + shift for _ in range(trials))
-        return sum(not np.allclose(s, 0) and exact_wilcoxon_p(s) < alpha for s in draws) / trials
-
-    if found(top) < power:
-        return float("nan")
-    low, high = 0.0, top
-    for _ in range(halvings):
-        mid = (low + high) / 2
-        low, high = (low, mid) if found(mid) >= power else (mid, high)
-    return high
-
-
-def detectable(rows: DataFrame, gain: str, *by: str, **options) -> DataFrame:
-    """detectable_effect of each group; null where it is not reached."""
-    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in by) + ", detectable double"
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = detectable_effect(pdf[gain].dropna().to_numpy(dtype=float), **options)
-        return pd.DataFrame([[*key, None if v != v else v]], columns=[*by, "detectable"])
-
-    return rows.select(*by, gain).groupBy(*by).applyInPandas(one, schema)
-
-
 def holm_family(tests: DataFrame, p: str, member: str, out: str, *order: str) -> DataFrame:
     """tests plus `out`: the Holm-adjusted p within the rows for which `member` holds; null for the others. A family is an evaluation's tests: tens of rows."""
     family = holm(tests.where(member).select(*order, p), p).select(*order, F.col("p_holm").alias(out))

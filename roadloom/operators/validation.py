@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import scalars as S
 from roadloom.functions.scalars import d
 from roadloom.operators import graph
+from roadloom.operators.aggregates import with_percentiles
 from roadloom.sources.shared import stored
 
 #: Metres a second that a truck drives at most, by how much it may be over a limit, how fast that may change, and the least shares of tunnels and bridges used.
@@ -137,8 +138,9 @@ def durations(truth: DataFrame, long_s: float = 120.0) -> DataFrame:
 def duration_summary(each: DataFrame) -> DataFrame:
     """One row for the case, over its tracks."""
     mean = lambda c: F.avg(c).alias(f"{c}_mean")
-    return each.agg(
-        F.count_distinct("track_id").alias("n_tracks"), mean("n_fixes"), mean("duration_s"), F.median("duration_s").alias("duration_s_median"), mean("distance_m"), mean("fix_interval_s"), mean("tunnel_fix_fraction"), mean("blackout_fix_fraction"),
-        mean("n_blackout_intervals"), mean("max_blackout_interval_s"), F.percentile("max_blackout_interval_s", d(0.95)).alias("max_blackout_interval_s_p95"), mean("mean_blackout_interval_s"), mean("n_portal_transitions"),
+    summary = each.agg(
+        F.count_distinct("track_id").alias("n_tracks"), mean("n_fixes"), mean("duration_s"), mean("distance_m"), mean("fix_interval_s"), mean("tunnel_fix_fraction"), mean("blackout_fix_fraction"),
+        mean("n_blackout_intervals"), mean("max_blackout_interval_s"), mean("mean_blackout_interval_s"), mean("n_portal_transitions"),
         (d(100) * F.avg(F.col("long_blackout").cast("double"))).alias("long_blackout_pct"),
     )
+    return with_percentiles(summary, each, [], {"duration_s_median": ("duration_s", 0.5), "max_blackout_interval_s_p95": ("max_blackout_interval_s", 0.95)})

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from roadloom.functions import features as X
 from roadloom.functions import scalars as S
-from roadloom.operators import circuits, decode, geo, graph, learners, modes, sequence, training
+from roadloom.operators import aggregates, circuits, decode, geo, graph, learners, levels, modes, sequence, training
 from roadloom.plans.fixes import IMPUTED_SQL
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import tables
@@ -17,9 +16,10 @@ _CIRCUIT, _FROZEN, _MATCHED = X.start_weights(54), X.start_weights(54, restart=2
 _TURNS, _MATCHED_TURNS = X.start_weights(24, restart=1), X.start_weights(25, restart=2, scale=0.5)
 
 
-def steps(spark, sf):
+def steps(spark, sf, fixes=None):
     """Candidates of effective fixes, as steps of track segments, with what emissions and transitions need."""
-    p = sequence.displacement(sequence.boundaries(sequence.impute(tables.pings(spark, sf))), "eff_x", "eff_y").where("eff_x is not null")
+    fixes = tables.pings(spark, sf) if fixes is None else fixes
+    p = sequence.displacement(sequence.boundaries(sequence.impute(fixes)), "eff_x", "eff_y").where("eff_x is not null")
     either = F.col("imputed") | F.coalesce(F.lag("imputed").over(sequence.track()), F.lit(False))
     at = F.row_number().over(sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER))
     p = p.withColumns({"reliability": X.direction_reliability(F.col("hdop"), F.col("sat_count"), F.col("moved"), either), "step": at, "traffic": S.traffic_regime(F.col("ts"))[1]})
@@ -33,6 +33,16 @@ def steps(spark, sf):
     return c.withColumns({"emit": X.spatial_log_prob(F.col("dist"), F.col("scale")), "edge": edge, "ox": F.col("eff_x"), "oy": F.col("eff_y"), "f": f}).drop("points", "__t")
 
 
+def true_steps(spark, sf):
+    """steps of the tracks whose true edges are told, and is_true: whether a candidate is the true edge, parallel key included."""
+    t = tables.truth(spark, sf)
+    fixes = t.select("event_id", "track_id", "ts", "t_s", F.col("at_x").alias("obs_x"), F.col("at_y").alias("obs_y"), "hdop", "sat_count")
+    told = graph.true_edges(t.select("event_id", "node_text", "next_text", "edge_key"), tables.edges(spark, sf), F.col("node_text"), F.col("next_text"), F.col("edge_key"))
+    told = told.where("u is not null").select("event_id", F.struct("u", "v", "k").alias("__true"))
+    c = steps(spark, sf, fixes).join(told, "event_id", "left")
+    return c.withColumn("is_true", F.coalesce(F.struct("u", "v", "k") == F.col("__true"), F.lit(False))).drop("__true")
+
+
 _ATTRIBUTES = ("length", "bearing", "maxspeed", "layer", "lanes", "oneway", "tunnel", "bridge")
 
 
@@ -41,7 +51,7 @@ def _levels(spark, sf, c):
     e = tables.edges(spark, sf)
     pieces = stored(geo.segments(geo.with_points(e, tables.nodes(spark, sf))), "pieces")
     below = pieces.join(e.select("u", "v", "k", "layer", ((F.col("tunnel") == 1) | (F.col("layer") < 0)).alias("below")), ["u", "v", "k"])
-    ekf = stored(decode.kalman_levels(sequence.boundaries(tables.pings(spark, sf)), below, graph.level_transitions(e)), "levels")
+    ekf = stored(levels.kalman_levels(sequence.boundaries(tables.pings(spark, sf)), below, graph.level_transitions(e)), "levels")
     held = c.join(ekf.select("event_id", "ekf_x", "ekf_y", "beliefs"), "event_id")
     # The nearest of an edge's pieces.
     near = geo._projected(held.select("event_id", "u", "v", "k", "ekf_x", "ekf_y").join(pieces, ["u", "v", "k"]), "ekf_x", "ekf_y").groupBy("event_id", "u", "v", "k").agg(F.min("dist").alias("level_dist"))
@@ -57,14 +67,28 @@ def q3_viterbi(spark, sf):
     return rounded(decode.viterbi(c, _pairs(spark, sf, c), beam=None), 4)
 
 
-def _models():
-    rng = lambda x, w: 1 / (1 + np.exp(-(x @ np.array(w))))
-    return modes.Models(_CIRCUIT, _FROZEN, _MATCHED, _TURNS, _MATCHED_TURNS, mlp=lambda x: rng(x, X.start_weights(9, 3, 2.0)), svm=lambda x: rng(x, X.start_weights(9, 4, 2.0)), lstm=learners.Reservoir(9).recall(X.start_weights(13, 5, 2.0)))
+def _models(**learned):
+    return modes.Models(_CIRCUIT, _FROZEN, _MATCHED, _TURNS, _MATCHED_TURNS, **learned)
+
+
+def examples(spark, sf):
+    """Fix-level examples of the true edges: every fix's true candidate and up to four others, with nine features."""
+    return training.supervised(stored(true_steps(spark, sf), "true-steps"), F.col("is_true"), "event_id")
+
+
+def learned_models(spark, sf):
+    """The network, the kernel machine and the reservoir's head that the examples teach, as scorers of a feature array."""
+    rows = stored(examples(spark, sf).select("features", "label", "group"), "examples")
+    network, _ = learners.tuned_network(rows, rounds=40)
+    kernel, _ = learners.tuned_kernel_machine(rows, size=64, rounds=20)
+    cell = learners.Reservoir(9)
+    head = cell.fit(cell.sequences(rows))
+    return _models(mlp=network.column, svm=kernel.column, lstm=modes.batched(cell.recall(head.tolist())))
 
 
 def q3_modes(spark, sf):
-    """Every fix decoded in all thirteen modes, with a beam of 30."""
-    m, every = _models(), list(modes.MODES)
+    """Every fix decoded in all thirteen modes, with a beam of 30; the learners have learned from the tracks whose true edges are told."""
+    m, every = learned_models(spark, sf), list(modes.MODES)
     c = _levels(spark, sf, stored(steps(spark, sf), "steps"))
     c = stored(modes.emissions(c, m, sorted({modes.MODES[n][0] for n in every})), "emissions")
     pairs = modes.transitions(_pairs(spark, sf, c), m, sorted({modes.MODES[n][1] for n in every}))
@@ -96,9 +120,7 @@ _EMIT = {
 _T4 = ["least(abs(b.layer - a.layer) / 3.0::DOUBLE, 1)", "least(abs(b.maxspeed - a.maxspeed) / 100, 1)", "least(route / 150, 1)", "least(abs(b.bearing - a.bearing) % 360, 360 - abs(b.bearing - a.bearing) % 360) / 180"]
 _FACTOR = {"classical": "1", "hmm_extra": "1", "classical_matched": _network_sql(["t0", "t1", "t2", "t3"], _MATCHED_TURNS, 4, 4)}
 
-BASE_SQL = (
-    IMPUTED_SQL
-    + """, g0 AS (SELECT f.* EXCLUDE (t1, x1, y1), o.hdop, o.sat_count, o.ts, coalesce(f.t_s <= lag(f.t_s) OVER w, true) AS bd, coalesce(sqrt((f.x - lag(f.x) OVER w) ** 2 + (f.y - lag(f.y) OVER w) ** 2), 0) AS moved, coalesce(lag(f.imputed) OVER w, false) AS li
+_STEPS_SQL = """, g0 AS (SELECT f.* EXCLUDE (t1, x1, y1), o.hdop, o.sat_count, o.ts, coalesce(f.t_s <= lag(f.t_s) OVER w, true) AS bd, coalesce(sqrt((f.x - lag(f.x) OVER w) ** 2 + (f.y - lag(f.y) OVER w) ** 2), 0) AS moved, coalesce(lag(f.imputed) OVER w, false) AS li
   FROM f JOIN o USING (event_id) WINDOW w AS (PARTITION BY f.track_id ORDER BY f.t_s, f.event_id)),
 g1 AS (SELECT *, CAST(sum(CAST(bd AS INT)) OVER (PARTITION BY track_id ORDER BY t_s, event_id) AS BIGINT) AS segment FROM g0),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY track_id, segment ORDER BY t_s, event_id) AS step, exp(-greatest(greatest(hdop, 0.5) - 1, 0) / 3) * greatest(0, least(1, sat_count / 8.0::DOUBLE)) * least(1, moved / 8) * CASE WHEN imputed OR li THEN 0.25 ELSE 1.0 END AS rel,
@@ -116,6 +138,15 @@ p0 AS (SELECT b.track_id, b.segment, b.step, a.edge AS ea, b.edge AS eb, CASE WH
   FROM cg a JOIN cg b ON a.track_id = b.track_id AND a.segment = b.segment AND b.step = a.step + 1 LEFT JOIN hp ON hp.src = a.v AND hp.dst = b.u),
 p1 AS MATERIALIZED (SELECT track_id, segment, step, ea, eb, least(abs(lb - la) / 3.0::DOUBLE, 1) AS t0, least(abs(sb - sa) / 100, 1) AS t1, least(route / 150, 1) AS t2, least(abs(bb - ba) % 360, 360 - abs(bb - ba) % 360) / 180 AS t3,
   exp(-abs(route - moved) / 50) * back * CASE WHEN rel <= 0 OR sqrt(dx * dx + dy * dy) <= 1e-9 THEN 1 ELSE exp(-0.5 * rel * (acos(greatest(-1, least(1, (dx * tx + dy * ty) / sqrt(dx * dx + dy * dy)))) / radians(45)) ** 2) END AS base FROM p0 WHERE route IS NOT NULL)"""
+BASE_SQL = IMPUTED_SQL + _STEPS_SQL
+
+#: The same over the tracks whose true edges are told; is_true marks the true candidate.
+TRUE_SQL = (
+    """+ o AS (SELECT event_id, track_id, ts, t_s, hdop, sat_count FROM truth),
+f AS (SELECT event_id, track_id, t_s, at_x AS x, at_y AS y, false AS imputed, 0 AS t1, 0 AS x1, 0 AS y1 FROM truth)"""
+    + _STEPS_SQL
+    + """, te AS (SELECT event_id AS te_id, u AS tu, v AS tv, k AS tk FROM truth JOIN edges ON u = CAST(CAST(node_text AS DOUBLE) AS BIGINT) AND CAST(v AS VARCHAR) = next_text AND k = CAST(TRY_CAST(edge_key AS DOUBLE) AS INT)),
+ct AS MATERIALIZED (SELECT cg.*, te_id IS NOT NULL AS is_true FROM cg LEFT JOIN te ON te_id = event_id AND tu = u AND tv = v AND tk = k)"""
 )
 
 
@@ -158,7 +189,8 @@ def q8_confidence_dips(spark, sf):
     """Where the best matched score of a fix's candidates dips below a threshold, and how far the window has grown."""
     c = stored(steps(spark, sf), "steps").withColumn("p", X.mlp_score(F.col("f"), _MATCHED, 9, 5))
     best = c.groupBy("track_id", "event_id", "step", "t_s", "boundary").agg(F.max("p").alias("score"))
-    cut = best.agg(F.percentile("score", S.d(0.6))).first()[0]
+    best = stored(best, "best-scores")
+    cut = aggregates.percentiles(best, [], {"cut": ("score", 0.6)}).first()[0]
     out = modes.dips(best, float(cut) if cut is not None else 0.0)
     return out.select("event_id", "ambiguity", "window")
 
@@ -175,21 +207,20 @@ SELECT event_id, am AS ambiguity, CAST(CASE WHEN am THEN least(120, 20 + sum(CAS
 
 def l2_transition_pairs(spark, sf):
     """The true step between two fixes' edges beside up to three reachable others that are nearest the next fix: four features each."""
-    c = stored(steps(spark, sf), "steps")
-    truth = F.col("rank") == 1 + F.col("event_id") % 2
-    out = training.transition_pairs(c.withColumn("is_true", truth), stored(graph.routes_between(tables.edges(spark, sf), decode.node_pairs(c)), "hops"))
+    c = stored(true_steps(spark, sf), "true-steps")
+    out = training.transition_pairs(c, stored(graph.routes_between(tables.edges(spark, sf), decode.node_pairs(c)), "hops"))
     return rounded(out.select("event_id", "place", *[F.get(n, F.lit(i)).alias(f"{n}{i}") for n in ("true_f", "f") for i in range(4)]), 4)
 
 
 L2 = tables.with_views(
-    BASE_SQL
-    + """, tr AS (SELECT * FROM cg WHERE rank = 1 + event_id % 2),
-q0 AS (SELECT b.event_id, b.edge, b.dist, b.rank = 1 + b.event_id % 2 AS good, CASE WHEN a.edge = b.edge THEN greatest(b.arc - a.arc, 0) ELSE greatest(50 - a.arc, 0) + hop + b.arc END AS route, least(abs(b.layer - a.layer) / 3.0::DOUBLE, 1) AS f0, least(abs(b.maxspeed - a.maxspeed) / 100, 1) AS f1,
-  least(abs(b.bearing - a.bearing) % 360, 360 - abs(b.bearing - a.bearing) % 360) / 180 AS f3 FROM tr a JOIN cg b ON a.track_id = b.track_id AND a.segment = b.segment AND b.step = a.step + 1 LEFT JOIN hp ON hp.src = a.v AND hp.dst = b.u),
+    TRUE_SQL
+    + """, tr AS MATERIALIZED (SELECT * FROM ct WHERE is_true),
+q0 AS (SELECT b.event_id, b.edge, b.dist, b.is_true AS good, CASE WHEN a.edge = b.edge THEN greatest(b.arc - a.arc, 0) ELSE greatest(50 - a.arc, 0) + hop + b.arc END AS route, least(abs(b.layer - a.layer) / 3.0::DOUBLE, 1) AS f0, least(abs(b.maxspeed - a.maxspeed) / 100, 1) AS f1,
+  least(abs(b.bearing - a.bearing) % 360, 360 - abs(b.bearing - a.bearing) % 360) / 180 AS f3 FROM tr a JOIN ct b ON a.track_id = b.track_id AND a.segment = b.segment AND b.step = a.step + 1 LEFT JOIN hp ON hp.src = a.v AND hp.dst = b.u),
 q1 AS (SELECT *, least(route / 150, 1) AS f2 FROM q0 WHERE route IS NOT NULL), g AS (SELECT * FROM q1 WHERE good),
 n AS (SELECT q1.*, row_number() OVER (PARTITION BY event_id ORDER BY dist, edge) AS place FROM q1 WHERE NOT good)
 SELECT n.event_id, CAST(place AS INT) AS place, round(g.f0, 4) AS true_f0, round(g.f1, 4) AS true_f1, round(g.f2, 4) AS true_f2, round(g.f3, 4) AS true_f3, round(n.f0, 4) AS f0, round(n.f1, 4) AS f1, round(n.f2, 4) AS f2, round(n.f3, 4) AS f3 FROM n JOIN g USING (event_id) WHERE place <= 3""",
-    "pings", "edges", "nodes",
+    "truth", "edges", "nodes",
 )
 
 

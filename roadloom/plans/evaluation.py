@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadloom.operators import aggregates, stats
-from roadloom.plans.tools import Plan, rounded
+from roadloom.plans.tools import Plan, half_up, half_up_sql, rounded
 from roadloom.sources import tables
 
 
@@ -98,13 +98,6 @@ SELECT case_name, round(least(1, 2.0::DOUBLE * c / 2 ** s.n), 6) AS p FROM s JOI
 )
 
 
-def x5_detectable(spark, sf):
-    """The shift that each case's gains would show with 80 % power, and where a constant gain never could."""
-    g = _gains(spark, sf)
-    flat = g.withColumns({"gain": F.lit(0.0), "case_name": F.concat(F.lit("flat "), "case_name")})
-    return rounded(stats.detectable(g.select("case_name", "gain").unionByName(flat.select("case_name", "gain")), "gain", "case_name"))
-
-
 def _modes(spark, sf):
     r = tables.runs(spark, sf).select("case_name", "run_index", F.round("baseline_rmse", 6).alias("plain"), F.round("treatment_rmse", 6).alias("full"))
     return r.withColumn("half", F.round((F.col("plain") + F.col("full")) / 2 + F.sin(F.col("run_index") * 1.0) / 100, 6))
@@ -112,11 +105,11 @@ def _modes(spark, sf):
 
 def x6_analysis(spark, sf):
     """All comparisons of an evaluation with their three families of corrected tests."""
-    return rounded(stats.analysis(_modes(spark, sf), "case_name", [("plain", "full"), ("plain", "half"), ("half", "full")], ("plain", "full")))
+    return half_up(stats.analysis(_modes(spark, sf), "case_name", [("plain", "full"), ("plain", "half"), ("half", "full")], ("plain", "full")))
 
 
 X6 = tables.with_views(
-    """+ m AS (SELECT case_name, run_index, round(baseline_rmse, 6) AS plain, round(treatment_rmse, 6) AS full_ FROM runs),
+    f"""+ m AS (SELECT case_name, run_index, round(baseline_rmse, 6) AS plain, round(treatment_rmse, 6) AS full_ FROM runs),
 h AS (SELECT *, round((plain + full_) / 2 + sin(run_index * 1.0::DOUBLE) / 100, 6) AS half FROM m),
 g AS (SELECT case_name, 'plain' AS baseline, 'full' AS treatment, round(plain - full_, 9) AS gain FROM h UNION ALL SELECT case_name, 'plain', 'half', round(plain - half, 9) FROM h UNION ALL SELECT case_name, 'half', 'full', round(half - full_, 9) FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_name, baseline, treatment ORDER BY abs(gain)) AS rk FROM g WHERE gain <> 0),
@@ -133,12 +126,12 @@ f2 AS (SELECT case_name, baseline, treatment, (count(*) OVER () - row_number() O
 f3 AS (SELECT case_name, baseline, treatment, (count(*) OVER () - row_number() OVER o + 1) * p AS st, row_number() OVER o AS rn FROM a WHERE baseline <> 'plain' WINDOW o AS (ORDER BY p, case_name, baseline, treatment)),
 q AS (SELECT 1 AS f, case_name, baseline, treatment, least(1, max(st) OVER (ORDER BY rn)) AS h FROM f1 UNION ALL SELECT 2, case_name, baseline, treatment, least(1, max(st) OVER (ORDER BY rn)) FROM f2 UNION ALL SELECT 3, case_name, baseline, treatment, least(1, max(st) OVER (ORDER BY rn)) FROM f3),
 z AS (SELECT case_name, baseline, treatment, max(h) FILTER (f = 1) AS hf, max(h) FILTER (f = 2) AS hp, max(h) FILTER (f = 3) AS hd FROM q GROUP BY 1, 2, 3)
-SELECT case_name, baseline, treatment, a.n, round(me, 6) AS mean_gain, round(md, 6) AS median_gain, round(pr, 6) AS positive_rate, round(p, 6) AS p, CAST(low AS DOUBLE) AS w, round(rb, 6) AS rank_biserial, round(hl, 6) AS hodges_lehmann, round(hf, 6) AS p_holm_full, round(hp, 6) AS p_holm_primary,
-  round(hd, 6) AS p_holm_direct, hf < 0.05 AS significant_full, coalesce(hp < 0.05, false) AS significant_primary, coalesce(hd < 0.05, false) AS significant_direct FROM a JOIN z USING (case_name, baseline, treatment)""",
+SELECT case_name, baseline, treatment, a.n, {half_up_sql('me')} AS mean_gain, {half_up_sql('md')} AS median_gain, {half_up_sql('pr')} AS positive_rate, {half_up_sql('p')} AS p, {half_up_sql('low')} AS w, {half_up_sql('rb')} AS rank_biserial, {half_up_sql('hl')} AS hodges_lehmann, {half_up_sql('hf')} AS p_holm_full, {half_up_sql('hp')} AS p_holm_primary,
+  {half_up_sql('hd')} AS p_holm_direct, hf < 0.05 AS significant_full, coalesce(hp < 0.05, false) AS significant_primary, coalesce(hd < 0.05, false) AS significant_direct FROM a JOIN z USING (case_name, baseline, treatment)""",
     "runs",
 )
 
 
 PLANS = [
-    Plan(g13_case_means, G13, "g13_g14_case_means"), Plan(g12_wide, G12), Plan(x3_rank_biserial, X3), Plan(x4_hodges_lehmann, X4), Plan(x2_holm, X2), Plan(x1_wilcoxon, None, "x1_x4_bootstrap"), Plan(x1_wilcoxon_p, X1, "x1_wilcoxon"), Plan(x5_detectable), Plan(x6_analysis, X6, "x2_x6_analysis"),
+    Plan(g13_case_means, G13, "g13_g14_case_means"), Plan(g12_wide, G12), Plan(x3_rank_biserial, X3), Plan(x4_hodges_lehmann, X4), Plan(x2_holm, X2), Plan(x1_wilcoxon, None, "x1_x4_bootstrap"), Plan(x1_wilcoxon_p, X1, "x1_wilcoxon"), Plan(x6_analysis, X6, "x2_x6_analysis"),
 ]

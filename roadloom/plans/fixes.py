@@ -197,7 +197,8 @@ WHERE n IN (SELECT CAST(floor(i * (c - 1) / 13.0::DOUBLE) AS BIGINT) FROM range(
 def g8_blackout_stats(spark, sf):
     gaps = sequence.runs(tables.pings(spark, sf), F.col("obs_x").isNull()).withColumn("lasting", F.col("last_s") - F.col("first_s"))
     each = gaps.groupBy("track_id").agg(F.sum("length").alias("lost"), F.count("*").alias("gaps"), F.max("lasting").alias("longest"))
-    return rounded(each.agg(F.count("*").alias("tracks"), F.avg("lost").alias("mean_lost"), F.median("lost").alias("median_lost"), F.percentile("lost", S.d(0.95)).alias("p95_lost"), F.avg("gaps").alias("mean_gaps"), F.max("longest").alias("longest_s")), 4)
+    summary = each.agg(F.count("*").alias("tracks"), F.avg("lost").alias("mean_lost"), F.avg("gaps").alias("mean_gaps"), F.max("longest").alias("longest_s"))
+    return rounded(aggregates.with_percentiles(summary, each, [], {"median_lost": ("lost", 0.5), "p95_lost": ("lost", 0.95)}), 4)
 
 
 G8 = tables.with_views(

@@ -8,7 +8,7 @@ from roadloom.functions import features as X
 from roadloom.functions import scalars as S
 from roadloom.operators import geo
 from roadloom.plans.tools import Plan, rounded
-from roadloom.sources import files, paths, tables
+from roadloom.sources import files, json_array, paths, tables
 from roadloom.sources.shared import shared_dir
 
 
@@ -73,6 +73,39 @@ A4 = tables.with_views(
 )
 
 
+def a4_shapefile(spark, sf):
+    """Lines and their attributes as shapefiles, one a partition, found in their folder and read back in slices of records."""
+    r = tables.roads(spark, sf)
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    path = shared_dir(spark, "shapes")
+    lines = F.array(F.array(at("ax", "ay"), at("bx", "by_"), at("cx", "cy")))
+    files.write_shapefile(r.select("road", "name", "kind", "speed", F.col("lane_count").alias("lanes"), (F.col("status") == "Operational").alias("in_use"), lines.alias("lines")), path)
+    out = files.read_shapefile(spark, path, records=50)
+    points = F.get("lines", F.lit(0))
+    return rounded(out.select("road", "name", "kind", "speed", "lanes", "in_use", F.size(points).alias("points"), geo.line_length(points).alias("length"), S.mean_bearing(points).alias("bearing")), 4)
+
+
+A4S = tables.with_views(
+    """SELECT road, name, kind, speed, CAST(lane_count AS BIGINT) AS lanes, status = 'Operational' AS in_use, CAST(3 AS INT) AS points, round(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) + sqrt((cx - bx) ** 2 + (cy - by_) ** 2), 4) AS length,
+  round((degrees(atan2(cx - ax, cy - ay)) + 360) % 360, 4) AS bearing FROM roads""",
+    "roads",
+)
+
+
+def a10_json_array(spark, sf):
+    """Tracks as JSON files of one array each, with nested steps and texts full of brackets, read back in slices of a few kilobytes."""
+    t = tables.truth(spark, sf)
+    step = F.struct("step", "event_id", F.col("obs_x").alias("x"), F.concat(F.lit('["'), "state", F.lit('\\"},{')).alias("note"))
+    each = t.groupBy("track_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    path = shared_dir(spark, "arrays")
+    json_array.write(each.repartition(3, "track_id"), path)
+    out = json_array.read(spark, path, "track_id long, steps array<struct<step:int,event_id:long,x:double,note:string>>", slice_bytes=4096)
+    return rounded(out.select("track_id", F.explode("steps").alias("s")).select("track_id", "s.step", "s.event_id", "s.x", "s.note"))
+
+
+A10J = tables.with_views("""SELECT track_id, CAST(step AS INT) AS step, event_id, round(obs_x, 6) AS x, '["' || state || '\"},{' AS note FROM truth""", "truth")
+
+
 def a11_weights(spark, sf):
     """A model's weights stored and read back, checked for name and shape."""
     path = shared_dir(spark, "weights")
@@ -134,6 +167,6 @@ def a12_freshness(spark, sf):
 A12 = "SELECT * FROM (VALUES ('source', true), ('changed', false), ('absent', false)) t(source, fresh)"
 
 PLANS = [
-    Plan(a6_graphml, A6, "a6_a7_k1_graphml"), Plan(a8_trajectories, A8, "a8_a9_k2_trajectories"), Plan(a10_candidates, A10, "a10_b20_k3_candidates"), Plan(a4_geojson, A4, "a4_a5_k5_geojson"), Plan(a11_weights, A11, "a11_k4_m10_weights"),
+    Plan(a6_graphml, A6, "a6_a7_k1_graphml"), Plan(a8_trajectories, A8, "a8_a9_k2_trajectories"), Plan(a10_candidates, A10, "a10_b20_k3_candidates"), Plan(a4_geojson, A4, "a4_a5_k5_geojson"), Plan(a4_shapefile, A4S), Plan(a10_json_array, A10J), Plan(a11_weights, A11, "a11_k4_m10_weights"),
     Plan(k7_cases, K7, "k7_k9_b24_u1_cases"), Plan(k8_resumed, K8, "k8_q10_resumed"), Plan(a12_freshness, A12),
 ]

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import features as X
 from roadloom.functions import scalars as S
-from roadloom.operators import circuits, decode, geo, graph, sequence, training
+from roadloom.operators import circuits, decode, geo, graph, hubs, levels, sequence, training
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import files, tables
+from roadloom.sources.shared import stored
 
 _NINE = X.start_weights(54)
 _MATCHED = X.start_weights(56, restart=1)
@@ -129,21 +130,6 @@ J1 = tables.with_views(
 )
 
 
-def l1_ranking_pairs(spark, sf):
-    c = _candidates(spark, sf, top=10)
-    pairs = training.ranking_pairs(c, F.col("rank") == 1 + F.col("event_id") % 2, "event_id")
-    return rounded(pairs, 4)
-
-
-L1 = tables.with_views(
-    _CAND.replace("c AS (", "c AS MATERIALIZED (")
-    + """, p AS (SELECT * FROM c WHERE rank = 1 + event_id % 2), m AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, u, v, k) AS place FROM c WHERE rank <> 1 + event_id % 2)
-SELECT event_id, CAST(place AS INT) AS place, p.u AS true_u, p.v AS true_v, p.k AS true_k, round(p.dist, 4) AS true_dist, m.u, m.v, m.k, round(m.dist, 4) AS dist
-FROM m JOIN p USING (event_id) WHERE place <= 4""",
-    "pings", "edges",
-)
-
-
 def f8_match_classes(spark, sf):
     """How each fix's second candidate stands to its first."""
     c = _candidates(spark, sf, top=2).select("event_id", "u", "v", "k", "rank")
@@ -162,6 +148,30 @@ SELECT exact, carriageway, reverse, physical, relaxed, count(*) AS n FROM m GROU
 )
 
 
+def r1_hub_routes(spark, sf):
+    """The shortest way from each fix's true edge to the next fix's, on streets of many lengths, by hub labels; null where none leads there."""
+    t = tables.truth(spark, sf)
+    at = sequence.Window.partitionBy("track_id").orderBy("t_s", "event_id")
+    wanted = t.select(F.col("event_id"), F.col("edge_v").alias("src"), F.lead("edge_u").over(at).alias("dst")).where("dst is not null")
+    wanted = stored(wanted, "wanted")
+    outward, inward = hubs.labels(tables.streets(spark, sf).select(F.col("u").alias("src"), F.col("v").alias("dst"), "length"), core=64)
+    found = hubs.distances(outward, inward, wanted)
+    return wanted.join(found, ["src", "dst"], "left").select("event_id", "src", "dst", "dist")
+
+
+# A table by key holds the shortest way known to each pair; a round goes on from what became shorter.
+R1H = tables.with_views(
+    """+ st AS (SELECT u, v, min(length) AS length FROM streets GROUP BY u, v),
+sp(src, dst, dist) USING KEY (src, dst) AS (
+  SELECT node_id, node_id, 0.0::DOUBLE FROM (SELECT u AS node_id FROM st UNION SELECT v FROM st)
+  UNION SELECT sp.src, st.v, min(sp.dist + st.length) FROM sp JOIN st ON st.u = sp.dst LEFT JOIN recurring.sp r ON r.src = sp.src AND r.dst = st.v
+  WHERE sp.dist + st.length < coalesce(r.dist, 1e300) GROUP BY sp.src, st.v),
+w AS (SELECT event_id, edge_v AS src, lead(edge_u) OVER (PARTITION BY track_id ORDER BY t_s, event_id) AS dst FROM truth)
+SELECT event_id, w.src, w.dst, dist FROM w LEFT JOIN sp ON sp.src = w.src AND sp.dst = w.dst WHERE w.dst IS NOT NULL""",
+    "truth", "streets",
+)
+
+
 def r1_routes(spark, sf):
     return graph.routes(tables.edges(spark, sf), 200.0)
 
@@ -278,12 +288,53 @@ def q2_level_filter(spark, sf):
     p = sequence.boundaries(tables.pings(spark, sf))
     e = tables.edges(spark, sf)
     pieces = _pieces(spark, sf).join(e.select("u", "v", "k", "layer", ((F.col("tunnel") == 1) | (F.col("layer") < 0)).alias("below")), ["u", "v", "k"])
-    out = decode.kalman_levels(p, pieces, graph.level_transitions(e))
-    return rounded(out.select("event_id", "ekf_x", "ekf_y", F.aggregate(F.map_values("beliefs"), S.d(0), lambda a, v: F.greatest(a, v)).alias("belief")), 4)
+    out = levels.kalman_levels(p, pieces, graph.level_transitions(e))
+    return rounded(out.select("event_id", "ekf_x", "ekf_y", "vx", "vy", F.aggregate(F.map_values("beliefs"), S.d(0), lambda a, v: F.greatest(a, v)).alias("belief")), 4)
+
+
+# Every noise is the same along x and y, so a covariance is three numbers: of place, of place and speed, of speed.
+Q2 = tables.with_views(
+    """+ t AS (SELECT a.layer AS f, b.layer AS t, count(*) AS n FROM edges a JOIN edges b ON a.v = b.u GROUP BY 1, 2),
+l AS (SELECT DISTINCT layer FROM edges),
+c AS (SELECT a.layer AS f, b.layer AS t, coalesce(n, 0) + 0.05::DOUBLE + CASE WHEN a.layer = b.layer THEN 2 ELSE 0 END AS c FROM l a CROSS JOIN l b LEFT JOIN t ON t.f = a.layer AND t.t = b.layer),
+tp AS (SELECT f, t, c / sum(c) OVER (PARTITION BY f) AS p FROM c),
+turn AS (SELECT list(col ORDER BY t) AS cols, (SELECT list(layer ORDER BY layer) FROM l) AS ls FROM (SELECT t, list(p ORDER BY f) AS col FROM tp GROUP BY t)),
+pc AS MATERIALIZED (SELECT u, v, k, layer, tunnel = 1 OR layer < 0 AS below, a.x AS x0, a.y AS y0, b.x - a.x AS dx, b.y - a.y AS dy FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
+mid AS (SELECT avg(x0 + dx / 2) AS mx, avg(y0 + dy / 2) AS my FROM pc),
+s0 AS (SELECT *, coalesce(t_s <= lag(t_s) OVER (PARTITION BY track_id ORDER BY t_s, event_id), true) AS bd FROM pings),
+s1 AS (SELECT *, sum(CAST(bd AS INT)) OVER (PARTITION BY track_id ORDER BY t_s, event_id) AS segment, coalesce(hdop, 1.5) AS hd, coalesce(sat_count, 7) AS sat FROM s0),
+s2 AS MATERIALIZED (SELECT track_id, segment, event_id, t_s, obs_x, obs_y, row_number() OVER (PARTITION BY track_id, segment ORDER BY t_s, event_id) AS step,
+  greatest(6.0::DOUBLE, 7.5::DOUBLE * greatest(0.5, hd)) * CASE WHEN sat < 5 THEN 1.5::DOUBLE ELSE 1 END AS sg, 1 / (1 + exp(-greatest(-20, least(20, 0.8::DOUBLE * (hd - 2) + 0.45::DOUBLE * (6 - sat))))) AS worse FROM s1),
+k(track_id, segment, event_id, step, t_s, x, y, vx, vy, p, q, r, b) AS (
+  SELECT DISTINCT ON (track_id, segment) track_id, segment, CAST(NULL AS BIGINT), 0::BIGINT, CAST(NULL AS DOUBLE), CASE WHEN obs_x IS NULL OR obs_y IS NULL THEN mx ELSE obs_x END, CASE WHEN obs_x IS NULL OR obs_y IS NULL THEN my ELSE obs_y END,
+    0.0::DOUBLE, 0.0::DOUBLE, 2500.0::DOUBLE, 0.0::DOUBLE, 400.0::DOUBLE, list_transform(ls, lambda i: 1.0::DOUBLE / len(ls)) FROM s2, mid, turn WHERE step = 1
+  UNION ALL
+  SELECT track_id, segment, event_id, step, t_s, x + g1 * (px - x), y + g1 * (py - y), vx + g2 * (px - x), vy + g2 * (py - y), (1 - g1) * p, (1 - g1) * q, r - g2 * q, b FROM (
+    SELECT *, p / (p + rs * rs) AS g1, q / (p + rs * rs) AS g2 FROM (
+      SELECT *, 18 + 35 * (1 - list_max(b)) AS rs, list_sum(list_transform(here, lambda h: b[h.i] * h.n.qx)) / list_sum(list_transform(here, lambda h: b[h.i])) AS px,
+        list_sum(list_transform(here, lambda h: b[h.i] * h.n.qy)) / list_sum(list_transform(here, lambda h: b[h.i])) AS py FROM (
+        SELECT * EXCLUDE (w), list_transform(w, lambda z: z / list_sum(w)) AS b,
+          list_transform(list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(near, lambda n: n.layer = ls[i])) > 0), lambda i: {'i': i, 'n': list_filter(near, lambda n: n.layer = ls[i])[1]}) AS here FROM (
+          SELECT *, list_transform(cols, lambda col, i: list_sum(list_transform(col, lambda f, j: f * bb[j])) * (0.000001::DOUBLE + coalesce(list_sum(list_transform(list_filter(near, lambda n: n.layer = ls[i]),
+            lambda n: exp(-0.5 * (n.dist / greatest(20.0, sqrt(p))) ** 2) * greatest(CASE WHEN n.below THEN 0.2::DOUBLE + 0.8::DOUBLE * worse ELSE 1 - 0.65::DOUBLE * worse END, 0.05))), 0.0))) AS w FROM (
+            SELECT track_id, segment, event_id, step, t_s, x, y, vx, vy, p, q, r, bb, worse, cols, ls, list({'layer': layer, 'below': below, 'dist': dist, 'qx': qx, 'qy': qy} ORDER BY dist, u, v, k) AS near FROM (
+              SELECT *, min(dist) OVER (PARTITION BY track_id, segment) > 60 AS far, row_number() OVER (PARTITION BY track_id, segment ORDER BY dist, u, v, k) AS rn FROM (
+                SELECT *, sqrt((qx - x) ** 2 + (qy - y) ** 2) AS dist FROM (
+                  SELECT *, x0 + tt * dx AS qx, y0 + tt * dy AS qy FROM (
+                    SELECT *, greatest(0, least(1, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS tt FROM (
+                      SELECT track_id, segment, event_id, step, t_s, x + h1 * (ox - x) AS x, y + h1 * (oy - y) AS y, vx + h2 * (ox - x) AS vx, vy + h2 * (oy - y) AS vy, (1 - h1) * p AS p, (1 - h1) * q AS q, r - h2 * q AS r, bb, worse, cols, ls FROM (
+                        SELECT *, CASE WHEN seen THEN p / (p + sg * sg) ELSE 0 END AS h1, CASE WHEN seen THEN q / (p + sg * sg) ELSE 0 END AS h2, CASE WHEN seen THEN obs_x ELSE x END AS ox, CASE WHEN seen THEN obs_y ELSE y END AS oy FROM (
+                          SELECT track_id, segment, event_id, step, t_s, x + vx * dt AS x, y + vy * dt AS y, vx, vy, p + 2 * q * dt + r * dt * dt + dt ** 4 AS p, q + r * dt + 2 * dt ** 3 AS q, r + 4 * dt * dt AS r, bb, worse, sg, obs_x, obs_y, obs_x IS NOT NULL AND obs_y IS NOT NULL AS seen, cols, ls FROM (
+                            SELECT s2.track_id, s2.segment, s2.event_id, s2.step, s2.t_s, x, y, vx, vy, p, q, r, b AS bb, worse, sg, obs_x, obs_y, cols, ls, CASE WHEN k.t_s IS NULL THEN 1.0::DOUBLE ELSE greatest(0.25, least(30.0::DOUBLE, s2.t_s - k.t_s)) END AS dt
+                            FROM k JOIN s2 ON s2.track_id = k.track_id AND s2.segment = k.segment AND s2.step = k.step + 1 CROSS JOIN turn)))) CROSS JOIN pc)))) WHERE dist <= 60 OR (far AND rn <= 10)
+            GROUP BY ALL))))))
+SELECT event_id, round(x, 4) AS ekf_x, round(y, 4) AS ekf_y, round(vx, 4) AS vx, round(vy, 4) AS vy, round(list_max(b), 4) AS belief FROM k WHERE step > 0""",
+    "pings", "nodes", "edges",
+)
 
 
 PLANS = [
-    Plan(b10_edge_features, B10), Plan(b11_transition_features, B11), Plan(m2_product_circuit, M2), Plan(m4_matched_mlp, M4), Plan(m1_circuit), Plan(j1_candidates, J1, "j1_j2_candidates"), Plan(l1_ranking_pairs, L1),
-    Plan(f8_match_classes, F8), Plan(r1_routes, R1), Plan(r3_components, R3), Plan(r5_degrees, R5), Plan(r6_pruned_nodes, R6), Plan(r7_first_exit, R7), Plan(g21_level_transitions, G21), Plan(j16_one_sided, J16),
-    Plan(g2_graph_audit, G2), Plan(k6_route_vertices, K6), Plan(k5_route_features), Plan(q2_level_filter),
+    Plan(b10_edge_features, B10), Plan(b11_transition_features, B11), Plan(m2_product_circuit, M2), Plan(m4_matched_mlp, M4), Plan(m1_circuit), Plan(j1_candidates, J1, "j1_j2_candidates"),
+    Plan(f8_match_classes, F8), Plan(r1_routes, R1), Plan(r1_hub_routes, R1H), Plan(r3_components, R3), Plan(r5_degrees, R5), Plan(r6_pruned_nodes, R6), Plan(r7_first_exit, R7), Plan(g21_level_transitions, G21), Plan(j16_one_sided, J16),
+    Plan(g2_graph_audit, G2), Plan(k6_route_vertices, K6), Plan(k5_route_features), Plan(q2_level_filter, Q2),
 ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.functions.scalars import LENIENT_TEXTS, flag, node_id
+from roadloom.sources import json_array, shapefile
 
 _DATA = "array<struct<_VALUE:string,_key:string>>"
 _GRAPHML = {
@@ -120,21 +121,33 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("obs_x", "obs_y", "hdop")})
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """One row a feature: the properties (of the given DDL) and the coordinates of a LineString."""
-    feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:array<array<double>>>>"
-    raw = spark.read.schema(f"type string, features array<{feature}>").json(path, multiLine=True)
-    return raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("coordinates"))
+def read_geojson(spark: SparkSession, path: str, properties: str, slice_bytes: int = 32 << 20) -> DataFrame:
+    """One row a feature of a collection, which is read in slices: the properties (of the given DDL) and the coordinates of a LineString."""
+    feature = f"properties struct<{properties}>, geometry struct<type:string,coordinates:array<array<double>>>"
+    raw = json_array.read(spark, path, feature, "features", slice_bytes)
+    return raw.select("properties.*", F.col("geometry.coordinates").alias("coordinates"))
+
+
+def read_shapefile(spark: SparkSession, path: str, records: int = 100_000) -> DataFrame:
+    """record, shape, lines and the table's columns of a .shp or a folder of them, in slices of records."""
+    spark.dataSource.register(shapefile.ShapefileSource)
+    return spark.read.format("shapefile").option("records", records).load(path)
+
+
+def write_shapefile(df: DataFrame, path: str) -> None:
+    """df (lines array<array<struct<x,y>>> and plain columns) as a folder of shapefiles, one a partition."""
+    df.sparkSession.dataSource.register(shapefile.ShapefileSource)
+    df.write.format("shapefile").mode("append").save(path)
 
 
 CANDIDATE = "array<struct<edge_id:array<string>,dist_m:double,speed_limit:int,bearing:double,is_tunnel:string,layer:int,edge_x:double,edge_y:double,edge_offset_m:double,edge_length_m:double>>"
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Nested candidate sets, one row a candidate; fixes without candidates keep a row."""
-    raw = spark.read.schema(f"timestamp string, original_coords array<double>, projected_coords array<double>, candidates {CANDIDATE}").json(path, multiLine=True)
-    listed = raw.withColumn("ping_index", F.monotonically_increasing_id())
-    return listed.select("ping_index", "timestamp", "original_coords", "projected_coords", F.posexplode_outer("candidates").alias("candidate_index", "c")).select("*", "c.*").drop("c")
+def read_candidates(spark: SparkSession, path: str, slice_bytes: int = 32 << 20) -> DataFrame:
+    """Nested candidate sets of a file that is one array, read in slices: one row a candidate; fixes without candidates keep a row. ping_index is the fix's offset in its file."""
+    raw = json_array.read(spark, path, f"timestamp string, original_coords array<double>, projected_coords array<double>, candidates {CANDIDATE}", slice_bytes=slice_bytes)
+    listed = raw.withColumnRenamed("at", "ping_index")
+    return listed.select("source_file", "ping_index", "timestamp", "original_coords", "projected_coords", F.posexplode_outer("candidates").alias("candidate_index", "c")).select("*", "c.*").drop("c")
 
 
 def write_candidates(cands: DataFrame, fixes: DataFrame, path: str) -> None:
@@ -155,6 +168,25 @@ def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("event_id", "timestamp", "original_coords", F.posexplode_outer("candidates").alias("candidate_index", "c")).select("*", "c.*").drop("c")
 
 
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """case_name, name and value (text) of the overrides of a profile file: an object by case, or one with that under `profiles`."""
+    raw = spark.read.text(path, wholetext=True)  # a few lines for each case
+    kind = "map<string,map<string,string>>"
+    own = F.try_element_at(F.from_json("value", "map<string,string>"), F.lit("profiles"))
+    cases = F.from_json(F.coalesce(own, F.col("value")), kind)
+    return raw.select(F.explode(cases).alias("case_name", "p")).select("case_name", F.explode("p").alias("name", "value"))
+
+
+def read_thresholds(spark: SparkSession, folder: str, cases: list[str]) -> DataFrame:
+    """case_name and threshold from a file <case>.json each; raises for a case without one."""
+    raw = spark.read.schema("threshold double").json(folder, multiLine=True)
+    found = raw.where("threshold is not null").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("case_name"), "threshold").where(F.col("case_name").isin(cases))
+    there = {r[0] for r in found.select("case_name").collect()}
+    if missing := sorted(set(cases) - there):
+        raise FileNotFoundError(f"no threshold for {missing} in {folder}")
+    return found
+
+
 def write_features(routes: DataFrame, path: str) -> None:
     """GeoJSON features, one a line."""
     route_features(routes).select("feature").write.text(path)
@@ -168,11 +200,12 @@ def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
 
 def vector_source(spark: SparkSession, folder: str, names: list[str]) -> str:
-    """The first of the named files that a folder has, else its first GeoJSON file; raises where there is none."""
+    """The first of the named files that a folder has, else its first GeoJSON file, else its first shapefile; raises where there is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     there = sorted(f.getPath().getName() for f in (fs.listStatus(root) if fs.exists(root) else []))
-    for name in [*names, *[n for n in there if n.lower().endswith((".geojson", ".json"))]]:
+    other = [n for end in ((".geojson", ".json"), (".shp",)) for n in there if n.lower().endswith(end)]
+    for name in [*names, *other]:
         if name in there:
             return f"{folder.rstrip('/')}/{name}"
     raise FileNotFoundError(f"no vector file in {folder}")

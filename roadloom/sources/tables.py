@@ -64,6 +64,11 @@ SELECT e.u * 1000000 + e.v AS road, a.x AS ax, a.y + e.u % 5 * 4.0{d} AS ay, (a.
   CASE WHEN e.u % 3 = 0 THEN 80.0{d} WHEN e.u % 3 = 1 THEN -1.0{d} ELSE NULL END AS speed, CASE WHEN e.v % 2 = 0 THEN 3 ELSE 0 END AS lane_count
 FROM {edges} e JOIN {nodes} a ON a.node_id = e.u JOIN {nodes} b ON b.node_id = e.v WHERE e.k = 0 AND (e.u + e.v) % 3 <> 0"""
 
+#: The network with links of many lengths: parallel ones differ, ways there and back differ, and far links cut across or lead round.
+_STREETS = """
+SELECT u, v, k, CAST(50 + (u * 7 + v * 13 + k * 31) % 60 AS DOUBLE) AS length FROM {edges}
+UNION ALL SELECT node_id, (node_id * 17 + 5) % n, 7, CAST(150 + node_id % 11 * 90 AS DOUBLE) FROM {nodes} WHERE node_id % 10 = 3 AND node_id <> (node_id * 17 + 5) % n"""
+
 _SPARK_TIME = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1000000.0D"
 _DUCK_TIME = "date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 1000000.0::DOUBLE"
 
@@ -72,11 +77,12 @@ DUCK = {
     "pings": _PINGS.format(seconds=_DUCK_TIME, d="::DOUBLE", k="json_extract_string(props, '$.k')", events="events"),
     "nodes": _NODES.format(supplier="supplier"),
     "edges": _EDGES.format(nodes="nodes"),
+    "streets": _STREETS.format(edges="edges", nodes="nodes"),
     "runs": _RUNS.format(orders="orders", lineitem="lineitem"),
     "truth": _TRUTH.format(pings="pings", nodes="nodes", d="::DOUBLE", text="VARCHAR"),
     "roads": _ROADS.format(edges="edges", nodes="nodes", d="::DOUBLE"),
 }
-_NEEDS = {"edges": {"nodes"}, "truth": {"pings", "nodes"}, "roads": {"edges", "nodes"}}
+_NEEDS = {"edges": {"nodes"}, "truth": {"pings", "nodes"}, "roads": {"edges", "nodes"}, "streets": {"edges", "nodes"}}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -98,6 +104,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_EDGES, nodes=nodes(spark, sf_dir))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_STREETS, edges=edges(spark, sf_dir), nodes=nodes(spark, sf_dir))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RUNS, orders=read(spark, sf_dir, "orders"), lineitem=read(spark, sf_dir, "lineitem"))
 

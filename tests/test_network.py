@@ -1,10 +1,13 @@
 """Routes and decoding beyond any fixed bound."""
 
+import heapq
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from roadloom.operators import decode, geo, graph
+from roadloom.operators import decode, geo, graph, hubs
 from roadloom.plans import decoding
 from roadloom.sources.shared import stored
 
@@ -49,3 +52,61 @@ def test_tangent_and_length_follow_a_polyline(spark):
     assert all(math.isclose(r.t.tx, x, abs_tol=1e-12) and math.isclose(r.t.ty, y, abs_tol=1e-12) for r, (x, y) in zip(got, [(1, 0), (1, 0), (half, half), (0, 1), (0, 1)], strict=True))
     dot = spark.sql("select array(named_struct('x', 1d, 'y', 1d)) points").select(geo.line_length(F.col("points")).alias("n"), geo.tangent(F.col("points"), F.lit(0.0), F.lit(0.0)).alias("t")).first()
     assert dot.n == 0 and dot.t.tx is None
+
+
+def dijkstra(links, src):
+    out, heap, done = {}, [(0.0, src)], {}
+    for a, b, n in links:
+        out.setdefault(a, []).append((b, n))
+    while heap:
+        dist, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node] = dist
+        for to, n in out.get(node, ()):
+            heapq.heappush(heap, (dist + n, to))
+    return done
+
+
+@pytest.mark.parametrize("core", [1000, 12])
+def test_hub_labels_give_all_shortest_distances(spark, core):
+    """A grid of uneven lengths with one-way links, parallel links, loops, far links, an island and a dead end."""
+    rng = np.random.default_rng(5)
+    w = 6
+    links = [(a, b, float(rng.integers(1, 90))) for a in range(w * w) for b in (a + 1, a + w, a - 1, a - w) if 0 <= b < w * w and (abs(a - b) == w or a // w == b // w) and rng.random() < 0.8]
+    links += [(3, 30, 7.5), (3, 30, 9.0), (35, 0, 400.0), (4, 4, 1.0), (100, 101, 2.0), (101, 100, 3.0), (5, 200, 1.0)]
+    df = spark.createDataFrame(links, "src long, dst long, length double")
+    nodes = sorted({x for a, b, _ in links for x in (a, b)})
+    outward, inward = hubs.labels(df.union(spark.createDataFrame([(7, None, 1.0), (None, 8, 1.0), (9, 10, None)], df.schema)), core=core)
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "src long, dst long")
+    got = {(r.src, r.dst): r.dist for r in hubs.distances(outward, inward, pairs).collect()}
+    want = {(a, b): dist for a in nodes for b, dist in dijkstra(links, a).items()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_hub_labels_of_few_nodes(spark):
+    none = spark.createDataFrame([], "src long, dst long, length double")
+    assert hubs.labels(none)[0].count() == 0
+    alone = spark.createDataFrame([(1, 1, 5.0)], "src long, dst long, length double")
+    outward, inward = hubs.labels(alone)
+    assert [tuple(r) for r in hubs.distances(outward, inward, alone.select("src", "dst")).collect()] == [(1, 1, 0.0)]
+
+
+def test_a_crowded_cell_is_dealt_over_tasks(spark):
+    """Nine tenths of the fixes stand in one cell: the rows are those of the undivided join, and no task has them all."""
+    pieces = geo.segments(spark.createDataFrame([(i, i + 1, 0, [(50.0 * i, 0.0), (50.0 * i + 50, 3.0)]) for i in range(40)], "u long, v long, k int, points array<struct<x:double,y:double>>"))
+    fixes = spark.range(2000).selectExpr("id as event_id", "case when id % 10 > 0 then 70.0 + id % 7 else id % 1900 + 0.5 end as obs_x", "cast(id % 11 as double) as obs_y")
+    whole = geo.range_join(fixes, pieces)
+    parts = geo.range_join(fixes, pieces, busy=100).withColumn("task", F.spark_partition_id())
+    rows = lambda df: sorted((r.event_id, r.u, r.v, r.k, r.dist, r.arc) for r in df.collect())
+    assert rows(parts) == rows(whole)
+    crowd = fixes.where("obs_x >= 0 and obs_x < 120").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        parts = geo.range_join(fixes, pieces, busy=100).select("event_id", F.spark_partition_id().alias("task"))
+        most = parts.distinct().groupBy("task").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert crowd > 1700 and most < crowd / 3
