@@ -10,7 +10,8 @@ from roadloom.operators import aggregates, circuits, decode, geo, graph, learner
 from roadloom.plans.fixes import IMPUTED_SQL
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import tables
-from roadloom.sources.shared import stored
+from roadloom.sources.shared import shared_dir, stored
+from roadloom.streaming import decoding
 
 _CIRCUIT, _FROZEN, _MATCHED = X.start_weights(54), X.start_weights(54, restart=2), X.start_weights(56, restart=1, scale=0.5)
 _TURNS, _MATCHED_TURNS = X.start_weights(24, restart=1), X.start_weights(25, restart=2, scale=0.5)
@@ -150,17 +151,21 @@ ct AS MATERIALIZED (SELECT cg.*, te_id IS NOT NULL AS is_true FROM cg LEFT JOIN
 )
 
 
-def _decode_sql(n: int, mode: str) -> str:
+def _decode_sql(n: int, mode: str, beam: int | None = None) -> str:
     """The recursion of one mode: forwards with the best predecessor of each state, starting anew where no state is reached, then back from each stretch's best end."""
+    columns = "event_id, track_id, segment, step, edge, score, ptr, broken, anchor"
+    best = lambda rows: rows if beam is None else f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY track_id, segment ORDER BY round(score, 8) DESC, edge) AS place FROM ({rows})) WHERE place <= {beam}"
+    first = best(f"SELECT event_id, track_id, segment, step, edge, emit AS score, CAST(NULL AS BIGINT) AS ptr, false AS broken, step AS anchor FROM c{n} WHERE step = 1")
+    on = best(f"""SELECT event_id, track_id, segment, step, edge, CASE WHEN ok THEN val ELSE emit END AS score, CASE WHEN ok THEN ptr END AS ptr, NOT ok AS broken, CASE WHEN ok THEN anchor ELSE step END AS anchor FROM (
+    SELECT *, row_number() OVER (PARTITION BY track_id, segment, edge ORDER BY round(val, 8) DESC NULLS LAST, ptr) AS rn, bool_or(val IS NOT NULL) OVER (PARTITION BY track_id, segment) AS ok FROM (
+      SELECT c.*, w.edge AS ptr, w.anchor, w.score + lp + c.emit AS val FROM w{n} w JOIN c{n} c ON c.track_id = w.track_id AND c.segment = w.segment AND c.step = w.step + 1
+      LEFT JOIN r{n} r ON r.track_id = c.track_id AND r.segment = c.segment AND r.step = c.step AND r.ea = w.edge AND r.eb = c.edge)) WHERE rn = 1 AND (val IS NOT NULL OR NOT ok)""")
     return f"""c{n} AS MATERIALIZED (SELECT event_id, track_id, segment, step, edge, {_EMIT[mode]} AS emit FROM cg),
 r{n} AS MATERIALIZED (SELECT track_id, segment, step, ea, eb, ln(greatest(1e-9, least(1, base * {_FACTOR[mode]}))) AS lp FROM p1),
 w{n} AS (
-  SELECT event_id, track_id, segment, step, edge, emit AS score, CAST(NULL AS BIGINT) AS ptr, false AS broken, step AS anchor FROM c{n} WHERE step = 1
+  {first}
   UNION ALL
-  SELECT event_id, track_id, segment, step, edge, CASE WHEN ok THEN val ELSE emit END, CASE WHEN ok THEN ptr END, NOT ok, CASE WHEN ok THEN anchor ELSE step END FROM (
-    SELECT *, row_number() OVER (PARTITION BY track_id, segment, edge ORDER BY round(val, 8) DESC NULLS LAST, ptr) AS rn, bool_or(val IS NOT NULL) OVER (PARTITION BY track_id, segment) AS ok FROM (
-      SELECT c.*, w.edge AS ptr, w.anchor, w.score + lp + c.emit AS val FROM w{n} w JOIN c{n} c ON c.track_id = w.track_id AND c.segment = w.segment AND c.step = w.step + 1
-      LEFT JOIN r{n} r ON r.track_id = c.track_id AND r.segment = c.segment AND r.step = c.step AND r.ea = w.edge AND r.eb = c.edge)) WHERE rn = 1 AND (val IS NOT NULL OR NOT ok)),
+  {on}),
 v{n} AS MATERIALIZED (SELECT * FROM w{n}),
 e{n} AS (SELECT *, row_number() OVER (PARTITION BY track_id, segment, anchor ORDER BY step DESC, round(score, 8) DESC, edge) AS rn FROM v{n}),
 b{n} AS (
@@ -176,6 +181,20 @@ Q3M = tables.with_views(
 )
 
 
+def t4_resumed_decode(spark, sf):
+    """Every fix decoded with a beam of 30 as a stream of steps, in two runs: the second goes on from the states of the first."""
+    c = stored(steps(spark, sf), "steps")
+    every = stored(decoding.trellis_steps(c, _pairs(spark, sf, c)), "trellis-steps")
+    folder = shared_dir(spark, "resumed-decode")
+    for part in (F.col("step") % 3 > 0, F.col("step") % 3 == 0):
+        every.where(part).write.mode("append").parquet(f"{folder}/steps")
+        out = decoding.resume(spark, folder, beam=30)
+    return rounded(out, 4)
+
+
+T4 = tables.with_views(BASE_SQL + ", " + _decode_sql(1, "classical", 30) + " SELECT track_id, segment, event_id, edge, round(score, 4) AS score, broken FROM b1", "pings", "edges", "nodes")
+
+
 def q7_emissions(spark, sf):
     """The emissions of every candidate that have a closed form."""
     c = modes.emissions(stored(steps(spark, sf), "steps"), _models(), ["context", "matched", "product"])
@@ -247,5 +266,5 @@ SELECT u, v, k, w, k2, round({_network_sql(["t0", "t1", "t2", "t3"], _MATCHED_TU
 )
 
 PLANS = [
-    Plan(q3_viterbi, Q3), Plan(q3_sql_modes, Q3M, "q3_matched_modes"), Plan(q3_modes), Plan(q7_emissions, Q7), Plan(q8_confidence_dips, Q8), Plan(l2_transition_pairs, L2), Plan(m3_transition_circuit), Plan(m4_matched_turns, M4T),
+    Plan(q3_viterbi, Q3), Plan(q3_sql_modes, Q3M, "q3_matched_modes"), Plan(q3_modes), Plan(t4_resumed_decode, T4), Plan(q7_emissions, Q7), Plan(q8_confidence_dips, Q8), Plan(l2_transition_pairs, L2), Plan(m3_transition_circuit), Plan(m4_matched_turns, M4T),
 ]

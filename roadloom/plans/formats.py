@@ -103,7 +103,7 @@ def a10_json_array(spark, sf):
     return rounded(out.select("track_id", F.explode("steps").alias("s")).select("track_id", "s.step", "s.event_id", "s.x", "s.note"))
 
 
-A10J = tables.with_views("""SELECT track_id, CAST(step AS INT) AS step, event_id, round(obs_x, 6) AS x, '["' || state || '\"},{' AS note FROM truth""", "truth")
+A10J = tables.with_views(r'''SELECT track_id, CAST(step AS INT) AS step, event_id, round(obs_x, 6) AS x, '["' || state || '\"},{' AS note FROM truth''', "truth")
 
 
 def a11_weights(spark, sf):
