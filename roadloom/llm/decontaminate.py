@@ -10,8 +10,9 @@ document, by enough words that the benchmark has at all. No match can start anyw
 Words are equal when their bytes are: words are found by 64-bit hash and then compared with
 the benchmark's own bytes; benchmark words of one hash are told apart by them too.
 
-Benchmark items are read to the driver and broadcast in blocks of at most `block_bytes` of text (an item is never split); with more
-than one block the corpus passes each in turn, carrying its hits along, so memory is bounded for any benchmark.
+Benchmark items are read to the driver and broadcast in blocks of at most `block_bytes` of text (an item is never split). With more
+than one block the corpus is stored and passes each in turn; a block's finds are stored, and its broadcast is destroyed, before the next block
+is loaded, so memory and plans are those of one block for any benchmark.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; a null or wordless item
 has no window; a null item_id counts as empty text in the list of items; items that repeat an item_id
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import append, append_struct, chunks, text_or_empty, trim
+from roadloom.llm.common import append, append_struct, chunks, stored, text_or_empty, trim
 from roadloom.llm.words import ALNUM, LOWER, hashes, spans
 
 RESULTS = ["n_words", "n_hit", "items", "longest", "contaminated"]
@@ -305,17 +306,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
         return found.asNondeterministic()
 
     names = ["n_words", "hits", "items", "longest"]
-    out = None
-    for block in _blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(items_of(block, window))
-        own = [f"__{n}" for n in names]
-        if out is None:
-            out = append_struct(docs.withColumn("__text", text_or_empty()), searcher(held)(F.col("__text")), names)
-            out = out.withColumnsRenamed(dict(zip(names, own, strict=True)))
-        else:
-            nxt = append_struct(out, searcher(held)(F.col("__text")), names)
-            joined = F.array_sort(F.concat("__hits", "hits"))
-            out = nxt.withColumns({"__hits": joined, "__items": F.array_sort(F.array_union("__items", "items")), "__longest": F.concat("__longest", "longest")}).drop(*names)
+    own = dict(zip(names, [f"__{n}" for n in names], strict=True))
+    spark, blocks = docs.sparkSession, _blocks(benchmark, block_bytes)
+    block, nxt = next(blocks), next(blocks, None)
+    if nxt is None:
+        held = spark.sparkContext.broadcast(items_of(block, window))
+        out = append_struct(docs.withColumn("__text", text_or_empty()), searcher(held)(F.col("__text")), names).withColumnsRenamed(own)
+    else:
+        # Each block's finds are stored before the next block is loaded, so that one block at a time is on the executors, however many there are.
+        rows = stored(docs.withColumns({"__text": text_or_empty(), "__row": F.monotonically_increasing_id()}), "decontaminate-rows")
+        found = []
+        while block is not None:
+            held = spark.sparkContext.broadcast(items_of(block, window))
+            told = rows.select("__row", searcher(held)(F.col("__text")).alias("f")).select("__row", "f.*")
+            found.append(stored(told if not found else told.where(F.size("hits") > 0), "decontaminate-block"))
+            held.destroy()
+            block, nxt = nxt, next(blocks, None)
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        lists = [F.array_sort(F.flatten(F.collect_list("hits"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))), F.array_sort(F.flatten(F.collect_list("longest")))]
+        merged = every.groupBy("__row").agg(F.max("n_words").alias("__n_words"), *[c.alias(own[n]) for c, n in zip(lists, names[1:], strict=True)])
+        out = rows.join(merged, "__row").drop("__row")
     # Runs of several blocks may overlap: each counts what reaches past those before it.
     covered = F.aggregate(
         "__hits",

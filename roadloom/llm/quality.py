@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import append_struct, chunks, text_or_empty, trim
+from roadloom.llm.common import append_struct, chunks, stored, text_or_empty, trim
 from roadloom.llm.words import LOWER, NOT_SPACE, hashes, mix, ngrams, spans
 
 RESULTS = ["score"]
@@ -69,19 +69,25 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000
     """(weights, bias) from docs (doc_id, text) and labels (doc_id, quality)."""
     chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("q"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "q").limit(max_rows)
-    # max_rows ids at most, so they can be broadcast.
-    held = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    held = held.select(F.xxhash64(F.lit(7), "doc_id").alias("h"), "q", F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"), "text").orderBy("h", "q", "t").limit(max_rows)
-    # max_rows rows at most, so one window.
-    held = held.withColumn("n", F.sum("n").over(Window.orderBy("h", "q", "t").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("n") <= max_bytes)
+    # max_rows ids at most, so they can be broadcast. The bounds are drawn by sizes and hashes; only then do the texts within them move.
+    sized = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).withColumns({"h": F.xxhash64(F.lit(7), "doc_id"), "t": F.xxhash64("text")})
+    first = sized.select("h", "q", "t", F.octet_length("text").cast("long").alias("n")).orderBy("h", "q", "t").limit(max_rows)
+    first = first.withColumn("n", F.sum("n").over(Window.orderBy("h", "q", "t").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("n") <= max_bytes)
+    kept = stored(first.groupBy("h", "q", "t").agg(F.count("*").alias("times")), "quality-kept")
+    held = sized.join(F.broadcast(kept), ["h", "q", "t"]).select("h", "q", "t", "text", "times")
 
     def features(batches):
+        met = set()  # copies in one partition
         for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+            new = [i for i, k in enumerate(keys) if not (k in met or met.add(k))]
+            b = b.take(pa.array(new, pa.int64()))
             for i, j, buf, offs in chunks(b.column(3)):
                 rows = [(at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()) for _, at, x in _features(buf, offs, bits, again)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c)[i:j] for c in range(3)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["h", "q", "t", "at", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c)[i:j] for c in (0, 1, 2, 4)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["h", "q", "t", "times", "at", "x"])
 
-    rows = held.select("h", "q", "t", "text").mapInArrow(features, "h long, q int, t long, at binary, x binary").toPandas().sort_values(["h", "q", "t"], kind="stable")
+    rows = held.mapInArrow(features, "h long, q int, t long, times long, at binary, x binary").dropDuplicates(["h", "q", "t"]).toPandas().sort_values(["h", "q", "t"], kind="stable")
+    rows = rows.loc[rows.index.repeat(rows["times"])]
     model = Ftrl(1 << bits)
     for _ in range(epochs):
         for at, x, q in zip(rows["at"], rows["x"], rows["q"], strict=True):
