@@ -116,14 +116,13 @@ def wilcoxon(rows: DataFrame, gain: str, *by: str) -> DataFrame:
 
 
 def bootstrap_interval(rows: DataFrame, gain: str, *by: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % percentile bootstrap of the Hodges-Lehmann estimate, one group a task."""
+    """95 % percentile bootstrap of the Hodges-Lehmann estimate: a group's values, not its pairs, are in one task."""
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in by) + ", low double, high double"
 
     def resample(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf[gain].dropna().to_numpy(dtype=float))
-        i, j = np.triu_indices(len(x))
         rng = np.random.default_rng(seed)
-        est = [np.median((s[i] + s[j]) / 2) for s in (x[rng.integers(0, len(x), len(x))] for _ in range(draws))]
+        est = [walsh_median(x[rng.integers(0, len(x), len(x))]) for _ in range(draws)]
         return pd.DataFrame([[*key, *np.percentile(est, [2.5, 97.5])]], columns=[*by, "low", "high"])
 
     return rows.select(*by, gain).groupBy(*by).applyInPandas(resample, schema)

@@ -107,13 +107,21 @@ A10J = tables.with_views(r'''SELECT track_id, CAST(step AS INT) AS step, event_i
 
 
 def a11_weights(spark, sf):
-    """A model's weights stored and read back, checked for name and shape."""
+    """Weights stored and read back, checked for name and shape: a model for each quality state, its start weights scaled by the state's mean dilution."""
     path = shared_dir(spark, "weights")
-    files.write_weights(spark, path, "emission", X.start_weights(54), [2, 9, 3])
-    return rounded(spark.createDataFrame(list(enumerate(files.read_weights(spark, path, "emission", [2, 9, 3]))), "place int, weight double"))
-
-
-A11 = "SELECT CAST(i - 1 AS INT) AS place, round(0.05::DOUBLE * sin(2 * pi() * ((i * 0.6180339887498949::DOUBLE) - floor(i * 0.6180339887498949::DOUBLE))), 6) AS weight FROM range(1, 55) r(i)"
+    means = tables.pings(spark, sf).groupBy("quality_state").agg(F.avg("hdop").alias("m")).collect()  # a handful of states
+    found = []
+    for r in means:
+        files.write_weights(spark, f"{path}/{r[0]}", r[0], [w * r[1] for w in X.start_weights(54)], [2, 9, 3])
+        found += [(r[0], i, w) for i, w in enumerate(files.read_weights(spark, f"{path}/{r[0]}", r[0], [2, 9, 3]))]
+    return rounded(spark.createDataFrame(found, "quality_state string, place int, weight double"))
+
+
+A11 = tables.with_views(
+    """+ m AS (SELECT quality_state, avg(hdop) AS m FROM pings GROUP BY 1)
+SELECT quality_state, CAST(i - 1 AS INT) AS place, round(m * 0.05::DOUBLE * sin(2 * pi() * ((i * 0.6180339887498949::DOUBLE) - floor(i * 0.6180339887498949::DOUBLE))), 6) AS weight FROM m, range(1, 55) r(i)""",
+    "pings",
+)
 
 
 def k7_cases(spark, sf):
@@ -156,15 +164,17 @@ K8 = tables.with_views("SELECT track_id, count(*) AS fixes, CAST(track_id % 3 AS
 
 
 def a12_freshness(spark, sf):
-    """Whether an artifact is newer than all its sources."""
-    path = shared_dir(spark, "fresh")
-    spark.range(1).write.parquet(f"{path}/source")
-    spark.range(1).write.parquet(f"{path}/artifact")
-    spark.range(1).write.parquet(f"{path}/changed")
-    return spark.createDataFrame([(n, files.is_fresh(spark, f"{path}/artifact", [f"{path}/{n}"])) for n in ("source", "changed", "absent")], "source string, fresh boolean")
+    """Whether an artifact made from the tracks is newer than all its sources, and its rows, which only a fresh one gives."""
+    path, t = shared_dir(spark, "fresh"), tables.truth(spark, sf)
+    t.select("event_id", "track_id").write.parquet(f"{path}/source")
+    spark.read.parquet(f"{path}/source").groupBy("track_id").count().write.parquet(f"{path}/artifact")
+    t.select("event_id", "state").write.parquet(f"{path}/changed")
+    rows = spark.read.parquet(f"{path}/artifact").count()
+    told = [(n, files.is_fresh(spark, f"{path}/artifact", [f"{path}/{n}"])) for n in ("source", "changed", "absent")]
+    return spark.createDataFrame([(n, fresh, rows if fresh else None) for n, fresh in told], "source string, fresh boolean, rows long")
 
 
-A12 = "SELECT * FROM (VALUES ('source', true), ('changed', false), ('absent', false)) t(source, fresh)"
+A12 = tables.with_views("""SELECT source, fresh, CASE WHEN fresh THEN (SELECT count(DISTINCT track_id) FROM truth) END AS rows FROM (VALUES ('source', true), ('changed', false), ('absent', false)) t(source, fresh)""", "truth")
 
 PLANS = [
     Plan(a6_graphml, A6, "a6_a7_k1_graphml"), Plan(a8_trajectories, A8, "a8_a9_k2_trajectories"), Plan(a10_candidates, A10, "a10_b20_k3_candidates"), Plan(a4_geojson, A4, "a4_a5_k5_geojson"), Plan(a4_shapefile, A4S), Plan(a10_json_array, A10J), Plan(a11_weights, A11, "a11_k4_m10_weights"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import features as X
 from roadloom.functions import scalars as S
-from roadloom.operators import aggregates, circuits, geo, learners, scenario, sequence, training
+from roadloom.operators import aggregates, geo, learners, scenario, sequence, training
 from roadloom.plans import decoding
 from roadloom.plans.tools import Plan, rounded
 from roadloom.sources import tables
@@ -228,12 +228,7 @@ def m5_reservoir(spark, sf):
     return rounded(rows.select("u", "v", "k", "label", scored(F.get("sequence", F.lit(1))).alias("p")), 4)
 
 
-def g17_gradients(spark, sf):
-    """Variance of one weight's gradient by the size of the circuit, each size in a task of its own."""
-    return rounded(circuits.gradient_scan(spark, [2, 4, 6], [1, 2, 3], samples=20), 8)
-
-
 PLANS = [
     Plan(p1_split, P1), Plan(p2_sample, P2), Plan(p3_weighted_ranges, P3, "p3_p5_weighted_ranges"), Plan(p4_heldout_track, P4, "p4_s12_heldout_track"), Plan(w14_run_tracks, W14), Plan(u4_complement, U4), Plan(r8_walks, R8), Plan(q9_quality_states),
-    Plan(l1_ranking_pairs, L1), Plan(l1_l5_supervised, L5, "l5_supervised"), Plan(l4_threshold, L4), Plan(l3_ranker), Plan(l7_cases, None, "l6_l7_cases"), Plan(m5_reservoir), Plan(m6_networks), Plan(m7_kernels), Plan(g17_gradients, None, "g17_m11_gradients"),
+    Plan(l1_ranking_pairs, L1), Plan(l1_l5_supervised, L5, "l5_supervised"), Plan(l4_threshold, L4), Plan(l3_ranker), Plan(l7_cases, None, "l6_l7_cases"), Plan(m5_reservoir), Plan(m6_networks), Plan(m7_kernels),
 ]
