@@ -77,6 +77,17 @@ def examples(spark, sf):
     return training.supervised(stored(true_steps(spark, sf), "true-steps"), F.col("is_true"), "event_id")
 
 
+def j4_every_fix(spark, sf):
+    """Every fix decoded: also those before a track's first position, which could be on any edge."""
+    c = stored(steps(spark, sf), "steps")
+    path = decode.viterbi(c, _pairs(spark, sf, c), beam=None).join(c.select("event_id", "step").distinct(), "event_id")
+    p = sequence.boundaries(sequence.impute(tables.pings(spark, sf)))
+    at = sequence.Window.partitionBy("track_id", "segment").orderBy(*sequence.ORDER)
+    lost = p.withColumn("step", F.row_number().over(at)).where("eff_x is null or eff_y is null").select("track_id", "segment", "event_id", "step")
+    edges = tables.edges(spark, sf).select((F.col("u") * 1_000_000_000 + F.col("v") * 10 + F.col("k")).cast("long").alias("edge"), "u", "v")
+    return rounded(decode.with_leading(stored(path, "path"), stored(lost, "lost"), stored(edges, "edges")), 4)
+
+
 def learned_models(spark, sf):
     """The network, the kernel machine and the reservoir's head that the examples teach, as scorers of a feature array."""
     rows = stored(examples(spark, sf).select("features", "label", "group"), "examples")
@@ -174,6 +185,16 @@ b{n} AS (
 
 
 Q3 = tables.with_views(BASE_SQL + ", " + _decode_sql(1, "classical") + " SELECT track_id, segment, event_id, edge, round(score, 4) AS score, broken FROM b1", "pings", "edges", "nodes")
+# All edges are candidates of a fix without a position; steps from or to one go by nodes alone.
+_EVERY_SQL = (
+    IMPUTED_SQL
+    + _STEPS_SQL.replace("FROM g1 WHERE x IS NOT NULL)", "FROM g1)")
+    .replace("FROM g2 CROSS JOIN ed)", "FROM g2 CROSS JOIN ed WHERE x IS NOT NULL)")
+    .replace("FROM cf WHERE dist <= 60 OR (fb AND rank <= 10))", "FROM cf WHERE dist <= 60 OR (fb AND rank <= 10) UNION ALL SELECT g2.*, ed.*, NULL, NULL, NULL, NULL, NULL, ln(0.000001::DOUBLE) FROM g2 CROSS JOIN ed WHERE x IS NULL)")
+    .replace("CASE WHEN a.edge = b.edge THEN greatest(b.arc - a.arc, 0) ELSE", "CASE WHEN a.x IS NULL OR b.x IS NULL THEN CASE WHEN a.edge = b.edge THEN b.moved ELSE hop END WHEN a.edge = b.edge THEN greatest(b.arc - a.arc, 0) ELSE")
+    .replace("CASE WHEN a.edge = b.edge THEN exp(", "CASE WHEN a.edge = b.edge AND a.x IS NOT NULL AND b.x IS NOT NULL THEN exp(")
+)
+J4Q = tables.with_views(_EVERY_SQL + ", " + _decode_sql(1, "classical") + " SELECT track_id, segment, event_id, edge, round(score, 4) AS score, broken FROM b1", "pings", "edges", "nodes")
 Q3M = tables.with_views(
     BASE_SQL + ", " + _decode_sql(1, "hmm_extra") + ", " + _decode_sql(2, "classical_matched")
     + " SELECT 'hmm_extra' AS mode, track_id, segment, event_id, edge, round(score, 4) AS score, broken FROM b1 UNION ALL SELECT 'classical_matched', track_id, segment, event_id, edge, round(score, 4), broken FROM b2",
@@ -266,5 +287,5 @@ SELECT u, v, k, w, k2, round({_network_sql(["t0", "t1", "t2", "t3"], _MATCHED_TU
 )
 
 PLANS = [
-    Plan(q3_viterbi, Q3), Plan(q3_sql_modes, Q3M, "q3_matched_modes"), Plan(q3_modes), Plan(t4_resumed_decode, T4), Plan(q7_emissions, Q7), Plan(q8_confidence_dips, Q8), Plan(l2_transition_pairs, L2), Plan(m3_transition_circuit), Plan(m4_matched_turns, M4T),
+    Plan(q3_viterbi, Q3), Plan(q3_sql_modes, Q3M, "q3_matched_modes"), Plan(q3_modes), Plan(t4_resumed_decode, T4), Plan(j4_every_fix, J4Q), Plan(q7_emissions, Q7), Plan(q8_confidence_dips, Q8), Plan(l2_transition_pairs, L2), Plan(m3_transition_circuit), Plan(m4_matched_turns, M4T),
 ]

@@ -110,3 +110,40 @@ def test_a_crowded_cell_is_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert crowd > 1700 and most < crowd / 3
+
+
+def test_leading_fixes_without_a_position_are_decoded_as_over_all_edges(spark):
+    """The implicit any-edge state against a trellis that holds every edge, on a small network with ties, dead ends and a track that is never seen."""
+    rng = np.random.default_rng(9)
+    ends = [(int(u), int(v)) for u, v in rng.integers(0, 9, (24, 2)) if u != v]
+    edges = [(10 * i + 7, u, v) for i, (u, v) in enumerate(ends)]
+    links = [(u, v, 50.0) for u, v in ends]
+    hop = {n: dijkstra(links, n) for n in range(9)}
+    lost, cands, pairs, every, joined = [], [], [], [], []
+    for track, (dark, light) in enumerate([(3, 4), (1, 2), (0, 3), (2, 0), (4, 3)]):
+        before: list = []
+        for s in range(1, dark + light + 1):
+            if s <= dark:
+                own = [(e, decode.ANY_EDGE) for e, _, _ in edges]
+                lost.append((track, 1, 100 * track + s, s))
+            else:
+                own = [(int(e), float(-rng.random())) for e in sorted(rng.choice([e for e, _, _ in edges], 4, replace=False))]
+                cands += [(track, 1, s, 100 * track + s, e, x) for e, x in own]
+            every += [(track, 1, s, 100 * track + s, e, x) for e, x in own]
+            for a, _ in before:
+                for b, _ in own:
+                    (_, _, v), (_, u, _) = (next(x for x in edges if x[0] == e) for e in (a, b))
+                    if s <= dark + 1:
+                        p = 1.0 if a == b else math.exp(-hop[v][u] / 50) if u in hop[v] else 0.0
+                    else:
+                        p = 0.0 if (track, s) == (4, 6) else float(rng.random())  # the last track breaks once
+                        pairs.append((track, 1, s, a, b, p))
+                    joined.append((track, 1, s, a, b, p))
+            before = own
+    step, pair = "track_id long, segment long, step int, event_id long, edge long, emit double", "track_id long, segment long, step int, edge_a long, edge_b long, potential double"
+    seen = spark.createDataFrame(cands, step)
+    path = decode.viterbi(seen, spark.createDataFrame(pairs, pair), beam=None).join(seen.select("event_id", "step").distinct(), "event_id")
+    got = decode.with_leading(path, spark.createDataFrame(lost, "track_id long, segment long, event_id long, step int"), spark.createDataFrame(edges, "edge long, u long, v long"))
+    want = decode.viterbi(spark.createDataFrame(every, step), spark.createDataFrame(joined, pair), beam=None)
+    rows = lambda df: sorted((r.track_id, r.event_id, r.edge, round(r.score, 6), r.broken) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 22 and any(r[4] for r in rows(got))
