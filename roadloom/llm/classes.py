@@ -20,9 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     while before["n"]:
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = stored(with_fact(sym, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        large = stored(with_fact(sym, least, "u", "n", 2 * before["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
         small = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
-        pairs = with_fact(large, small, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = with_fact(large, small, "u", "n", 2 * before["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(pairs.union(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
         after = mark(e)
         if after == before:

@@ -50,15 +50,15 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def with_fact(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
-    """rows joined with the one fact of their key; `count` says how many rows a fact has.
+def with_fact(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """rows joined with the one fact of their key; `count` says how many rows a fact has. facts are stored.
 
     Keys with more than a 1024th of all rows are at most 1023, whatever the table: their facts are broadcast, so that their
-    rows stay where they are. The others are joined by a shuffle.
+    rows stay where they are. The others are joined by a shuffle. total: of all rows, or more, where that is known.
     """
-    total = facts.agg(F.sum(count)).first()[0] or 0
+    total = (facts.agg(F.sum(count)).first()[0] or 0) if total is None else total
     often = F.col(count) * 1024 > total
-    hot = F.broadcast(stored(facts.where(often), "hot-facts"))
+    hot = F.broadcast(facts.where(often))
     rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~often), key)
     return rest.unionByName(rows.join(hot, key))
 

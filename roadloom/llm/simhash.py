@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-nodes")
     classes = components(links(nodes, radius, bucket))
     placed = stored(nodes.join(classes, nodes["fp"] == classes["id"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "simhash-classes")
-    of_class = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    of_class = stored(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "simhash-ids")
     named = stored(with_fact(placed, of_class, "root", "nodes"), "simhash-named").select("fp", "copies", "component_id")
     found = with_fact(rows, named, "fp", "copies")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
