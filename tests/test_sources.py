@@ -106,3 +106,17 @@ def test_profiles_and_thresholds(spark, tmp_path):
     assert [tuple(r) for r in files.read_thresholds(spark, f"{tmp_path}/t", ["north"]).collect()] == [("north", 0.25)]
     with pytest.raises(FileNotFoundError, match="south"):
         files.read_thresholds(spark, f"{tmp_path}/t", ["north", "south"])
+
+
+def test_graphml_of_many_parts_keeps_every_element(spark, tmp_path):
+    """Only the first part has a header, and only the last one an end: none but a single part is a document of its own."""
+    def element(i):
+        return f'<node id="{i}"><data key="n0">{i}.5</data></node>' if i < 40 else f'<edge source="{i - 40}" target="{i - 39}" id="0"><data key="e0">A &amp;lt; {i}</data></edge>'
+
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="n0" for="node" attr.name="x" attr.type="string"/><key id="e0" for="edge" attr.name="name" attr.type="string"/><graph edgedefault="directed">'
+    lines = [head, *map(element, range(70)), "</graph></graphml>"]
+    for part, at in enumerate(range(0, len(lines), 18)):
+        (tmp_path / f"part-{part}.txt").write_text("\n".join(lines[at : at + 18]) + "\n")
+    nodes, edges = files.read_graphml(spark, f"file://{tmp_path}")
+    assert sorted((r.node_id, r.x) for r in nodes.collect()) == sorted((str(i), f"{i}.5") for i in range(40))
+    assert sorted((r.u, r.v, r.name) for r in edges.collect()) == sorted((str(i), str(i + 1), f"A &lt; {i + 40}") for i in range(30))
