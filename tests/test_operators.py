@@ -23,6 +23,12 @@ def test_flags_as_the_two_spellings_have_them(spark):
     assert [got[i][0] for i in range(len(texts))] == want and [i for i in range(len(texts)) if got[i][1] != want[i]] == [3, 4]
 
 
+def test_node_ids_of_many_digits(spark):
+    texts = ["123", "123.0", " 7.00 ", "007", "1e3", "1.5", "4000000000000012.0", "9007199254740993", "9007199254740993.0", "n1", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.node_id(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == ["123", "123", "7", "7", "1000", "1.5", "4000000000000012", "9007199254740993", "9007199254740993", "n1", None]
+
+
 def filled(rows):
     """One track, fix by fix: the rule as it is told."""
     out = []
