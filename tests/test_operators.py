@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import features as X
 from roadloom.functions import scalars as S
 from roadloom.operators import aggregates, circuits, decode, fusion, geo, graph, learners, levels, modes, scenario, sequence, stats, training, validation
+from roadloom.operators.fuzzy import best_match
 from roadloom.sources import files, paths
 
 FIX = "track_id long, event_id long, t_s double, obs_x double, obs_y double"
@@ -29,6 +30,14 @@ def test_node_ids_of_many_digits(spark):
     assert [r.n for r in rows] == ["123", "123", "7", "7", "1000", "1.5", "4000000000000012", "9007199254740993", "9007199254740993", "n1", None]
 
 
+def test_scores_that_differ_in_last_bits_are_ties(spark):
+    rows = spark.createDataFrame([(1, 10, 0.3, 0.0, 0.2), (1, 11, 0.1 + 0.2, 0.0, 0.2), (2, 20, 0.3, 1e-13, 0.2), (2, 21, 0.3, 0.0, 0.2), (3, 30, 0.3, 5.0, 0.2), (3, 31, 0.4, 5.0, 0.2)], "e int, r int, o double, apart double, n double")
+    assert 0.1 + 0.2 > 0.3
+    parts = {"overlap": F.col("o"), "distance": F.lit(0.0), "name": F.col("n"), "direction": F.lit(0.0), "subtype": F.lit(0.0)}
+    got = best_match(rows, parts, "e", "r", F.col("apart")).collect()
+    assert sorted((r.e, r.r) for r in got) == [(1, 10), (2, 20), (3, 31)]
+
+
 def filled(rows):
     """One track, fix by fix: the rule as it is told."""
     out = []
