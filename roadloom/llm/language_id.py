@@ -139,6 +139,15 @@ def _foreign(m: CentroidModel, lang: int, v: np.ndarray, cos: float) -> bool:
     return bool(cos < m.limits[lang, max(len(at), 1).bit_length() - 1] or np.square(v[at][m.known[lang, at]]).sum() < 0.125)
 
 
+def _dense(v: bytes, places: bytes, sizes: bytes, dims: int, first: int | None = None) -> np.ndarray:
+    """The vectors of a text and its pieces, or the first few of them, in an array of no more rows than that."""
+    n = np.frombuffer(sizes, np.uint32)[:first]
+    held = int(n.sum())
+    out = np.zeros((len(n), dims), np.float32)
+    out[np.repeat(np.arange(len(n)), n), np.frombuffer(places, np.uint32)[:held]] = np.frombuffer(v, np.float32)[:held]
+    return out
+
+
 def fit(labelled: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lang: int = 500, reject_share: float = 0.25) -> CentroidModel:
     """Learns from columns text and lang.
 
@@ -189,21 +198,15 @@ def fit(labelled: DataFrame, dims: int = 4096, clusters: int = 4, sample_per_lan
     for r in sample.mapInArrow(vectors, "lang string, h long, sizes binary, places binary, v binary").dropDuplicates(["lang", "h"]).toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((bytes(r["v"]), bytes(r["places"]), bytes(r["sizes"])))
 
-    def dense(v: bytes, places: bytes, sizes: bytes) -> np.ndarray:
-        n = np.frombuffer(sizes, np.uint32)
-        out = np.zeros((len(n), dims), np.float32)
-        out[np.repeat(np.arange(len(n)), n), np.frombuffer(places, np.uint32)] = np.frombuffer(v, np.float32)
-        return out
-
     langs, of, cs, limits, known = sorted(by_lang), [], [], [], []
     for k, lang in enumerate(langs):
         packed = sorted(by_lang[lang])
-        x = np.stack([dense(*p)[0] for p in packed])
+        x = np.concatenate([_dense(*p, dims, first=1) for p in packed])  # without the pieces: theirs are made one text at a time
         c, own = _kmeans(x, clusters)
         of += [k] * len(c)
         cs += list(c)
         known.append((x > 0).any(axis=0))
-        limits.append(_limits(x, (dense(*p) for p in packed), c, own, reject_share))
+        limits.append(_limits(x, (_dense(*p, dims) for p in packed), c, own, reject_share))
     return CentroidModel(langs, np.array(of), np.stack(cs).T.astype(np.float32), np.array(limits), np.array(known), idf)
 
 

@@ -120,3 +120,11 @@ def test_bounds_are_drawn_before_texts_move(spark):
     few, _ = quality.fit(docs, labels, bits=10, max_bytes=12_000)
     none, bias = quality.fit(docs, labels, bits=10, max_bytes=10)
     assert np.count_nonzero(few) > 0 and not none.any() and bias == 0.0
+
+
+def test_the_first_vector_of_a_text_holds_no_memory_of_its_pieces():
+    sizes, places, v = np.array([2, 1, 3], np.uint32), np.array([1, 5, 0, 2, 3, 4], np.uint32), np.arange(1, 7, dtype=np.float32)
+    packed = (v.tobytes(), places.tobytes(), sizes.tobytes())
+    whole, first = language_id._dense(*packed, 8), language_id._dense(*packed, 8, first=1)
+    assert whole.shape == (3, 8) and first.base is None and first.nbytes == 8 * 4
+    assert (whole[0] == first[0]).all() and whole[2].tolist() == [0, 0, 4, 5, 6, 0, 0, 0]
