@@ -9,7 +9,7 @@ place (rising, level, falling). Its integral gives the cumulative demand D(t) =
 documents follow one another in an order by hash, pass after pass; the word at which
 a document starts, put through the inverse of D, is its training position. Taking stops where the demand
 is met: the document at the boundary gives only the words still wanted. Documents range-sorted
-by position are the training order.
+by position are the training order: `schedule` gives each once, `training_order` once for every pass.
 
 Running sums are over cells of a source (by the leading digits of the hash, an MD5 of id and size), whose number grows with the rows, so a source with any share
 of the rows is never one group. Only DataFrame functions are used.
@@ -103,5 +103,17 @@ def training_order(docs: DataFrame, partitions: int | None = None, **options) ->
     mixed = mix(docs.withColumns({v: docs[f"`{c}`"] for c, v in renamed.items()}), **options)
     cols = [F.col(f"`{renamed[c]}`").alias(c) if c in renamed else F.col(f"`{c}`") for c in docs.columns]
     each = mixed.select(*cols, F.explode("passes").alias("__p")).withColumns({"__pos": F.col("__p.position"), "__pass": F.col("__p.pass")})
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartitionByRange(n, "__pos", "doc_id", "__pass").sortWithinPartitions("__pos", "doc_id", "__pass").select(*docs.columns)
+    return by_position(each, "__pos", "doc_id", "__pass", partitions=partitions).select(*docs.columns)
+
+
+def by_position(rows: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    """Rows range-sorted by position and what tells those of one position apart; rows without a position come last."""
+    by = [F.asc_nulls_last(c) for c in order]
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+
+
+def schedule(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and position of every document in training order: range-sorted by the position of its first pass, what nothing is taken of last."""
+    mixed = mix(docs, **options).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+    return by_position(mixed, "position", "doc_id", "size")

@@ -280,6 +280,14 @@ def test_chat_parts(spark):
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss] == ["see <\\|im_end|>"]
 
 
+def test_mixing_gives_documents_in_training_order(spark):
+    from roadloom.llm import queries
+
+    rows = queries.queries()["op8_mixing"](spark, "/root/testdata/sf0.001").collect()
+    places = [(r.position is None, r.position or 0.0) for r in rows]
+    assert places == sorted(places) and len({p for _, p in places}) > 10
+
+
 def test_mixing(spark):
     mixed = by_id(mixing.mix(table(spark, "Target")))
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in ROWS}
