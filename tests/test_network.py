@@ -147,3 +147,34 @@ def test_leading_fixes_without_a_position_are_decoded_as_over_all_edges(spark):
     want = decode.viterbi(spark.createDataFrame(every, step), spark.createDataFrame(joined, pair), beam=None)
     rows = lambda df: sorted((r.track_id, r.event_id, r.edge, round(r.score, 6), r.broken) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) == 22 and any(r[4] for r in rows(got))
+
+
+def test_pairs_made_step_by_step_decode_to_the_same_rows(spark, monkeypatch):
+    import random
+
+    r, rows = random.Random(4), []
+    for track in range(6):
+        for step in range(1, 9):
+            if (track, step) == (3, 5):
+                continue  # a step without any candidate
+            place, moved, trust = (r.random() * 50, r.random() * 50), r.random() * 40, r.random()  # of the fix
+            for edge in sorted(r.sample(range(12), r.randint(1, 5))):
+                rows.append((track, track % 2, step, 100 * track + step, edge, r.uniform(-5, 0), edge % 4, edge % 5, r.random() * 50, 50.0, *place, 0.6, 0.8, moved, trust))
+    cands = spark.createDataFrame(rows, "track_id long, segment long, step int, event_id long, edge long, emit double, u long, v long, arc double, line_length double, ox double, oy double, tx double, ty double, moved double, reliability double")
+    hops = spark.createDataFrame([(s, t, 10.0 * (s + t)) for s in range(5) for t in range(4) if (s * 3 + t) % 4], "src long, dst long, dist double")
+    for beam in (None, 2):
+        want = sorted(tuple(x) for x in decode.viterbi(cands, decode.pair_potentials(cands, hops), beam).collect())
+        assert len(want) == 47 and any(x.broken for x in decode.viterbi_by_step(cands, hops, beam).collect())
+        assert sorted(tuple(x) for x in decode.viterbi_by_step(cands, hops, beam).collect()) == want
+        with monkeypatch.context() as m:
+            m.setattr(decode, "MOST_HOPS", 0)
+            assert sorted(tuple(x) for x in decode.viterbi_by_step(cands, hops, beam).collect()) == want
+    plan = decode.pairs_by_step(cands, hops)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # candidates move once, pairs never
+
+
+def test_tangents_in_steps(spark):
+    lines = spark.sql("select array(named_struct('x', 0d, 'y', 0d), named_struct('x', 30d, 'y', 40d)) points union all select array(named_struct('x', 0d, 'y', 0d), named_struct('x', 10d, 'y', 0d), named_struct('x', 10d, 'y', 10d)) union all select array(named_struct('x', 1d, 'y', 1d), named_struct('x', 1d, 'y', 1d))")
+    rows = lines.withColumn("n", geo.line_length(F.col("points"))).withColumn("arc", F.explode(F.array(*[F.lit(x) for x in (0.0, 9.8, 10.0, 15.0, 50.0)])))
+    got = geo.with_tangent(rows, "points", "arc", "n").withColumn("t", geo.tangent(F.col("points"), F.col("arc"), F.col("n"))).collect()
+    assert len(got) == 15 and all((g.tx is None and g.t.tx is None and g.ty is None) or (g.tx == pytest.approx(g.t.tx) and g.ty == pytest.approx(g.t.ty)) for g in got)
