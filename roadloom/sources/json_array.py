@@ -54,7 +54,7 @@ def crossed(data: bytes, state: int) -> tuple[int, int]:
 
 
 class Marks:
-    """Marks of a file from an offset on: (offset, mark, depth before it), texts as a whole; more of the file is read as it is asked for."""
+    """Marks of a file from an offset on: (offset, mark, depth before it), texts as a whole; more of the file is read as it is asked for, twice as much each time."""
 
     def __init__(self, f, start: int, end: int, state: int, depth: int, more: int = 1 << 20):
         self.f, self.base, self.depth, self.more = f, start, depth, more
@@ -67,6 +67,7 @@ class Marks:
     def _grow(self) -> bool:
         new = self.f.read_at(min(self.more, self.size - self.base - len(self.data)), self.base + len(self.data))
         self.data += new
+        self.more = max(self.more, min(2 * self.more, 1 << 20))
         return bool(new)
 
     def __iter__(self) -> Iterator[tuple[int, bytes, int]]:
@@ -131,9 +132,10 @@ def read(spark: SparkSession, path: str, schema: str, member: str | None = None,
     found = [info] if info.type == fs.FileType.File else [i for i in where.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
     slices = [(f.path, a, min(a + slice_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) for a in range(0, f.size, slice_bytes)]
     uri = path
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def run(todo: list[tuple], columns: str, work, out: str) -> DataFrame:
-        """work(open file, *row) for each row, a row a task."""
+        """work(open file, *row) for each row; neighbours share a task where there are more rows than `tasks`."""
         names = [c.split(" ")[0] for c in out.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -154,7 +156,7 @@ def read(spark: SparkSession, path: str, schema: str, member: str | None = None,
             columns = zip(*rows) if rows else [[] for _ in names]
             return pa.RecordBatch.from_arrays([pa.array(c, kinds[k.split(" ")[1]]) for c, k in zip(columns, out.split(", "))], names)
 
-        todo_df = spark.createDataFrame(todo, columns).repartitionByRange(max(len(todo), 1), "file", "a") if todo else spark.createDataFrame([], columns)
+        todo_df = spark.createDataFrame(todo, columns).repartitionByRange(min(len(todo), tasks), "file", "a") if todo else spark.createDataFrame([], columns)
         return todo_df.mapInArrow(each, out)
 
     def cross(f, _, a, b):
@@ -182,7 +184,7 @@ def read(spark: SparkSession, path: str, schema: str, member: str | None = None,
     wanted = [(*e, starts[e[0]]) for e in entry.values() if e[0] in starts and e[2] >= starts[e[0]]]
 
     def parse(f, _, a, b, state, depth, first):
-        for at, text in elements(Marks(f, a, b, state, depth), first, a, b, inner):
+        for at, text in elements(Marks(f, a, b, state, depth, b - a), first, a, b, inner):
             yield at, text.decode()
 
     rows = run(wanted, "file string, a long, b long, state int, depth long, first long", parse, "file string, at long, element string")

@@ -120,3 +120,23 @@ def test_graphml_of_many_parts_keeps_every_element(spark, tmp_path):
     nodes, edges = files.read_graphml(spark, f"file://{tmp_path}")
     assert sorted((r.node_id, r.x) for r in nodes.collect()) == sorted((str(i), f"{i}.5") for i in range(40))
     assert sorted((r.u, r.v, r.name) for r in edges.collect()) == sorted((str(i), str(i + 1), f"A &lt; {i + 40}") for i in range(30))
+
+
+def test_small_slices_of_a_json_array_read_little_and_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[" + ",".join(json.dumps({"i": i, "t": "x" * 60}) for i in range(4000)) + "]")
+    rows = json_array.read(spark, f"file://{tmp_path}/a.json", "i long, t string", slice_bytes=256)
+    assert sorted(r.i for r in rows.select("i").collect()) == list(range(4000))
+    assert rows.rdd.getNumPartitions() <= max(4, 4 * spark.sparkContext.defaultParallelism)
+
+    class File:
+        data, read = (tmp_path / "a.json").read_bytes(), 0
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            File.read += len(self.data[at : at + n])
+            return self.data[at : at + n]
+
+    marks = json_array.Marks(File(), 1, 257, json_array.OUTSIDE, 1, 256)
+    assert len(list(json_array.elements(marks, 1, 0, 257, 1))) == 4 and File.read <= 1024
