@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.operators import decode, geo, graph, hubs
+from roadloom.operators import decode, geo, graph, hubs, training
 from roadloom.plans import decoding
 from roadloom.sources.shared import stored
 
@@ -178,3 +178,36 @@ def test_tangents_in_steps(spark):
     rows = lines.withColumn("n", geo.line_length(F.col("points"))).withColumn("arc", F.explode(F.array(*[F.lit(x) for x in (0.0, 9.8, 10.0, 15.0, 50.0)])))
     got = geo.with_tangent(rows, "points", "arc", "n").withColumn("t", geo.tangent(F.col("points"), F.col("arc"), F.col("n"))).collect()
     assert len(got) == 15 and all((g.tx is None and g.t.tx is None and g.ty is None) or (g.tx == pytest.approx(g.t.tx) and g.ty == pytest.approx(g.t.ty)) for g in got)
+
+
+def test_candidates_stay_beside_their_fix(spark):
+    """Bent edges, parallel ones and repeated fixes against brute force; and of the candidates none is sorted, windowed or shuffled: only fixes and pieces are."""
+    lines = [(i, i + 1, k, [(40.0 * i, 0.0), (40.0 * i + 20, 15.0 * (i % 3)), (40.0 * i + 40, 0.0)]) for i in range(20) for k in (0, 1)]
+    pieces = geo.segments(spark.createDataFrame(lines, "u long, v long, k int, points array<struct<x:double,y:double>>"))
+    fixes = spark.range(400).selectExpr("id div 2 as event_id", "(id div 2) * 4.0D + 0.5D as obs_x", "cast((id div 2) % 90 as double) as obs_y")
+    own = pieces.collect()
+
+    def apart(x, y, p):
+        t = max(0, min(1, ((x - p.x0) * (p.x1 - p.x0) + (y - p.y0) * (p.y1 - p.y0)) / ((p.x1 - p.x0) ** 2 + (p.y1 - p.y0) ** 2)))
+        return math.sqrt((x - p.x0 - t * (p.x1 - p.x0)) ** 2 + (y - p.y0 - t * (p.y1 - p.y0)) ** 2)
+
+    lists = geo.near_lists(fixes, pieces.withColumn("name", F.concat("u", "k")), busy=50, carry=("name",))
+    got = {r.event_id: [(n.u, n.v, n.k, n.name) for n in r.near] for r in lists.collect()}
+    assert lists.count() == len(got) == 200
+    for r in fixes.distinct().collect():
+        best = {}
+        for p in own:
+            best[p.u, p.v, p.k] = min(best.get((p.u, p.v, p.k), math.inf), apart(r.obs_x, r.obs_y, p))
+        want = sorted((dist, *e) for e, dist in best.items() if dist <= 60)
+        assert got[r.event_id] == [(*e, f"{e[0]}{e[2]}") for _, *e in want]
+    plan = geo.range_join(fixes, pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RepartitionByExpression") and "Window" not in plan[: plan.index("MapInArrow")]
+
+
+def test_pairs_and_examples_of_lists_are_those_of_rows(spark):
+    rows = [(e, e % 3, u, u + 1, 0, float((u * 7 + e) % 5), [float(u), float(e)], u == e % 6) for e in range(30) for u in range(1, 6 + e % 3)]
+    cands = spark.createDataFrame(rows, "event_id long, track_id long, u long, v long, k int, dist double, f array<double>, is_true boolean")
+    lists = cands.groupBy("event_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("dist", "u", "v", "k", "f", "is_true"))).alias("near"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 0
+    assert same(training.ranking_pairs_of(lists, "event_id"), training.ranking_pairs(cands, F.col("is_true"), "event_id"))
+    assert same(training.supervised_of(lists, "event_id", lambda n: n["f"]), training.supervised(cands, F.col("is_true"), "event_id"))
