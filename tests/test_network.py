@@ -211,3 +211,9 @@ def test_pairs_and_examples_of_lists_are_those_of_rows(spark):
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 0
     assert same(training.ranking_pairs_of(lists, "event_id"), training.ranking_pairs(cands, F.col("is_true"), "event_id"))
     assert same(training.supervised_of(lists, "event_id", lambda n: n["f"]), training.supervised(cands, F.col("is_true"), "event_id"))
+
+
+def test_pairs_of_nodes_from_some_candidates_only(spark):
+    cands = spark.createDataFrame([(1, 1, s, e, e, e + 10, e == s) for s in (1, 2) for e in range(3)], "track_id long, segment long, step int, edge long, u long, v long, is_true boolean")
+    got = {tuple(r) for r in decode.node_pairs(cands, cands.where("is_true")).collect()}
+    assert got == {(11, 0), (11, 1), (11, 2)} and len(decode.node_pairs(cands).collect()) == 9
