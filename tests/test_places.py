@@ -173,3 +173,17 @@ def test_filter_without_a_network_or_fixes(spark):
     roads, turns = spark.createDataFrame(network(5), PIECES), spark.createDataFrame([(0, 0, 1.0)], "from_level int, to_level int, p double")
     assert levels.kalman_levels(fixes, roads.where("u < 0"), turns).count() == 0
     assert levels.kalman_levels(fixes.where("event_id < 0"), roads, turns).count() == 0
+
+
+def test_a_cell_of_roads_is_gathered_once():
+    """Many states pass a cell: what is near it is kept, and the rows are those of measuring every piece."""
+    rng = np.random.default_rng(3)
+    a = rng.random((200, 2)) * 600
+    b = a + rng.random((200, 2)) * 40
+    p = pd.DataFrame({"u": np.arange(200) // 2, "v": 0, "k": 0, "x0": a[:, 0], "y0": a[:, 1], "x1": b[:, 0], "y1": b[:, 1], "level": 0, "below": False})
+    roads = levels.Roads(p, 60.0)
+    for x, y in rng.random((300, 2)) * 600:
+        got, every = roads.within(x, y), roads.nearest(x, y, 200)
+        near = every[1] <= 60
+        assert (got is None) == (not near.any()) and (got is None or got[0].tolist() == every[0][near].tolist())
+    assert 0 < len(roads.around) <= 100
