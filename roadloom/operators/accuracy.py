@@ -13,32 +13,31 @@ from roadloom.operators.aggregates import interval95, with_percentiles
 LEVEL_SPACING = 4.5
 
 
-def candidate_support(cands: DataFrame, truth: DataFrame, radius: float = 60.0) -> DataFrame:
-    """event_id and what the candidates of each true fix offer: count, whether the true edge is among them, within the radius, by fallback only, or there is no position at all.
+def candidate_support(lists: DataFrame, radius: float = 60.0) -> DataFrame:
+    """lists and what the candidates of each fix offer: count, whether the true edge is among them, within the radius, by fallback only, or there is no position at all.
 
-    cands: event_id, u, v, k, dist; truth: event_id, tu, tv, tk, localised, true_dist (of the true edge; null without one). One row for each row of truth.
+    lists: one row a fix, with tu, tv, tk (null without a true edge), localised, true_dist, and `near`: its candidates by distance, as an array of dist, u, v, k (null without a position).
     """
-    each = cands.groupBy("event_id").agg(F.count("*").alias("n"), F.min("dist").alias("nearest"))
-    hit = truth.join(cands.select("event_id", F.col("u").alias("tu"), F.col("v").alias("tv"), F.col("k").alias("tk")), ["event_id", "tu", "tv", "tk"], "left_semi").select("event_id", F.lit(True).alias("hit"))
-    held = truth.join(each, "event_id", "left").join(hit, "event_id", "left")
-    return held.withColumns(
+    hit = F.exists("near", lambda n: (n["u"] == F.col("tu")) & (n["v"] == F.col("tv")) & (n["k"] == F.col("tk")))
+    count = F.when(F.col("near").isNull(), 0).otherwise(F.size("near"))
+    return lists.withColumns(
         {
-            "candidate_count": F.coalesce("n", F.lit(0)), "candidate_contains_true": F.coalesce("hit", F.lit(False)), "strict_radius_contains_true": F.coalesce(F.col("localised") & (F.col("true_dist") <= radius), F.lit(False)),
-            "candidate_fallback_used": F.coalesce(F.col("localised") & (F.col("nearest") > radius), F.lit(False)), "candidate_unlocalized": ~F.col("localised"),
+            "candidate_count": count.cast("long"), "candidate_contains_true": F.coalesce(hit, F.lit(False)), "strict_radius_contains_true": F.coalesce(F.col("localised") & (F.col("true_dist") <= radius), F.lit(False)),
+            "candidate_fallback_used": F.coalesce(F.col("localised") & (F.get("near", F.lit(0))["dist"] > radius), F.lit(False)), "candidate_unlocalized": ~F.col("localised"),
         }
-    ).drop("n", "hit")
+    )
 
 
-def per_fix(path: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:
+def per_fix(path: DataFrame) -> DataFrame:
     """One row for each decoded fix that has a true edge: exact, reverse, physical, adjacent and level matches.
 
-    path: event_id, u, v, k; truth: event_id, tu, tv, tk and what to carry along; edges: u, v, k, layer, tunnel.
+    path: u, v, k, layer and tunnel of the decoded edge, those of the true one as tu, tv, tk, tlayer, ttunnel, and what to carry along.
     """
-    side = lambda p, u, v, k: edges.select(F.col("u").alias(u), F.col("v").alias(v), F.col("k").alias(k), F.coalesce("layer", F.lit(0)).alias(f"{p}_layer"), (F.col("tunnel") == 1).alias(f"{p}_tunnel"))
-    held = path.join(truth.where("tu is not null"), "event_id").where("u is not null")
-    held = held.join(side("matched", "u", "v", "k"), ["u", "v", "k"], "left").join(side("true", "tu", "tv", "tk"), ["tu", "tv", "tk"], "left")
+    held = path.where("u is not null and tu is not null")
+    for side, layer, tunnel in (("matched", "layer", "tunnel"), ("true", "tlayer", "ttunnel")):
+        held = held.withColumns({f"{side}_layer": F.coalesce(layer, F.lit(0)), f"{side}_tunnel": F.col(tunnel) == 1})
     kinds = graph.match_class(tuple(F.col(c) for c in "uvk"), tuple(F.col(c) for c in ("tu", "tv", "tk")))
-    held = held.withColumns(kinds)
+    held = held.drop("layer", "tunnel", "tlayer", "ttunnel").withColumns(kinds)
     return held.withColumns({"adjacent_nonexact": F.col("relaxed") & ~F.col("physical"), "layer_match": F.col("matched_layer") == F.col("true_layer"), "tunnel_wrong": F.col("matched_tunnel") != F.col("true_tunnel")})
 
 
@@ -96,11 +95,9 @@ def audit(pairs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_diagnostics(fixes: DataFrame, cands: DataFrame, nearest: Column) -> DataFrame:
-    """Fixes, those without candidates, neighbouring pairs that both have some, and the spread of the distance to the nearest line. fixes: event_id, place (their order), and what `nearest` needs."""
-    n = cands.groupBy("event_id").agg(F.count("*").alias("n"))
-    held = fixes.join(n, "event_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "near": nearest})
-    held = held.withColumn("before", F.lag("n").over(Window.partitionBy("track_id").orderBy("place")))
+def candidate_diagnostics(fixes: DataFrame) -> DataFrame:
+    """Fixes, those without candidates, neighbouring pairs that both have some, and the spread of the distance to the nearest line. fixes: track_id, place (their order), n (candidates) and near (that distance)."""
+    held = fixes.withColumn("before", F.lag("n").over(Window.partitionBy("track_id").orderBy("place")))
     summary = held.agg(
         F.count("*").alias("pings"), F.count_if(F.col("n") == 0).alias("empty_pings"), F.count_if((F.col("n") > 0) & (F.col("before") > 0)).alias("valid_pairs"), F.min("near").alias("nearest_min"), F.max("near").alias("nearest_max")
     )

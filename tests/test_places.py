@@ -187,3 +187,28 @@ def test_a_cell_of_roads_is_gathered_once():
         near = every[1] <= 60
         assert (got is None) == (not near.any()) and (got is None or got[0].tolist() == every[0][near].tolist())
     assert 0 < len(roads.around) <= 100
+
+
+def test_support_and_run_rates_make_no_rows_of_candidates(spark, monkeypatch):
+    from pathlib import Path
+
+    from roadloom.plans import scoring
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("tables are not here")
+
+    def never(*_, **__):
+        raise AssertionError("candidates became rows")
+
+    monkeypatch.setattr(geo, "flattened", never)
+    assert scoring.s13_candidate_support(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert scoring.g12_run_rates(spark, sf).count() > 0
+
+
+def test_missed_fixes_are_those_without_lists(spark):
+    pieces = pieces_of(spark, bent_edges(200))
+    fixes = spark.createDataFrame([(i, *map(float, RNG.random(2) * 4000)) for i in range(500)] + [(500, None, 1.0)], "event_id long, obs_x double, obs_y double")
+    want = {r.event_id for r in geo.near_lists(fixes, pieces).where(F.size("near") == 0).collect()}
+    got = geo.near_lists(fixes, pieces, missed=True)
+    assert got.columns == fixes.columns and {r.event_id for r in got.collect()} == want and 0 < len(want) < 500
