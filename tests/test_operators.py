@@ -461,3 +461,22 @@ def test_routes_end_although_sums_differ_in_their_last_bits(spark):
     for m in range(12):
         best = np.minimum(best, best[:, [m]] + best[[m]])
     assert got == {(u, v): pytest.approx(best[u, v]) for u in range(12) for v in range(12) if best[u, v] <= 2.0}
+
+
+def test_learners_keep_rows_that_repeat_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [([float(a), float(b)], int(a + b < 0.1), str(i % 15)) for i, (a, b) in enumerate(np.round(rng.uniform(-1, 1, (200, 2)), 1))]
+    df, kept = spark.createDataFrame(rows, "features array<double>, label int, group string"), []
+    plain = learners.stored
+
+    def stored(held, label):
+        out = plain(held, label)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(learners, "stored", stored)
+    many = df.crossJoin(spark.range(30))
+    for fit in (lambda t: learners.tuned_network(t, rounds=10, networks=[((4,), 1e-4)]), lambda t: learners.tuned_kernel_machine(t, size=16, rounds=40, kernels=[(1.0, None)])):
+        (_, once), (_, often) = fit(df), fit(many)
+        assert once[0][2] == pytest.approx(often[0][2], abs=0.05)
+    assert kept[0] == kept[1] <= 200 and kept[2] == kept[3] == kept[0]
