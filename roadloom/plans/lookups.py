@@ -91,9 +91,8 @@ FROM truth t LEFT JOIN m ON m.event_id = t.event_id AND rn = 1""",
 
 def j4_unlocalised(spark, sf):
     """Fixes that no position is known for keep every edge: how many, and the first and last by identity."""
-    out = geo.unlocalised(sequence.impute(tables.pings(spark, sf)), tables.edges(spark, sf), "eff_x", "eff_y")
-    identity = F.struct("u", "v", "k")
-    return out.groupBy("event_id").agg(F.count("*").alias("candidates"), F.min(identity)["u"].alias("first_u"), F.max(identity)["v"].alias("last_v"))
+    out = geo.unlocalised(sequence.impute(tables.pings(spark, sf)), tables.edges(spark, sf), x="eff_x", y="eff_y")
+    return out.select("event_id", "candidates", F.col("first")["u"].alias("first_u"), F.col("last")["v"].alias("last_v"))
 
 
 J4 = tables.with_views(IMPUTED_SQL + " SELECT event_id, count(*) AS candidates, first(u ORDER BY u, v, k) AS first_u, last(edges.v ORDER BY u, edges.v, k) AS last_v FROM f CROSS JOIN edges WHERE f.x IS NULL OR f.y IS NULL GROUP BY event_id", "pings", "edges")

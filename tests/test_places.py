@@ -212,3 +212,13 @@ def test_missed_fixes_are_those_without_lists(spark):
     want = {r.event_id for r in geo.near_lists(fixes, pieces).where(F.size("near") == 0).collect()}
     got = geo.near_lists(fixes, pieces, missed=True)
     assert got.columns == fixes.columns and {r.event_id for r in got.collect()} == want and 0 < len(want) < 500
+
+
+def test_unlocalised_fixes_are_not_laid_beside_every_edge(spark):
+    edges = spark.createDataFrame([(i % 700, i % 900 + 1, i % 3) for i in range(3000)], "u long, v long, k int")
+    fixes = spark.createDataFrame([(i, None if i % 2 else 1.0, 2.0) for i in range(20)] + [(1, None, None)], "event_id long, obs_x double, obs_y double")
+    out = geo.unlocalised(fixes, edges)
+    got = {r.event_id: (r.candidates, *r["first"], *r["last"]) for r in out.collect()}
+    ids = sorted(tuple(r) for r in edges.collect())
+    assert got == {i: (3000 * (2 if i == 1 else 1), *ids[0], *ids[-1]) for i in range(1, 20, 2)}
+    assert "Cartesian" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.index("NestedLoop") < plan.index("HashAggregate")
