@@ -222,3 +222,25 @@ def test_unlocalised_fixes_are_not_laid_beside_every_edge(spark):
     ids = sorted(tuple(r) for r in edges.collect())
     assert got == {i: (3000 * (2 if i == 1 else 1), *ids[0], *ids[-1]) for i in range(1, 20, 2)}
     assert "Cartesian" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.index("NestedLoop") < plan.index("HashAggregate")
+
+
+@pytest.mark.parametrize("k", [1, 3, 10, 500])
+def test_many_places_at_once_find_what_each_finds(k):
+    at = np.round(RNG.random((300, 2)) * 3000)
+    two = np.repeat(np.arange(300), 2)  # edges of two pieces each, some of them doubled: ties
+    p = pd.DataFrame({"u": two % 280, "v": 1, "k": two // 280, "piece": np.tile([0, 1], 300)})
+    ends = np.stack([at, at + (40, 0), at + (40, 0), at + (40, 900)], axis=1)[np.where(np.arange(300) < 280, np.arange(300), np.arange(300) - 280)].reshape(600, 2, 2)
+    p = p.assign(x0=ends[:, 0, 0], y0=ends[:, 0, 1], x1=ends[:, 1, 0], y1=ends[:, 1, 1], offset=p.piece * 40.0, len=np.where(p.piece == 0, 40.0, 900.0))
+    table = quadtree.Pieces(p)
+    places = np.concatenate([RNG.random((40, 2)) * 3000, RNG.normal(0, 1e6, (40, 2)), at[:5]])
+    row, *out = table.nearest_of_all(places, k)
+    for i, (x, y) in enumerate(places):
+        got = sorted(zip(*(c[row == i].tolist() for c in out)))
+        want = sorted(table.nearest(x, y, k))
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose(got, want, rtol=1e-12, atol=1e-9)
+    table.measured = 0
+    table.nearest_of_all(places, k)
+    many, table.measured = table.measured, 0
+    for x, y in places:
+        table.nearest(x, y, k)
+    assert many < 6 * table.measured
