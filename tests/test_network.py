@@ -217,3 +217,16 @@ def test_pairs_of_nodes_from_some_candidates_only(spark):
     cands = spark.createDataFrame([(1, 1, s, e, e, e + 10, e == s) for s in (1, 2) for e in range(3)], "track_id long, segment long, step int, edge long, u long, v long, is_true boolean")
     got = {tuple(r) for r in decode.node_pairs(cands, cands.where("is_true")).collect()}
     assert got == {(11, 0), (11, 1), (11, 2)} and len(decode.node_pairs(cands).collect()) == 9
+
+
+def test_a_network_without_small_separators_is_searched(spark, monkeypatch):
+    from roadloom.operators import graph
+
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), float(n)) for a, b, n in zip(np.tile(np.arange(120), 6), rng.integers(0, 120, 720), rng.integers(1, 90, 720)) if a != b]
+    edges = spark.createDataFrame(rows, "u long, v long, length double")
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 125, (60, 2))], "src long, dst long")
+    monkeypatch.setattr(hubs, "CORE", 30)
+    assert hubs.labels(graph.links(edges), core=8, dense=16) is None
+    got = {tuple(r) for r in graph.labelled_routes(edges, pairs, core=8).collect()}
+    assert got == {tuple(r) for r in graph.routes_between(edges, pairs).collect()} and len(got) > 30
