@@ -394,6 +394,14 @@ def test_walks_never_turn_straight_back(spark):
     assert got == [(t, s, s % 5, (s + 1) % 5, 0) for t in range(4) for s in range(7)]
 
 
+def test_lists_cut_to_their_first_are_the_first_of_the_whole(spark):
+    net = geo.segments(geo.with_points(spark.createDataFrame([(i, i + 1, k) for i in range(30) for k in (0, 1)], "u long, v long, k int"), spark.createDataFrame([(i, 10.0 * i, float(i % 3)) for i in range(31)], "node_id long, x double, y double")))
+    fixes = spark.createDataFrame([(i, i * 9.7, 3.0 if i % 6 else 500.0) for i in range(30)] + [(30, None, None)], "event_id long, obs_x double, obs_y double")
+    plain = lambda lists: {r.event_id: r.near and [(n.u, n.v, n.k, n.dist) for n in r.near] for r in lists.collect()}
+    whole, cut = plain(geo.candidate_lists(fixes, net, 25.0, keep_empty=True)), plain(geo.candidate_lists(fixes, net, 25.0, keep_empty=True, top=3))
+    assert len(cut) == 31 and cut[30] is None and min(len(n) for n in whole.values() if n) > 3 and cut == {i: n and n[:3] for i, n in whole.items()}
+
+
 def test_validation_of_a_small_track(spark):
     edges = spark.createDataFrame([(1, 2, 0, 10.0, "60"), (2, 3, 0, 10.0, "60"), (3, 4, 0, 10.0, "60")], "u long, v long, k int, length double, maxspeed string")
     nodes = spark.createDataFrame([(i, 10.0 * (i - 1), 0.0) for i in range(1, 5)], "node_id long, x double, y double")

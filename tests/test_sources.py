@@ -140,3 +140,15 @@ def test_small_slices_of_a_json_array_read_little_and_share_tasks(spark, tmp_pat
 
     marks = json_array.Marks(File(), 1, 257, json_array.OUTSIDE, 1, 256)
     assert len(list(json_array.elements(marks, 1, 0, 257, 1))) == 4 and File.read <= 1024
+
+
+def test_candidate_sets_are_written_where_they_are_made(spark, tmp_path):
+    """The sets of a fix stay in their partition and order, and their files are compressed; a fix without candidates has an empty one."""
+    near = "array<struct<dist:double,u:long,v:long,k:int,px:double,py:double,arc:double,speed_limit:int,bearing:double,is_tunnel:string,layer:int,line_length:double>>"
+    one = lambda i, u: (float(i), u, u + 1, 0, 1.5, 2.5, 3.5, 60, 90.0, "no", 0, 50.0)
+    rows = [(i, "2024-01-01 00:00:00", None, None, None) if i % 5 == 0 else (i, "2024-01-01 00:00:00", 1.0, 2.0, [one(i, 9), one(i, 3)]) for i in range(40)]
+    files.write_candidates(spark.createDataFrame(rows, f"event_id long, timestamp string, x double, y double, near {near}").repartition(3), f"file://{tmp_path}/sets")
+    assert len(list((tmp_path / "sets").glob("part-*.json.gz"))) == 3
+    got = sorted((r.event_id, r.candidate_index, r.edge_id, r.dist_m, r.edge_offset_m) for r in files.read_candidate_lines(spark, f"file://{tmp_path}/sets").collect() if r.edge_id)
+    assert got == [(i, at, [str(u), str(u + 1), "0"], float(i), 3.5) for i in range(40) if i % 5 for at, u in enumerate((9, 3))]
+    assert sorted(r.event_id for r in files.read_candidate_lines(spark, f"file://{tmp_path}/sets").where("edge_id is null").collect()) == list(range(0, 40, 5))
