@@ -27,8 +27,8 @@ def checked(truth: DataFrame, edges: DataFrame) -> DataFrame:
     edges: u, v, k, length, maxspeed, points. A fix is compared with the next one of its track, but its speed with that of the last fix before it that has an edge.
     A step between edges that do not touch is invalid when the shortest way between them is longer than the path grew, or there is none.
     """
-    held = graph.true_edges(truth, edges.select("u", "v", "k"), F.col("edge_u"), F.col("edge_v"), F.col("edge_key"))
-    held = held.join(edges.select("u", "v", "k", "maxspeed", "points"), ["u", "v", "k"], "left")
+    # An edge brings what is asked of it: joined again by u, v, k, all fixes without an edge would be one key.
+    held = graph.true_edges(truth, edges, F.col("edge_u"), F.col("edge_v"), F.col("edge_key"), carry=("maxspeed", "points"))
     valid = F.col("u").isNotNull()
     # Distance to a polyline: to the nearest of its pieces.
     apart = F.aggregate(
@@ -59,8 +59,10 @@ def checked(truth: DataFrame, edges: DataFrame) -> DataFrame:
     if asked is None:
         return held.withColumn("broken", F.lit(False)).drop("grew", "to", "moved")
     ways = graph.routes(edges, max(float(asked), 0.0) + 1e-3)
-    held = held.join(ways.select(F.col("src").alias("v"), F.col("dst").alias("to"), F.col("dist").alias("way")), ["v", "to"], "left")
-    return held.withColumn("broken", F.col("moved") & (F.col("way").isNull() | (F.col("way") > F.col("grew") + 1e-3))).drop("grew", "to", "moved", "way")
+    # Only steps between edges that do not touch ask for a way; the others, many of them without an edge on either side, are not joined.
+    steps = held.where("moved").join(ways.select(F.col("src").alias("v"), F.col("dst").alias("to"), F.col("dist").alias("way")), ["v", "to"], "left")
+    steps = steps.withColumn("broken", F.col("way").isNull() | (F.col("way") > F.col("grew") + 1e-3)).drop("way")
+    return steps.unionByName(held.where("not moved").withColumn("broken", F.lit(False))).drop("grew", "to", "moved")
 
 
 def _point_to_piece(px: Column, py: Column, p: Column, q: Column) -> Column:

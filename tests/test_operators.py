@@ -419,6 +419,29 @@ def test_validation_of_a_small_track(spark):
     assert [(r.recovered, r.open_after) for r in validation.exits(validation.checked(spark.createDataFrame(fixes, row), lines)).collect()] == [(True, True)]
 
 
+def test_fixes_without_an_edge_are_not_one_task(spark, monkeypatch):
+    """They meet the network by the ends they state, and no join brings them together by an edge that they all lack."""
+    lines = geo.with_points(spark.createDataFrame([(1, 2, 0, 10.0, "60"), (3, 4, 0, 10.0, "60")], "u long, v long, k int, length double, maxspeed string"), spark.createDataFrame([(i, 10.0 * i, 0.0) for i in range(1, 5)], "node_id long, x double, y double"))
+    row = "track_id long, step int, event_id long, edge_u long, edge_v long, edge_key string, node_text string, next_text string, at_x double, at_y double, speed double, path double, stamp double, true_layer int, true_tunnel int, state string, hdop double, sat_count int"
+    ends = [(3, 4), (1, 2)] + [(100 + i, 200 + i) for i in range(400)]  # one step between edges that do not touch, the rest on no edge
+    fixes = [(i // 2, i % 2, i, u, v, "0", str(u), str(v), 15.0, 0.0, 10.0, 10.0 * i, float(i), 0, 0, "open_sky", 1.0, 9) for i, (u, v) in enumerate(ends)]
+    kept, stored = [], validation.stored
+    monkeypatch.setattr(validation, "stored", lambda df, label: kept.append(df) or stored(df, label))
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = validation.checked(spark.createDataFrame(fixes, row), lines)
+        assert kept[0]._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+        lost = out.where("invalid_edge").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in lost) == 400 and len(lost) > 1
+        assert [(r.event_id, r.broken) for r in out.where("broken or not invalid_edge").orderBy("event_id").collect()] == [(0, True), (1, False)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_files_and_paths(spark, tmp_path):
     with pytest.raises(ValueError):
         paths.crs("Somewhere_QLD")
