@@ -345,6 +345,20 @@ def test_cases_store_the_weights_that_they_learned(spark, tmp_path):
     assert len(files.read_weights(spark, f"file://{tmp_path}/1", "1", [3])) == 3
 
 
+def test_cases_learn_from_every_pair(spark, tmp_path):
+    """Pairs beyond any sample's size count, and so does each copy of a pair."""
+    rng = np.random.default_rng(5)
+    some = [([float(v) for v in rng.random(3) + [0.5, 0, 0]], [float(v) for v in rng.random(3)]) for _ in range(40)]
+    pairs = spark.createDataFrame([("a", i, *some[i % 40]) for i in range(3000)] + [("b", 1, *some[0])], "c string, key long, good array<double>, bad array<double>")
+    score, slope = lambda x, w: np.tanh(x @ w), lambda x, w: (1 - np.tanh(x @ w) ** 2)[:, None] * x
+    got = {r[0]: r for r in training.calibrated(pairs, "c", 3, score, slope, f"file://{tmp_path}")}
+    assert got["a"][1] == 3000 and got["a"][4] and got["b"][1] == 1 and got["b"][4]
+    w = np.array(files.read_weights(spark, f"file://{tmp_path}/a", "a", [3]))
+    held = [r.key % 40 for r in training.split_groups(pairs.where("c = 'a'"), "key", 1 / 3).where("holdout").collect()]
+    loss = [max(0, 0.2 - score(np.array(x), w) + score(np.array(y), w)) for x, y in some]
+    assert got["a"][3] == pytest.approx(np.mean([loss[i] for i in held])) and 900 < len(held) < 1100
+
+
 def test_gradient_scan_against_differences(spark):
     got = {(r.wires, r.layers): r for r in circuits.gradient_scan(spark, [2, 3], [1, 2], samples=6, seed=4).collect()}
     for (n, m), r in got.items():
