@@ -26,3 +26,10 @@ def test_coercions_of_odd_rows(spark, tmp_path, props):
     con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(1, 7, "view", props), (2, None, None, props), (None, 7, "view", props), (-4, 1234567890123456789, "view", props)])
     con.execute(f"COPY t TO '{tmp_path}/events.parquet'")
     same(spark, "b1_coercions", tmp_path)
+
+
+def test_every_emission_that_is_made_is_returned(spark):
+    """The product circuit's, too, which is not the matched network's under another name."""
+    got = registry.queries()["q7_emissions"](spark, "/root/testdata/sf0.001")
+    assert {"emit_spatial", "emit_context", "emit_matched", "emit_product"} <= set(got.columns)
+    assert got.where("emit_product <> emit_matched").take(1)
